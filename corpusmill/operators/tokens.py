@@ -139,13 +139,19 @@ def context_band(usage_pct: Column) -> Column:
     )
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with fixed decimals and no grouping."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def format_cost(cents: Column) -> Column:
     """Four, three or two decimals by size, with the cent sign."""
-    return (
-        F.when(cents < 0.01, F.format_string("%.4f ¢", cents))
-        .when(cents < 1.0, F.format_string("%.3f ¢", cents))
-        .otherwise(F.format_string("%.2f ¢", cents))
+    shown = (
+        F.when(cents < 0.01, fixed(cents, 4))
+        .when(cents < 1.0, fixed(cents, 3))
+        .otherwise(fixed(cents, 2))
     )
+    return F.concat(shown, F.lit(" ¢"))
 
 
 def cut_to_budget(text: Column, budget: Column) -> Column:
@@ -182,7 +188,10 @@ def token_stats(raw_tokens: Column, new_tokens: Column) -> Column:
         new_tokens.alias("compressed_tokens"),
         saved.alias("tokens_saved"),
         pct.alias("saved_percent"),
-        F.format_string("%d → %d tokens (%.1f%% saved)", raw_tokens, new_tokens, pct).alias("summary"),
+        F.concat(
+            raw_tokens.cast("string"), F.lit(" → "), new_tokens.cast("string"),
+            F.lit(" tokens ("), fixed(pct, 1), F.lit("% saved)"),
+        ).alias("summary"),
     )
 
 
