@@ -8,11 +8,12 @@ functions never evaluates an inner one twice.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space, as str.split and str.strip understand it.
@@ -37,6 +38,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def phase(body: Callable[[Column], Column], value: Column) -> Column:
+    """`body` of a column that may be NULL, for which the phase is skipped.
+
+    Naming the column twice also keeps the phase a projection of its own: the
+    optimizer does not inline an expensive column that is used twice, and so a
+    chain of phases stays flat and quick to plan.
+    """
+    return F.when(value.isNotNull(), body(value))
+
+
+def unfold(df: DataFrame, keep: list, items: Column, *names: str) -> DataFrame:
+    """One row per array element (with its position, if two names are given).
+
+    An outer explode with a filter behind it: a plain one would make the
+    optimizer test the array in a filter below and so compute it twice.
+    """
+    explode = F.posexplode_outer if len(names) == 2 else F.explode_outer
+    return df.select(*keep, explode(items).alias(*names)).where(F.col(names[-1]).isNotNull())
+
+
+def constant(value, schema: str) -> Column:
+    """A literal table; the optimizer folds it to one constant."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def sql_text(literal: str) -> str:
+    return "'" + literal.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(literals: Iterable[str]) -> str:
+    return ", ".join(sql_text(x) for x in literals)
+
+
 def text_of(col: Column | str) -> Column:
     """NULL and '' take the same branch everywhere."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
@@ -264,18 +298,14 @@ def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
     holds the first match of the first `samples` rules that matched.
     """
     rules = list(rules)
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r.phrase).alias("phrase"),
-                F.lit(r.word).alias("word"),
-                F.lit(r.pattern).alias("pattern"),
-                F.lit(replacement(r.replacement)).alias("put"),
-            )
+    table = constant(
+        [
+            {"phrase": r.phrase, "word": r.word, "pattern": r.pattern, "put": replacement(r.replacement)}
             for r in rules
-        ]
+        ],
+        "array<struct<phrase:string,word:string,pattern:string,put:string>>",
     )
-    keywords = F.array(*[F.lit(w) for w in sorted({r.word for r in rules} - {""})])
+    keywords = constant(sorted({r.word for r in rules} - {""}), "array<string>")
 
     def state(text: Column, n: Column, found: Column) -> Column:
         return let(
@@ -330,25 +360,29 @@ def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
 
 def swap_words(col: Column, table: dict[str, str]) -> Column:
     """Replace whole words by a lookup in one pass; struct(text, n)."""
-    keys = list(table)
-    shorter = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    known = f"lower(p) IN ({sql_list(table)})"
+    shorter = "map(" + ", ".join(sql_text(x) for pair in table.items() for x in pair) + ")"
+    swapped = F.expr(f"p -> CASE WHEN {known} THEN element_at({shorter}, lower(p)) ELSE p END")
 
     def swap(pieces: Column) -> Column:
-        hit = lambda p: F.lower(p).isin(keys)
         return F.struct(
-            F.array_join(
-                F.transform(
-                    pieces,
-                    lambda p: F.when(hit(p), F.element_at(shorter, F.lower(p))).otherwise(p),
-                ),
-                "",
-            ).alias("text"),
-            F.size(F.filter(pieces, hit)).alias("n"),
+            F.array_join(F.call_function("transform", pieces, swapped), "").alias("text"),
+            F.size(F.call_function("filter", pieces, F.expr(f"p -> {known}"))).alias("n"),
         )
 
     return let(F.split(col, r"(?U)\b", -1), swap)
 
 
+def without_words(items: Column, stop: list[str], punctuation: str, min_length: int = 1) -> Column:
+    """Words whose lower form without punctuation is no stop word.
+
+    Words shorter than `min_length` always stay.
+    """
+    bare = f"lower(translate(w, {sql_text(punctuation)}, ''))"
+    rule = f"w -> {bare} NOT IN ({sql_list(stop)}) OR length(w) < {min_length}"
+    return F.call_function("filter", items, F.expr(rule))
+
+
 def fold_lines(
     items: Column, zero: Column, step: Callable[[Column, Column], Column], block: int = 256
 ) -> Column:

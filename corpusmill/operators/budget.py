@@ -12,6 +12,7 @@ from corpusmill.operators.detect import route_type
 from corpusmill.operators.redact import redact
 from corpusmill.operators.route import question_hits, shown_score, smart_route
 from corpusmill.operators.shape import outline_kind, with_skeleton
+from corpusmill.session import prepare_checkpoints
 from corpusmill.operators.tokens import TOKENS_PER_WORD, count_tokens, cut_to_budget
 
 MIN_SHARE = 200
@@ -238,7 +239,9 @@ def pack_details(
             F.greatest(F.col("_hits.terms"), F.lit(1).cast("bigint")).alias("terms"),
         )
     )
-    chosen = allocate_budget(scored, budget, group, key)
+    # scoring reads every text, ranking needs its few columns twice
+    prepare_checkpoints(df.sparkSession)
+    chosen = allocate_budget(scored.checkpoint(), budget, group, key)
     texts = readable.select(key, F.col(name).alias("name"), F.col(text).alias("_text"))
     routed = smart_route(
         texts.join(chosen, key).withColumn("_red", redact(F.col("_text"))), "_red", "name", out="_r"

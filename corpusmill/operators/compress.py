@@ -9,17 +9,15 @@ work is limited to rules whose literal occurs in the text.
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import lexicons as L
 from corpusmill.functions.text import (
-    ANY_CASE, MULTI, MULTI_ANY_CASE, count_matches, fold_case, fold_lines, fold_rules,
-    is_blank, join_segments, let, line_segments, lines, percent, phrase_rules, regex_literal, rstrip, segments,
-    split_lines, strip, swap_words, text_of, unlines, words,
+    ANY_CASE, MULTI, MULTI_ANY_CASE, constant, count_matches, fold_case, fold_lines, fold_rules,
+    is_blank, join_segments, let, line_segments, lines, percent, phase, phrase_rules, regex_literal, rstrip, segments,
+    split_lines, strip, swap_words, text_of, unfold, unlines, without_words, words,
 )
 from corpusmill.operators.detect import detect_type, is_real_code_block
 from corpusmill.operators.redact import redact
@@ -88,9 +86,9 @@ def block_decision(block: Column) -> Column:
         def by_content(p: Column) -> Column:
             tree_lines = F.size(F.filter(split_lines(p["content"]), lambda l: l.rlike(TREE)))
             return (
-                F.when(p["hint"].isin(L.CODE_HINTS), kept)
+                F.when(F.array_contains(constant(L.CODE_HINTS, "array<string>"), p["hint"]), kept)
                 .when(tree_lines >= 2, refenced(shorten_tree(p["content"])))
-                .when(p["hint"].isin(L.SHELL_HINTS), refenced(shorten_commands(p["content"])))
+                .when(F.array_contains(constant(L.SHELL_HINTS, "array<string>"), p["hint"]), refenced(shorten_commands(p["content"])))
                 .when(is_real_code_block(p["content"]), kept)
                 .otherwise(
                     let(
@@ -204,19 +202,17 @@ def is_critical(line: Column) -> Column:
 
 def may_be_critical(text: Column) -> Column:
     """Can any line of the text be critical? Spares most texts the line regex."""
-    named = lambda low: reduce(or_, (low.contains(w) for w in L.CRITICAL_WORDS))
+    named = lambda low: F.exists(
+        constant(L.CRITICAL_WORDS, "array<string>"), lambda w: low.contains(w)
+    )
     return text.rlike(r"(?U)\d[./:\-]\d") | let(fold_case(text), named)
 
 
-def bare_word(word: Column) -> Column:
-    return F.lower(F.translate(word, PUNCTUATION, ""))
-
-
 def drop_stop_words(text: Column) -> Column:
     """Prose lines without stop words; markup and critical lines stay."""
 
     def shorten(line: Column, watch: Column) -> Column:
-        kept = F.filter(words(line), lambda w: ~bare_word(w).isin(L.STOP_WORDS))
+        kept = without_words(words(line), L.STOP_WORDS, PUNCTUATION)
         return let(
             strip(line),
             lambda s: F.when(
@@ -321,9 +317,7 @@ def telegraphic(text: Column) -> Column:
     """struct(text, n): compact wording, fewer words on long lines."""
 
     def shorten(line: Column, watch: Column) -> Column:
-        plain = lambda ws: F.filter(
-            ws, lambda w: ~bare_word(w).isin(L.EXTRA_STOP_WORDS) | (F.length(w) <= 1)
-        )
+        plain = lambda ws: without_words(ws, L.EXTRA_STOP_WORDS, PUNCTUATION, min_length=2)
         cut = let(
             words(line),
             lambda ws: F.when(
@@ -548,64 +542,65 @@ def minify(
     """
     f = F.col
     no_strings = F.array().cast("array<string>")
-    is_code = f("_kind").startswith("code_")
+    is_code = f("_mf_kind").startswith("code_")
     source = text_of(text)
     d = (
-        df.withColumn("_red", source if redacted else redact(source))
-        .withColumn("_n", count_tokens(f("_red")))
-        .withColumn("_safe", protect_blocks(f("_red")))
-        .withColumn("_kind", detect_type(f("_safe.text")))
-        .withColumn("_prose", F.when(~is_code, normalize_prose(f("_safe.text"))))
-        .withColumn("_fill", drop_fillers(f("_prose")))
-        .withColumn("_stop", drop_stop_words(f("_fill.text")))
-        .withColumn("_syn", synonyms(f("_stop")))
-        .withColumn("_refs", shorten_refs(f("_syn.text")))
-        .withColumn("_tele", telegraphic(f("_refs.text")))
-        .withColumn("_form", structural(f("_tele.text")))
+        df.withColumn("_mf_red", source if redacted else redact(source))
+        .withColumn("_mf_n", count_tokens(f("_mf_red")))
+        .withColumn("_mf_safe", phase(protect_blocks, f("_mf_red")))
+        .withColumn("_mf_kind", phase(detect_type, f("_mf_safe.text")))
+        .withColumn("_mf_prose", F.when(~is_code, phase(normalize_prose, f("_mf_safe.text"))))
+        .withColumn("_mf_fill", phase(drop_fillers, f("_mf_prose")))
+        .withColumn("_mf_stop", phase(drop_stop_words, f("_mf_fill.text")))
+        .withColumn("_mf_syn", phase(synonyms, f("_mf_stop")))
+        .withColumn("_mf_refs", phase(shorten_refs, f("_mf_syn.text")))
+        .withColumn("_mf_tele", phase(telegraphic, f("_mf_refs.text")))
+        .withColumn("_mf_form", phase(structural, f("_mf_tele.text")))
         .withColumn(
-            "_body",
-            F.when(is_code, normalize_code(f("_safe.text"))).otherwise(f("_form.text")),
+            "_mf_body",
+            F.when(is_code, normalize_code(f("_mf_safe.text"))).otherwise(f("_mf_form.text")),
         )
-        .withColumn("_uniq", dedup_lines(f("_body")))
-        .withColumn("_out", restore_blocks(finalize(f("_uniq.text"), is_code), f("_safe.blocks")))
+        .withColumn("_mf_uniq", phase(dedup_lines, f("_mf_body")))
+        .withColumn("_mf_tidy", phase(lambda t: finalize(t, is_code), f("_mf_uniq.text")))
+        .withColumn("_mf_out", phase(lambda t: restore_blocks(t, f("_mf_safe.blocks")), f("_mf_tidy")))
     )
     if wrap_tag:
         d = d.withColumn(
-            "_out", F.concat(F.lit(f"<{wrap_tag}>\n"), f("_out"), F.lit(f"\n</{wrap_tag}>"))
+            "_mf_out", F.concat(F.lit(f"<{wrap_tag}>\n"), f("_mf_out"), F.lit(f"\n</{wrap_tag}>"))
         )
     prose_done = F.concat(
         strings(
             F.lit("normalize"),
             F.lit("filler_trim"),
-            counted("synonyms", f("_syn.n")),
-            counted("urls", f("_refs.urls")),
-            counted("paths", f("_refs.paths")),
-            counted("telegraphic", f("_tele.n")),
+            counted("synonyms", f("_mf_syn.n")),
+            counted("urls", f("_mf_refs.urls")),
+            counted("paths", f("_mf_refs.paths")),
+            counted("telegraphic", f("_mf_tele.n")),
             F.lit("extra_stop"),
         ),
-        f("_form.done"),
+        f("_mf_form.done"),
     )
     code_done = strings(F.lit("normalize"), F.lit("code_safe_mode"))
     done = F.concat(
-        F.array(F.concat(F.lit("detect:"), f("_kind"))),
+        F.array(F.concat(F.lit("detect:"), f("_mf_kind"))),
         F.when(is_code, code_done).otherwise(prose_done),
-        f("_uniq.done"),
+        f("_mf_uniq.done"),
     )
-    fillers = F.transform(f("_fill.found"), lambda x: F.concat(F.lit("Filler: '"), x, F.lit("'")))
-    removed = F.concat(F.when(is_code, no_strings).otherwise(fillers), f("_uniq.removed"))
-    empty = f("_n") == 0
+    fillers = F.transform(f("_mf_fill.found"), lambda x: F.concat(F.lit("Filler: '"), x, F.lit("'")))
+    removed = F.concat(F.when(is_code, no_strings).otherwise(fillers), f("_mf_uniq.removed"))
+    empty = f("_mf_n") == 0
     zero = F.lit(0).cast("bigint")
-    d = d.withColumn("_new", count_tokens(f("_out")))
+    d = d.withColumn("_mf_new", count_tokens(f("_mf_out")))
     return d.select(
         *[F.col(f"`{c}`") for c in df.columns],
         F.struct(
-            F.when(empty, f("_red")).otherwise(f("_out")).alias("text"),
-            f("_n").alias("original_tokens"),
-            F.when(empty, zero).otherwise(f("_new")).alias("compressed_tokens"),
+            F.when(empty, f("_mf_red")).otherwise(f("_mf_out")).alias("text"),
+            f("_mf_n").alias("original_tokens"),
+            F.when(empty, zero).otherwise(f("_mf_new")).alias("compressed_tokens"),
             F.when(empty, F.lit(0.0))
-            .otherwise(percent(f("_n") - f("_new"), f("_n")))
+            .otherwise(percent(f("_mf_n") - f("_mf_new"), f("_mf_n")))
             .alias("saved_percent"),
-            F.when(empty, F.lit("empty")).otherwise(f("_kind")).alias("content_type"),
+            F.when(empty, F.lit("empty")).otherwise(f("_mf_kind")).alias("content_type"),
             F.when(empty, no_strings).otherwise(done).alias("techniques_applied"),
             F.when(empty, no_strings)
             .otherwise(F.slice(removed, 1, MAX_SAMPLES))
@@ -647,7 +642,7 @@ def boilerplate_lines(
     """
     trimmed = F.filter(F.transform(lines(text_of(text)), strip), lambda l: l != "")
     return (
-        df.select(key, F.explode(trimmed).alias("line"))
+        unfold(df, [key], trimmed, "line")
         .groupBy(key, "line")
         .agg(F.count("*").alias("n"))
         .groupBy("line")

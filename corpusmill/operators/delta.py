@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corpusmill.functions.text import percent, split_lines, text_of
+from corpusmill.functions.text import percent, split_lines, text_of, unfold
 from corpusmill.operators.tokens import count_tokens
 
 MAX_VERSIONS = 100
@@ -61,7 +61,7 @@ def line_delta(pairs: DataFrame, key: str) -> DataFrame:
     changed = pairs.where(~F.col("old_id").eqNullSafe(F.col("new_id")))
     both = F.concat(weigh("new_text", 1), weigh("old_text", -1))
     per_line = (
-        changed.select(key, F.explode(both).alias("x"))
+        unfold(changed, [key], both, "x")
         .groupBy(key, F.col("x.line").alias("line"))
         .agg(F.sum("x.w").alias("w"))
         .where(F.col("w") != 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
 from corpusmill.functions.text import (
-    ANY_CASE, MULTI, count_matches, is_blank, let, split_lines, strip, text_of,
+    ANY_CASE, MULTI, constant, count_matches, is_blank, let, split_lines, strip, text_of,
 )
 from corpusmill.operators.tokens import count_tokens
 
@@ -55,8 +55,8 @@ def detect_type(text: Column) -> Column:
         head = s["head"]
         sample = F.lower(F.array_join(head, "\n"))
         matching = lambda pattern: F.size(F.filter(head, lambda l: l.rlike(pattern)))
-        present = lambda low, marks: sum(
-            (low.contains(m).cast("int") for m in marks[1:]), low.contains(marks[0]).cast("int")
+        present = lambda low, marks: F.size(
+            F.filter(constant(marks, "array<string>"), lambda m: low.contains(m))
         )
         code = let(
             detect_raw_code(s["text"]),
@@ -86,8 +86,7 @@ def detect_type(text: Column) -> Column:
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """A small fixed table as a map literal: no join, no broadcast."""
-    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.try_element_at(entries, key)
+    return F.try_element_at(constant(table, "map<string,string>"), key)
 
 
 def type_by_name(name: Column, extensions: dict[str, str] | None = None) -> Column:
@@ -96,7 +95,7 @@ def type_by_name(name: Column, extensions: dict[str, str] | None = None) -> Colu
     table = {**T.TYPE_BY_EXTENSION, **(extensions or {})}
     base = F.lower(F.regexp_extract(n, r"([^/\\]*)$", 1))
     ext = F.concat(F.lit("."), F.lower(F.regexp_extract(n, r"\.([^.]*)$", 1)))
-    return F.when(base.isin(T.AGENT_CONFIG_NAMES), F.lit("agent_config")).when(
+    return F.when(F.array_contains(constant(T.AGENT_CONFIG_NAMES, "array<string>"), base), F.lit("agent_config")).when(
         n.contains("."), lookup(ext, table)
     )
 

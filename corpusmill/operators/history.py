@@ -135,8 +135,13 @@ def neighbour_entry(
 # ------------------------------------------------------- rows next to each other
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds; a timestamp without zone is read in the session time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def bucket_of(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return F.floor(micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
 def with_adjacent(
@@ -186,7 +191,7 @@ def adjacent_dedup(
 
 
 def gap_seconds(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1_000_000.0)
+    return (micros(later) - micros(earlier)) / F.lit(1_000_000.0)
 
 
 def debounce(
@@ -304,7 +309,7 @@ def history_dedup(
         .select(
             F.col(key).alias("k"),
             bucket_of(ts, bucket_seconds).alias("b"),
-            F.unix_micros(ts).alias("at"),
+            micros(F.col(ts)).alias("at"),
             F.col(seq).cast("bigint").alias("seq"),
             F.col(text).alias("text"),
         )
@@ -405,8 +410,8 @@ def history_dedup(
         .select(
             F.col("k").alias(key),
             F.col("text").alias(text),
-            F.timestamp_micros("first").alias("created_at"),
-            F.timestamp_micros("last.last").alias("touched_at"),
+            F.timestamp_micros("first").cast(types[ts]).alias("created_at"),
+            F.timestamp_micros("last.last").cast(types[ts]).alias("touched_at"),
             F.col("last.last_seq").alias("last_seq"),
             "touches",
             "recency",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
 from corpusmill.functions.text import (
-    ANY_CASE, WHITE, Rule, fold_rules, let, look_behind, replace_matches, segments, text_of,
+    ANY_CASE, WHITE, Rule, fold_rules, let, look_behind, replace_matches, segments, text_of, unfold,
 )
 
 # A delimiter-free token of the minimum length, tried only at its start.
@@ -131,7 +131,7 @@ def redaction_report(
         ]
     )
     return (
-        found.select(group, F.explode(F.filter(kinds, lambda k: k["n"] > 0)).alias("k"))
+        unfold(found, [group], F.filter(kinds, lambda k: k["n"] > 0), "k")
         .groupBy(group, F.col("k.tag").alias("tag"))
         .agg(F.sum("k.n").alias("findings"), F.count("*").alias("documents"))
     )
@@ -148,7 +148,7 @@ def entropy_profile(
         )
     )
     return (
-        df.select(key, F.posexplode(tokens).alias("pos", "token"))
+        unfold(df, [key], tokens, "pos", "token")
         .withColumn("token_length", F.length("token").cast("bigint"))
         .withColumn("bits", shannon_bits(F.col("token")))
         .withColumn("is_secret", is_secret_token(F.col("token")))

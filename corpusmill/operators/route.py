@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
-from corpusmill.functions.text import is_blank, let, percent, round_to, strip, text_of
+from corpusmill.functions.text import constant, is_blank, let, percent, phase, round_to, strip, text_of
 from corpusmill.operators.compress import minify, strings
 from corpusmill.operators.detect import category, route_type
 from corpusmill.operators.redact import redact
@@ -17,44 +17,48 @@ SAFE_CONFIDENCE = 0.85
 DEFAULT_INTENT = T.INTENTS[0]
 
 
-def by_category(cat: Column, intent: str, pick) -> Column:
-    """A value of the (category, intent) strategy, by a small literal map."""
-    rows = {c: s for (c, i), s in T.STRATEGIES.items() if i == intent}
-    entries = F.create_map(*[x for c, s in rows.items() for x in (F.lit(c), pick(s))])
-    return F.element_at(entries, cat)
+def strategy(cat: Column, intent: str) -> Column:
+    """struct(steps, confidence) of a category, from a small constant map."""
+    rows = {
+        c: {"steps": steps, "confidence": sure}
+        for (c, i), (steps, sure) in T.STRATEGIES.items()
+        if i == intent
+    }
+    schema = "map<string,struct<steps:array<string>,confidence:double>>"
+    return F.element_at(constant(rows, schema), cat)
 
 
 def strategy_steps(cat: Column, intent: str) -> Column:
-    return by_category(cat, intent, lambda s: F.array(*[F.lit(step) for step in s[0]]))
+    return strategy(cat, intent)["steps"]
 
 
 def strategy_confidence(cat: Column, intent: str) -> Column:
-    return by_category(cat, intent, lambda s: F.lit(s[1]))
+    return strategy(cat, intent)["confidence"]
 
 
 def _typed(df: DataFrame, text: str, name: str | None) -> DataFrame:
     n = F.col(name) if name else None
     return (
-        df.withColumn("_raw", text_of(text))
-        .withColumn("_type", route_type(F.col("_raw"), n))
-        .withColumn("_cat", category(F.col("_type")))
-        .withColumn("_n", count_tokens(F.col("_raw")))
-        .withColumn("_red", redact(F.col("_raw")))
-        .withColumn("_rn", count_tokens(F.col("_red")))
+        df.withColumn("_rt_raw", text_of(text))
+        .withColumn("_rt_type", phase(lambda t: route_type(t, n), F.col("_rt_raw")))
+        .withColumn("_rt_cat", phase(category, F.col("_rt_type")))
+        .withColumn("_rt_n", count_tokens(F.col("_rt_raw")))
+        .withColumn("_rt_red", phase(redact, F.col("_rt_raw")))
+        .withColumn("_rt_rn", count_tokens(F.col("_rt_red")))
     )
 
 
 def _skeletons(d: DataFrame, name: str | None, wanted: Column) -> DataFrame:
-    kind = F.when(wanted, outline_kind(F.col("_type"), F.col(name) if name else None))
-    return with_skeleton(d, "_red", kind, "_skel").withColumn(
-        "_sn", F.when(wanted, count_tokens(F.col("_skel"))).otherwise(F.col("_rn"))
+    kind = F.when(wanted, outline_kind(F.col("_rt_type"), F.col(name) if name else None))
+    return with_skeleton(d, "_rt_red", kind, "_rt_skel").withColumn(
+        "_rt_sn", F.when(wanted, count_tokens(F.col("_rt_skel"))).otherwise(F.col("_rt_rn"))
     )
 
 
 def _skeleton_notes() -> tuple[Column, Column]:
-    cut = F.col("_rn") - F.col("_sn")
-    share = fixed(cut.cast("double") / F.nullif(F.col("_rn"), F.lit(0)) * 100.0, 0)
-    done = F.when(cut > 0, F.concat(F.lit("skeleton:"), F.col("_type")))
+    cut = F.col("_rt_rn") - F.col("_rt_sn")
+    share = fixed(cut.cast("double") / F.nullif(F.col("_rt_rn"), F.lit(0)) * 100.0, 0)
+    done = F.when(cut > 0, F.concat(F.lit("skeleton:"), F.col("_rt_type")))
     gone = F.when(
         cut > 0,
         F.concat(
@@ -78,39 +82,39 @@ def smart_route(
     again inside compression, which can tag a UUID next to a new secret tag.
     """
     intent = intent if intent in T.INTENTS else DEFAULT_INTENT
-    has = lambda step: F.array_contains(strategy_steps(F.col("_cat"), intent), step)
+    has = lambda step: F.array_contains(strategy_steps(F.col("_rt_cat"), intent), step)
     d = _skeletons(_typed(df, text, name), name, has("skeleton"))
-    d = d.withColumn("_in", F.when(has("compress"), F.col("_skel")))
-    d = minify(d, "_in", "_m").withColumn(
-        "_out", F.when(has("compress"), F.col("_m.text")).otherwise(F.col("_skel"))
+    d = d.withColumn("_rt_in", F.when(has("compress"), F.col("_rt_skel")))
+    d = minify(d, "_rt_in", "_rt_m").withColumn(
+        "_rt_out", F.when(has("compress"), F.col("_rt_m.text")).otherwise(F.col("_rt_skel"))
     )
-    d = d.withColumn("_new", count_tokens(F.col("_out")))
+    d = d.withColumn("_rt_new", count_tokens(F.col("_rt_out")))
     done, gone = _skeleton_notes()
-    changed = F.col("_red") != F.col("_raw")
+    changed = F.col("_rt_red") != F.col("_rt_raw")
     none = F.array().cast("array<string>")
     steps = F.concat(
         strings(F.when(changed, F.lit("secret_redaction")), done),
-        F.when(has("compress"), F.col("_m.techniques_applied")).otherwise(none),
+        F.when(has("compress"), F.col("_rt_m.techniques_applied")).otherwise(none),
     )
     removed = F.concat(
         strings(F.when(changed, F.lit("Secrets redacted")), gone),
-        F.when(has("compress"), F.col("_m.what_was_removed")).otherwise(none),
+        F.when(has("compress"), F.col("_rt_m.what_was_removed")).otherwise(none),
     )
     result = F.struct(
-        F.col("_out").alias("text"),
+        F.col("_rt_out").alias("text"),
         F.when(F.size(steps) > 0, F.array_join(steps, " → "))
         .otherwise(F.lit("passthrough"))
         .alias("strategy_used"),
-        F.col("_type").alias("content_type"),
+        F.col("_rt_type").alias("content_type"),
         F.slice(removed, 1, 5).alias("what_was_removed"),
-        strategy_confidence(F.col("_cat"), intent).alias("confidence"),
-        F.col("_n").alias("original_tokens"),
-        F.col("_new").alias("compressed_tokens"),
-        percent(F.col("_n") - F.col("_new"), F.col("_n")).alias("saved_percent"),
+        strategy_confidence(F.col("_rt_cat"), intent).alias("confidence"),
+        F.col("_rt_n").alias("original_tokens"),
+        F.col("_rt_new").alias("compressed_tokens"),
+        percent(F.col("_rt_n") - F.col("_rt_new"), F.col("_rt_n")).alias("saved_percent"),
     )
     zero = F.lit(0).cast("bigint")
     empty = F.struct(
-        F.col("_raw").alias("text"),
+        F.col("_rt_raw").alias("text"),
         F.lit("none").alias("strategy_used"),
         F.lit("empty").alias("content_type"),
         none.alias("what_was_removed"),
@@ -121,7 +125,7 @@ def smart_route(
     )
     return d.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        F.when(is_blank(F.col("_raw")), empty).otherwise(result).alias(out),
+        F.when(is_blank(F.col("_rt_raw")), empty).otherwise(result).alias(out),
     )
 
 
@@ -133,30 +137,30 @@ def explain_compression(
     The four intents share their work: a document is redacted once, outlined at
     most once and compressed only in the forms its strategies ask for.
     """
-    is_code, is_data = F.col("_cat") == "code", F.col("_cat") == "data"
+    is_code, is_data = F.col("_rt_cat") == "code", F.col("_rt_cat") == "data"
     d = _skeletons(_typed(df, text, name), name, is_code | is_data)
-    d = d.withColumn("_plain", F.when(~is_data, F.col("_red")))
-    d = d.withColumn("_outline", F.when(is_code, F.col("_skel")))
-    d = minify(minify(d, "_plain", "_mp"), "_outline", "_mo")
-    saving = lambda n: percent(F.col("_n") - n, F.col("_n"))
+    d = d.withColumn("_rt_plain", F.when(~is_data, F.col("_rt_red")))
+    d = d.withColumn("_rt_outline", F.when(is_code, F.col("_rt_skel")))
+    d = minify(minify(d, "_rt_plain", "_rt_mp"), "_rt_outline", "_rt_mo")
+    saving = lambda n: percent(F.col("_rt_n") - n, F.col("_rt_n"))
 
     def outcome(intent: str) -> Column:
-        steps = strategy_steps(F.col("_cat"), intent)
+        steps = strategy_steps(F.col("_rt_cat"), intent)
         both = F.array_contains(steps, "skeleton") & F.array_contains(steps, "compress")
         tokens = (
-            F.when(both, F.col("_mo.compressed_tokens"))
-            .when(F.array_contains(steps, "skeleton"), F.col("_sn"))
-            .otherwise(F.col("_mp.compressed_tokens"))
+            F.when(both, F.col("_rt_mo.compressed_tokens"))
+            .when(F.array_contains(steps, "skeleton"), F.col("_rt_sn"))
+            .otherwise(F.col("_rt_mp.compressed_tokens"))
         )
         return F.struct(
             F.lit(intent).alias("intent"),
             tokens.alias("result_tokens"),
             saving(tokens).alias("saved_percent"),
-            strategy_confidence(F.col("_cat"), intent).alias("confidence"),
+            strategy_confidence(F.col("_rt_cat"), intent).alias("confidence"),
         )
 
-    d = d.withColumn("_all", F.array(*[outcome(i) for i in T.INTENTS]))
-    safe = F.filter("_all", lambda o: o["confidence"] >= SAFE_CONFIDENCE)
+    d = d.withColumn("_rt_all", F.array(*[outcome(i) for i in T.INTENTS]))
+    safe = F.filter("_rt_all", lambda o: o["confidence"] >= SAFE_CONFIDENCE)
     best = let(
         safe,
         lambda s: F.get(
@@ -171,9 +175,9 @@ def explain_compression(
     return d.select(
         *[F.col(f"`{c}`") for c in df.columns],
         F.struct(
-            F.col("_type").alias("content_type"),
-            F.col("_n").alias("original_tokens"),
-            F.col("_all").alias("per_intent"),
+            F.col("_rt_type").alias("content_type"),
+            F.col("_rt_n").alias("original_tokens"),
+            F.col("_rt_all").alias("per_intent"),
             F.coalesce(best, F.lit(DEFAULT_INTENT)).alias("recommended_intent"),
         ).alias(out),
     )

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
 from corpusmill.functions.text import (
-    ANY_CASE, MULTI_ANY_CASE, fold_case, join_segments, let, line_segments, percent, rstrip,
-    segments, strip, text_of,
+    ANY_CASE, MULTI_ANY_CASE, constant, fold_case, join_segments, let, line_segments, percent, rstrip,
+    segments, strip, text_of, unfold,
 )
 from corpusmill.operators.detect import lookup, route_type
 from corpusmill.operators.redact import redact
@@ -65,11 +63,8 @@ def lift(
 
 
 def looks_like_code(block: Column) -> Column:
-    signals = sum(
-        (block.contains(s).cast("int") for s in T.CODE_SIGNALS[1:]),
-        block.contains(T.CODE_SIGNALS[0]).cast("int"),
-    )
-    return signals >= MIN_CODE_SIGNALS
+    signals = F.filter(constant(T.CODE_SIGNALS, "array<string>"), lambda s: block.contains(s))
+    return F.size(signals) >= MIN_CODE_SIGNALS
 
 
 def lift_code(text: Column) -> Column:
@@ -116,7 +111,8 @@ def lift_rules(text: Column) -> Column:
     )
 
     def search(t: Column) -> Column:
-        may = let(fold_case(t), lambda low: reduce(or_, (low.contains(w) for w in RULE_LITERALS)))
+        literals = constant(RULE_LITERALS, "array<string>")
+        may = let(fold_case(t), lambda low: F.exists(literals, lambda w: low.contains(w)))
         found = lift(segments(t, MULTI_ANY_CASE + T.RULE_LINE), T.RULE_PLACEHOLDER, accept)
         return F.when(may, found).otherwise(untouched(t))
 
@@ -128,7 +124,7 @@ KINDS = {"code": lift_code, "table": lift_tables, "ref": lift_refs, "rule": lift
 
 def explode_spans(df: DataFrame, kind: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per span of one kind, in order of appearance in its document."""
-    return df.select(key, F.posexplode(KINDS[kind](F.col(text))["spans"]).alias("pos", "span"))
+    return unfold(df, [key], KINDS[kind](F.col(text))["spans"], "pos", "span")
 
 
 def lift_all(df: DataFrame, text: str = "text") -> DataFrame:
@@ -190,7 +186,7 @@ def span_inventory(df: DataFrame, group: str = "source", text: str = "text") ->
         ]
     )
     return (
-        df.select(group, F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c"))
+        unfold(df, [group], F.filter(counts, lambda c: c["n"] > 0), "c")
         .groupBy(group, F.col("c.kind").alias("kind"))
         .agg(F.sum("c.n").alias("spans"), F.count("*").alias("documents"))
     )

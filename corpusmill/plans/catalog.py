@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
-from corpusmill.functions.text import lines, word_count
+from corpusmill.functions.text import lines, unfold, word_count
 from corpusmill.operators import budget as B
 from corpusmill.operators import compress as C
 from corpusmill.operators import delta as V
@@ -214,27 +214,27 @@ def _compact_sql(x: str) -> str:
 @query(
     "compact_numbers",
     S.with_seeded(
-        f"""SELECT 'customer' AS src, c_custkey AS id, 0 AS pos, {_compact_sql('c_phone')} AS compact FROM customer
+        f"""SELECT 'order' AS src, o_orderkey AS id, 0 AS pos, {_compact_sql("strftime(o_orderdate, '%d.%m.%Y')")} AS compact FROM orders
         UNION ALL SELECT * FROM (SELECT 'line', doc_id, pos - 1, {_compact_sql('line')} AS compact
           FROM (SELECT doc_id, unnest({S.lines('text')}) AS line, generate_subscripts({S.lines('text')}, 1) AS pos FROM seeded))
         WHERE compact IS NOT NULL"""
     ),
 )
 def compact_numbers(spark, sf):
-    phones = load(spark, sf, "customer").select(
-        F.lit("customer").alias("src"),
-        c("c_custkey").alias("id"),
+    dates = load(spark, sf, "orders").select(
+        F.lit("order").alias("src"),
+        c("o_orderkey").alias("id"),
         F.lit(0).alias("pos"),
-        Q.compact_number(c("c_phone")).alias("compact"),
+        Q.compact_number(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("compact"),
     )
-    docs = seeded_corpus(spark, sf).select("doc_id", F.posexplode(lines(c("text"))).alias("pos", "line"))
+    docs = unfold(seeded_corpus(spark, sf), ["doc_id"], lines(c("text")), "pos", "line")
     found = docs.select(
         F.lit("line").alias("src"),
         c("doc_id").alias("id"),
         "pos",
         Q.compact_number(c("line")).alias("compact"),
     ).where("compact IS NOT NULL")
-    return phones.unionByName(found)
+    return dates.unionByName(found)
 
 
 @query(
@@ -615,10 +615,8 @@ _COMMAND_LINE = f"regexp_matches(l, {S.q(D.COMMAND_LINE)})"
     ),
 )
 def real_code_blocks(spark, sf):
-    blocks = seeded_corpus(spark, sf).select(
-        "doc_id",
-        F.posexplode(F.regexp_extract_all("text", F.lit(T.FENCED_BLOCK), F.lit(0))).alias("pos", "block"),
-    )
+    found = F.regexp_extract_all("text", F.lit(T.FENCED_BLOCK), F.lit(0))
+    blocks = unfold(seeded_corpus(spark, sf), ["doc_id"], found, "pos", "block")
     inner = F.regexp_replace("block", r"^```[^\n]*\n|```$", "")
     return blocks.select("doc_id", "pos", D.is_real_code_block(inner).alias("is_code"))
 
@@ -729,7 +727,9 @@ def explain_compression(spark, sf):
     return (
         Q.explain_compression(seeded_corpus(spark, sf))
         .select("doc_id", "explained.*")
-        .select("doc_id", "content_type", "original_tokens", "recommended_intent", F.explode("per_intent").alias("i"))
+        .transform(
+            unfold, ["doc_id", "content_type", "original_tokens", "recommended_intent"], c("per_intent"), "i"
+        )
         .select("doc_id", "content_type", "original_tokens", "recommended_intent", "i.*")
     )
 
@@ -755,7 +755,7 @@ QUESTION_TERMS = S.terms(S.q(QUESTION))
     f"SELECT doc_id, term FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents)",
 )
 def split_terms(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.explode(Q.split_terms(c("text"))).alias("term"))
+    return unfold(load(spark, sf, "documents"), ["doc_id"], Q.split_terms(c("text")), "term")
 
 
 def _relevance_sql(x: str) -> str:
@@ -1035,9 +1035,7 @@ def _lost_sql(kind: str, pattern: str, any_case: bool) -> str:
 def validate_loss(spark, sf):
     old = seeded_corpus(spark, sf).select("doc_id", "text")
     new = new_version(old).select("doc_id", c("text").alias("new_text"))
-    lost = old.join(new, "doc_id").select(
-        "doc_id", F.explode(X.lost_values(c("text"), c("new_text"))).alias("k")
-    )
+    lost = unfold(old.join(new, "doc_id"), ["doc_id"], X.lost_values(c("text"), c("new_text")), "k")
     return lost.select("doc_id", "k.kind", "k.lost", F.array_join("k.samples", ", ").alias("samples"))
 
 

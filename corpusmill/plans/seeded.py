@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.sources.tables import load
+from corpusmill.sources.tables import load, spread
 
 H = "md5(CAST(doc_id AS STRING))"
 UUID = (
@@ -121,7 +121,7 @@ SEEDED_SQL = f"SELECT doc_id, {NAME} AS name, {TEXT} AS text, source FROM docume
 
 def seeded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, name, text, source over all of `documents`."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return docs.select(
         "doc_id", F.expr(NAME).alias("name"), F.expr(TEXT).alias("text"), "source"
     )
