@@ -117,6 +117,15 @@ def budget_load(
     )
 
 
+def settled(scored: DataFrame) -> DataFrame:
+    """Narrow scored rows, written once: ranking reads them twice.
+
+    Scoring reads every text; without this it would run for both readings.
+    """
+    prepare_checkpoints(scored.sparkSession)
+    return scored.checkpoint()
+
+
 def whole_share(budget: int, part: Column, total: Column) -> Column:
     """budget * part / total, rounded down, in integers only."""
     big = F.lit(budget).cast("bigint") * part
@@ -239,9 +248,7 @@ def pack_details(
             F.greatest(F.col("_hits.terms"), F.lit(1).cast("bigint")).alias("terms"),
         )
     )
-    # scoring reads every text, ranking needs its few columns twice
-    prepare_checkpoints(df.sparkSession)
-    chosen = allocate_budget(scored.checkpoint(), budget, group, key)
+    chosen = allocate_budget(settled(scored), budget, group, key)
     texts = readable.select(key, F.col(name).alias("name"), F.col(text).alias("_text"))
     routed = smart_route(
         texts.join(chosen, key).withColumn("_red", redact(F.col("_text"))), "_red", "name", out="_r"

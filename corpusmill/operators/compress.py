@@ -196,18 +196,18 @@ def drop_fillers(text: Column) -> Column:
     return fold_rules(text, FILLER_RULES, samples=MAX_SAMPLES)
 
 
-def is_critical(line: Column) -> Column:
-    return line.rlike(ANY_CASE + L.CRITICAL_LINE)
-
-
 def may_be_critical(text: Column) -> Column:
-    """Can any line of the text be critical? Spares most texts the line regex."""
+    """Cheap necessary condition of a critical line, for a text or a line."""
     named = lambda low: F.exists(
         constant(L.CRITICAL_WORDS, "array<string>"), lambda w: low.contains(w)
     )
     return text.rlike(r"(?U)\d[./:\-]\d") | let(fold_case(text), named)
 
 
+def is_critical(line: Column) -> Column:
+    return may_be_critical(line) & line.rlike(ANY_CASE + L.CRITICAL_LINE)
+
+
 def drop_stop_words(text: Column) -> Column:
     """Prose lines without stop words; markup and critical lines stay."""
 

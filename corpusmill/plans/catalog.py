@@ -29,7 +29,7 @@ from corpusmill.plans import sql as S
 from corpusmill.plans.seeded import new_version, seeded_corpus
 from corpusmill.session import checkpoint_dir
 from corpusmill.sources.files import read_corpus, write_compressed
-from corpusmill.sources.tables import as_corpus, load
+from corpusmill.sources.tables import as_corpus, load, spread
 from corpusmill.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(load(spark, sf, "documents"))
+
+
 # ------------------------------------------------------------------ sources
 
 
@@ -67,9 +71,9 @@ def query(name: str, sql: str | None = None):
 )
 def corpus_tables(spark, sf):
     parts = {
-        "documents": as_corpus(load(spark, sf, "documents"), "doc_id", "text", None, "source"),
-        "pages": as_corpus(load(spark, sf, "pages"), "page_id", "html", "url"),
-        "conversations": as_corpus(load(spark, sf, "conversations"), "conv_id", "text", None, "role"),
+        "documents": as_corpus(documents(spark, sf), "doc_id", "text", None, "source"),
+        "pages": as_corpus(spread(load(spark, sf, "pages")), "page_id", "html", "url"),
+        "conversations": as_corpus(spread(load(spark, sf, "conversations")), "conv_id", "text", None, "role"),
         "benchmark": as_corpus(load(spark, sf, "benchmark"), "item_id", "text"),
     }
     counted = [
@@ -96,7 +100,7 @@ def scratch(spark: SparkSession) -> str:
 )
 def text_files_scan(spark, sf):
     folder = scratch(spark) + "/files"
-    docs = load(spark, sf, "documents").select("text")
+    docs = documents(spark, sf).select("text")
     docs.write.option("maxRecordsPerFile", 500).text(folder)
     files = read_corpus(spark, folder, extensions=[".txt"])
     return files.agg(F.sum(word_count(c("text"))).alias("words"))
@@ -124,7 +128,7 @@ def compressed_by_type_files(spark, sf):
     """,
 )
 def pack_first_files(spark, sf):
-    docs = load(spark, sf, "documents").withColumn(
+    docs = documents(spark, sf).withColumn(
         "name", F.concat(F.lit("doc_"), c("doc_id").cast("string"))
     )
     return B.pack_block(docs, "source", "doc_id").select(
@@ -144,7 +148,7 @@ def pack_first_files(spark, sf):
     """,
 )
 def pin_entries(spark, sf):
-    turns = load(spark, sf, "conversations")
+    turns = spread(load(spark, sf, "conversations"))
     pinned = turns.where(c("role") == "user").groupBy("conv_id", "text").agg(F.min("turn").alias("turn"))
     out = H.pin_entries(pinned, turns.select("conv_id", "text", "turn"), "conv_id", "text", "turn")
     return out.select("conv_id", "turn", F.md5("text").alias("text_md5"))
@@ -164,7 +168,7 @@ def min_length(spark, sf):
        FROM conversations WHERE contains(lower(text), 'then')""",
 )
 def search_history(spark, sf):
-    return H.search_history(load(spark, sf, "conversations"), "Then").select(
+    return H.search_history(spread(load(spark, sf, "conversations")), "Then").select(
         "conv_id", "turn", "history_size"
     )
 
@@ -179,7 +183,7 @@ def search_history(spark, sf):
     """,
 )
 def search_with_variants(spark, sf):
-    turns = load(spark, sf, "conversations").withColumn(
+    turns = spread(load(spark, sf, "conversations")).withColumn(
         "compact", F.when(c("turn") % 2 == 0, c("role"))
     )
     out = H.search_with_variants(turns.where("turn = 0"), turns, " User ", "text", "compact")
@@ -192,7 +196,7 @@ def search_with_variants(spark, sf):
        left(text, 100) AS history_label, trim(replace(text, chr(10), ' ')) AS one_line FROM conversations""",
 )
 def previews(spark, sf):
-    return load(spark, sf, "conversations").select(
+    return spread(load(spark, sf, "conversations")).select(
         "conv_id",
         "turn",
         H.preview(c("text")).alias("label"),
@@ -324,7 +328,7 @@ def entropy_profile(spark, sf):
 
 
 def docs_with_tokens(spark, sf):
-    return load(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", "source", N.count_tokens(c("text")).alias("tokens")
     )
 
@@ -451,7 +455,7 @@ _CUT = "CAST(floor(len(text)::DOUBLE * (200::DOUBLE / tokens::DOUBLE)) AS INT)"
 def truncate_to_budget(spark, sf):
     cut = N.cut_to_budget(c("text"), F.lit(200))
     return (
-        load(spark, sf, "documents")
+        documents(spark, sf)
         .select("doc_id", cut.alias("cut"))
         .select("doc_id", "cut.tokens", F.md5("cut.text").alias("text_md5"))
     )
@@ -493,7 +497,7 @@ _TOKEN_COSTS = " || '  |  ' || ".join(
       {_TOKEN_COSTS} AS cost_summary FROM (SELECT doc_id, {S.tok('text')} AS tokens, len(text) AS chars FROM documents WHERE text <> '')""",
 )
 def token_report(spark, sf):
-    return N.token_report(load(spark, sf, "documents")).drop("cost_cents")
+    return N.token_report(documents(spark, sf)).drop("cost_cents")
 
 
 _WS = S.words("text")
@@ -507,7 +511,7 @@ _WS = S.words("text")
 )
 def token_length_classes(spark, sf):
     return (
-        load(spark, sf, "documents")
+        documents(spark, sf)
         .select("doc_id", N.token_length_classes(c("text")).alias("k"))
         .select("doc_id", "k.*")
     )
@@ -521,7 +525,7 @@ def token_length_classes(spark, sf):
 )
 def token_length_totals(spark, sf):
     return (
-        load(spark, sf, "documents")
+        documents(spark, sf)
         .select("source", N.token_length_classes(c("text")).alias("k"))
         .groupBy("source")
         .agg(*[F.sum(f"k.{n}").alias(n) for n in ("expensive", "medium", "cheap")])
@@ -556,7 +560,7 @@ ROUTED_CTE = (
     ),
 )
 def route_type(spark, sf):
-    docs, pages = seeded_corpus(spark, sf), load(spark, sf, "pages")
+    docs, pages = seeded_corpus(spark, sf), spread(load(spark, sf, "pages"))
     row = lambda df, tbl, key, kind: df.select(
         F.lit(tbl).alias("tbl"), c(key).alias("id"), kind.alias("content_type")
     )
@@ -700,7 +704,7 @@ def compression_rollup(spark, sf):
         WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 2""",
 )
 def boilerplate_lines(spark, sf):
-    return C.boilerplate_lines(load(spark, sf, "documents"))
+    return C.boilerplate_lines(documents(spark, sf))
 
 
 # --------------------------------------------------------- routing, budgets
@@ -755,7 +759,7 @@ QUESTION_TERMS = S.terms(S.q(QUESTION))
     f"SELECT doc_id, term FROM (SELECT doc_id, unnest({S.terms('text')}) AS term FROM documents)",
 )
 def split_terms(spark, sf):
-    return unfold(load(spark, sf, "documents"), ["doc_id"], Q.split_terms(c("text")), "term")
+    return unfold(documents(spark, sf), ["doc_id"], Q.split_terms(c("text")), "term")
 
 
 def _relevance_sql(x: str) -> str:
@@ -777,7 +781,7 @@ def relevance(spark, sf):
 )
 def relevance_per_question(spark, sf):
     questions = load(spark, sf, "benchmark").select("item_id", c("text").alias("question"))
-    docs = load(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     n = questions.agg(F.count("*")).scalar()
     asked = docs.withColumn("item_id", F.pmod(c("doc_id"), n))
     return asked.join(questions, "item_id").select(
@@ -800,10 +804,10 @@ WEIGHTED = f"weighted AS (SELECT source, doc_id, len(list_intersect({QUESTION_TE
 
 def _allocation(budget: int):
     def run(spark, sf):
-        docs = load(spark, sf, "documents").select(
+        scored = documents(spark, sf).select(
             "source", "doc_id", Q.question_hits(c("text"), F.lit(QUESTION))["hits"].alias("weight")
         )
-        return B.allocate_budget(docs, budget, "source", "doc_id").select(
+        return B.allocate_budget(B.settled(scored), budget, "source", "doc_id").select(
             "source", "doc_id", "weight", "allocated", c("rank").cast("bigint").alias("rank")
         )
 
@@ -1089,7 +1093,7 @@ UNION ALL SELECT event_id, '$.note', 'string', CASE WHEN len(n) > 40 THEN left(n
 
 
 def events_json(spark, sf):
-    return load(spark, sf, "events").select("event_id", F.expr(_EVENT_JSON).alias("payload"))
+    return spread(load(spark, sf, "events")).select("event_id", F.expr(_EVENT_JSON).alias("payload"))
 
 
 @query("json_leaves", _LEAVES_SQL)
