@@ -644,7 +644,6 @@ _phase_query("shorten_refs", lambda t: C.shorten_refs(t)["text"], S.with_short_r
 _phase_query("telegraphic", lambda t: C.telegraphic(t)["text"], S.telegraphic("text"))
 _phase_query("structural", lambda t: C.structural(t)["text"], S.structured("text"))
 _phase_query("finalize", lambda t: C.finalize(t, F.lit(False)), S.finalized("text"))
-_phase_query("dedup_lines", lambda t: C.dedup_lines(t)["text"], None)
 _phase_query(
     "ocr_text_repair",
     C.repair_ocr_text,
@@ -667,19 +666,54 @@ _phase_query(
 )
 
 
-@query("protect_blocks")
+@query(
+    "dedup_lines",
+    S.recursive(S.with_seeded(_RESULT + "dd", _SRC, *S.dedup_ctes("src", "dd"))),
+)
+def dedup_lines(spark, sf):
+    out = seeded_corpus(spark, sf).select("doc_id", C.dedup_lines(c("text"))["text"].alias("t"))
+    return out.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("bigint").alias("chars"))
+
+
+@query(
+    "protect_blocks",
+    S.with_seeded(
+        "SELECT doc_id, len(kept) AS kept_blocks, md5(t) AS text_md5 FROM pr", _SRC, *S.protect_ctes("src", "pr")
+    ),
+)
 def protect_blocks(spark, sf):
-    p = seeded_corpus(spark, sf).select("doc_id", "text", C.protect_blocks(c("text")).alias("p"))
+    p = seeded_corpus(spark, sf).select("doc_id", C.protect_blocks(c("text")).alias("p"))
     return p.select(
         "doc_id",
         F.size("p.blocks").cast("bigint").alias("kept_blocks"),
         F.md5("p.text").alias("text_md5"),
-        F.length(C.restore_blocks(c("p.text"), c("p.blocks"))).cast("bigint").alias("restored_chars"),
     )
 
 
-@query("minify")
+@query(
+    "minify",
+    S.recursive(
+        S.with_seeded(
+            f"""SELECT doc_id, md5(t) AS text_md5, n0 AS original_tokens, n1 AS compressed_tokens,
+            {S.pct('n0 - n1', 'n0')} AS saved_percent, kind AS content_type FROM mm""",
+            _SRC,
+            *S.minify_ctes("src", "mm"),
+        )
+    ),
+)
 def minify(spark, sf):
+    return C.minify(seeded_corpus(spark, sf)).select(
+        "doc_id",
+        F.md5("compressed.text").alias("text_md5"),
+        "compressed.original_tokens",
+        "compressed.compressed_tokens",
+        "compressed.saved_percent",
+        "compressed.content_type",
+    )
+
+
+@query("minify_techniques")
+def minify_techniques(spark, sf):
     return C.minify(seeded_corpus(spark, sf)).select(
         "doc_id",
         F.md5("compressed.text").alias("text_md5"),
@@ -692,7 +726,18 @@ def minify(spark, sf):
     )
 
 
-@query("compression_rollup")
+@query(
+    "compression_rollup",
+    S.recursive(
+        S.with_seeded(
+            f"""SELECT source, docs, a AS original_tokens, b AS compressed_tokens, a - b AS tokens_saved, {S.pct('a - b', 'a')} AS saved_percent
+            FROM (SELECT coalesce(source, '(all)') AS source, count(*) AS docs, sum({S.tok('raw')})::BIGINT AS a, sum(n1)::BIGINT AS b
+              FROM mm GROUP BY GROUPING SETS ((source), ()))""",
+            "src AS (SELECT doc_id, source, text AS raw, text AS t FROM seeded)",
+            *S.minify_ctes("src", "mm"),
+        )
+    ),
+)
 def compression_rollup(spark, sf):
     return C.compression_rollup(seeded_corpus(spark, sf))
 
@@ -710,9 +755,34 @@ def boilerplate_lines(spark, sf):
 # --------------------------------------------------------- routing, budgets
 
 
-@query("smart_route")
+ROUTE_SRC = "src AS (SELECT doc_id, source, name, text AS t FROM seeded)"
+
+
+@query(
+    "smart_route",
+    S.recursive(
+        S.with_seeded(
+            f"""SELECT doc_id, md5(t) AS text_md5, rkind AS content_type, rn0 AS original_tokens, rn1 AS compressed_tokens,
+            {S.pct('rn0 - rn1', 'rn0')} AS saved_percent FROM rt""",
+            ROUTE_SRC,
+            *S.route_ctes("src", "rt"),
+        )
+    ),
+)
 def smart_route(spark, sf):
-    r = Q.smart_route(seeded_corpus(spark, sf))
+    return Q.smart_route(seeded_corpus(spark, sf)).select(
+        "doc_id",
+        F.md5("routed.text").alias("text_md5"),
+        "routed.content_type",
+        "routed.original_tokens",
+        "routed.compressed_tokens",
+        "routed.saved_percent",
+    )
+
+
+@query("smart_route_strategies")
+def smart_route_strategies(spark, sf):
+    r = Q.smart_route(seeded_corpus(spark, sf), intent="code_review")
     return r.select(
         "doc_id",
         F.md5("routed.text").alias("text_md5"),
@@ -822,7 +892,35 @@ for _b in (1000, 10000, 100000):
     )(_allocation(_b))
 
 
-@query("context_pack")
+_PACK_CTES = [
+    "src AS (SELECT doc_id, source, name, t FROM packed0)",
+    f"""weighted AS (SELECT source, doc_id, {S.tok('t')} AS doc_tokens,
+        len(list_intersect({QUESTION_TERMS}, {S.terms('t')}))::BIGINT AS weight FROM src)""",
+    _alloc_sql("weighted", BUDGET),
+    "picked AS (SELECT doc_id, name, s.t FROM src s JOIN chosen USING (doc_id))",
+    *S.route_ctes("picked", "rt"),
+    f"""parts AS (SELECT c.source, doc_id, r.name, doc_tokens, docs, allocated, weight,
+        row_number() OVER (PARTITION BY c.source ORDER BY weight DESC, doc_id) AS rank,
+        CASE WHEN rn1 <= allocated THEN r.t ELSE left(r.t, CAST(floor(len(r.t)::DOUBLE * (allocated::DOUBLE / rn1::DOUBLE)) AS INT)) END AS t,
+        CASE WHEN rn1 <= allocated THEN rn1 ELSE allocated END AS actual
+        FROM chosen c JOIN rt r USING (doc_id))""",
+]
+
+
+@query(
+    "context_pack",
+    S.recursive(
+        S.with_seeded(
+            f"""SELECT source, string_agg('--- ' || name || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY rank) AS packed_context,
+            count(*) AS files_included, any_value(docs) - count(*) AS files_skipped, sum(actual)::BIGINT AS tokens_used,
+            sum(doc_tokens)::BIGINT AS total_original_tokens, sum(doc_tokens - actual)::BIGINT AS tokens_saved,
+            {S.pct('sum(doc_tokens - actual)', 'sum(doc_tokens)')} AS saved_percent FROM parts GROUP BY source""",
+            "pack_src AS (SELECT doc_id, source, name, text AS t FROM seeded)",
+            *S.redaction_ctes("pack_src", "packed0"),
+            *_PACK_CTES,
+        )
+    ),
+)
 def context_pack(spark, sf):
     return B.context_pack(seeded_corpus(spark, sf), QUESTION, BUDGET)
 

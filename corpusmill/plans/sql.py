@@ -329,3 +329,147 @@ def terms(x: str) -> str:
         f"list_distinct(list_filter(string_split_regex(lower({spaced}), '[^a-z0-9]+'), "
         "lambda w: len(w) >= 2))"
     )
+
+
+# ------------------------------------------------- the whole rewrite, staged
+
+
+def tail_stripped(x: str) -> str:
+    return f"regexp_replace({x}, '\\s+$', '')"
+
+
+def real_code(ls: str) -> str:
+    """Verdict on the non-blank lines of a fenced block."""
+    having = lambda test: f"len(list_filter({ls}, lambda l: {test}))"
+    matches = lambda x, pattern: f"regexp_matches({x}, {q(pattern)})"
+    code = (
+        f"({matches('l', 'def |class |import |from .+ import |function |const |let |var |return ')} "
+        f"OR {matches(strip('l'), '[{};]$')} OR {matches('l', r'^\s*(?:if|for|while|try|except|catch)\b')})"
+    )
+    return (
+        f"CASE WHEN len({ls}) <= 3 OR {having(matches('l', '[├└│─]'))} >= 2 THEN FALSE "
+        f"WHEN {having(code)} >= 2 THEN TRUE "
+        f"WHEN {having(matches('l', r'^\s*(?:#|[$>]|\w+\s)'))} >= len({ls}) * 0.7 THEN FALSE "
+        f"ELSE len({ls}) > 5 END"
+    )
+
+
+FENCE_BODY = tail_stripped("regexp_replace(h, '^[^\\n]*\\n|```$', '', 'g')")
+FENCE_HINT = "lower(trim(regexp_extract(h, '^```([^\\n]*)\\n', 1)))"
+
+
+def block_text() -> str:
+    """The text that replaces block h, or NULL where the block is kept."""
+    ls = lines(FENCE_BODY)
+    commands = unlines(
+        f"list_filter(list_transform({ls}, lambda l: {strip('l')}), "
+        "lambda l: l <> '' AND (left(l, 1) <> '#' OR left(l, 2) = '#!'))"
+    )
+    bare = sub(sub(sub("l", "[├└│]"), r"──\s*", " "), r"\s{2,}#\s+.*$")
+    tree = unlines(
+        f"list_filter(list_transform({ls}, lambda l: {tail_stripped(sub(bare, '^[ \\t]+', ' '))}), "
+        "lambda l: trim(l) <> '')"
+    )
+    fenced = lambda body: f"'```' || {NL} || {body} || {NL} || '```'"
+    tree_lines = f"len(list_filter({ls}, lambda l: regexp_matches(l, '[├└│]')))"
+    full = f"list_filter({lines(strip(FENCE_BODY))}, lambda l: trim(l) <> '')"
+    return (
+        f"CASE WHEN NOT contains(h, {NL}) THEN h "
+        f"WHEN list_contains({listed(L.CODE_HINTS)}, {FENCE_HINT}) THEN NULL "
+        f"WHEN {tree_lines} >= 2 THEN {fenced(tree)} "
+        f"WHEN list_contains({listed(L.SHELL_HINTS)}, {FENCE_HINT}) THEN {fenced(commands)} "
+        f"WHEN {real_code(full)} THEN NULL "
+        f"WHEN {commands} <> {FENCE_BODY} THEN {fenced(commands)} ELSE NULL END"
+    )
+
+
+def protect_ctes(src: str, out: str) -> list[str]:
+    """From `src`(..., t) to `out`(..., t, kept): keys in, code blocks out."""
+    number = "len(list_filter(d[1:i], lambda x: x IS NULL)) - 1"
+    put = f"coalesce(d[i], '__PROTECTED_' || ({number}) || '__')"
+    return [
+        f"{out}1 AS (SELECT * EXCLUDE (t), {pieces('t', '```(?s:.)*?```')} AS p FROM {src})",
+        f"{out}2 AS (SELECT *, list_transform(p.h, lambda h: {block_text()}) AS d FROM {out}1)",
+        f"{out} AS (SELECT * EXCLUDE (p, d), list_filter(p.h, lambda h, i: d[i] IS NULL) AS kept, "
+        f"{rebuilt('p', put)} AS t FROM {out}2)",
+    ]
+
+
+def dedup_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
+    """From `src`(key, ..., t) to `out`: a walk over the lines, one at a time."""
+    s = strip("line")
+    return [
+        f"{out}ls AS (SELECT {key}, unnest({lines('t')}) AS line, generate_subscripts({lines('t')}, 1) AS pos "
+        f"FROM {src} WHERE len({lines('t')}) > 5)",
+        f"{out}walk AS (SELECT DISTINCT {key}, 0::BIGINT AS pos, ''::VARCHAR AS line, []::VARCHAR[] AS win, "
+        f"FALSE AS blank, FALSE AS keep FROM {out}ls UNION ALL "
+        f"SELECT w.{key}, l.pos, l.line, "
+        f"CASE WHEN {s.replace('line', 'l.line')} = '' OR list_contains(w.win, {s.replace('line', 'l.line')}) THEN w.win "
+        f"ELSE list_append(w.win, {s.replace('line', 'l.line')})[-3:] END, "
+        f"CASE WHEN {s.replace('line', 'l.line')} = '' THEN TRUE "
+        f"WHEN list_contains(w.win, {s.replace('line', 'l.line')}) THEN w.blank ELSE FALSE END, "
+        f"CASE WHEN {s.replace('line', 'l.line')} = '' THEN NOT w.blank "
+        f"ELSE NOT list_contains(w.win, {s.replace('line', 'l.line')}) END "
+        f"FROM {out}walk w JOIN {out}ls l ON l.{key} = w.{key} AND l.pos = w.pos + 1)",
+        f"{out}kept AS (SELECT {key}, coalesce(string_agg(line, {NL} ORDER BY pos) FILTER (keep), '') AS kt "
+        f"FROM {out}walk WHERE pos > 0 GROUP BY {key})",
+        f"{out} AS (SELECT x.* EXCLUDE (t), coalesce(kt, t) AS t FROM {src} x LEFT JOIN {out}kept USING ({key}))",
+    ]
+
+
+def minify_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
+    """From `src`(key, ..., t) to `out`(..., t, n0, n1, kind)."""
+    code = sub(sub("replace(t, chr(9), '  ')", r"(?m)[ \t]+$"), r"(\S)[ \t]{2,}", r"\1 ")
+    is_code = "starts_with(kind, 'code_')"
+    ctes = [
+        *redaction_ctes(src, f"{out}r"),
+        f"{out}n AS (SELECT *, {tok('t')} AS n0 FROM {out}r)",
+        *protect_ctes(f"{out}n", f"{out}p"),
+        f"{out}k AS (SELECT *, {detect('t')} AS kind FROM {out}p)",
+    ]
+    last = f"{out}k"
+    steps = [
+        normalized, without_fillers, without_stop_words, with_synonyms, with_short_refs,
+        telegraphic, structured,
+    ]
+    for i, step in enumerate(steps):
+        old = code if i == 0 else "t"
+        ctes.append(
+            f"{out}s{i} AS (SELECT * EXCLUDE (t), CASE WHEN {is_code} THEN {old} ELSE {step('t')} END AS t FROM {last})"
+        )
+        last = f"{out}s{i}"
+    ctes += dedup_ctes(last, f"{out}d", key)
+    tidy_code = strip(sub(sub("t", r"(\S) {2,}", r"\1 "), r"\n[ \t]*\n+", "\n"))
+    put = "kept[CAST(regexp_extract(h, '[0-9]+') AS INT) + 1]"
+    ctes += [
+        f"{out}f AS (SELECT * EXCLUDE (t), CASE WHEN {is_code} THEN {tidy_code} ELSE {finalized('t')} END AS t FROM {out}d)",
+        f"{out}b AS ({stage(out + 'f', '__PROTECTED_[0-9]+__', put)})",
+        f"{out} AS (SELECT * EXCLUDE (kept), {tok('t')} AS n1 FROM {out}b)",
+    ]
+    return ctes
+
+
+def route_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
+    """From `src`(key, name, t) to `out`(..., t, n0, n1, kind), to understand.
+
+    Code gets its outline and is compressed; data gets its skeleton, which for
+    texts that are no JSON is the text; everything else is compressed.
+    """
+    py = unlines(
+        f"list_filter({lines('t')}, lambda l: regexp_matches(l, '^\\s*(?:@\\w|class\\s+\\w|(?:async\\s+)?def\\s+\\w)'))"
+    )
+    cat = category("rkind")
+    return [
+        f"{out}t AS (SELECT *, {routed_type('t', 'name')} AS rkind, {tok('t')} AS rn0 FROM {src})",
+        *redaction_ctes(f"{out}t", f"{out}q"),
+        f"{out}c AS (SELECT * EXCLUDE (t), {cat} AS cat, "
+        f"CASE WHEN ends_with(lower(name), '.py') THEN {py} ELSE t END AS t FROM {out}q)",
+        f"{out}x AS (SELECT * FROM {out}c WHERE cat <> 'data')",
+        *minify_ctes(f"{out}x", f"{out}m", key),
+        f"{out}u AS (SELECT {key}, t FROM {out}m UNION ALL SELECT {key}, t FROM {out}c WHERE cat = 'data')",
+        f"{out} AS (SELECT c.* EXCLUDE (t), u.t, {tok('u.t')} AS rn1 FROM {out}c c JOIN {out}u u USING ({key}))",
+    ]
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
