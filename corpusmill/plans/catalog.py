@@ -546,7 +546,7 @@ def detect_raw_code(spark, sf):
 
 
 ROUTED_CTE = (
-    f"routed AS (SELECT doc_id, source, text, {S.routed_type('text', 'name')} AS content_type FROM seeded)"
+    f"routed AS MATERIALIZED (SELECT doc_id, source, text, {S.routed_type('text', 'name')} AS content_type FROM seeded)"
 )
 
 
@@ -894,10 +894,10 @@ for _b in (1000, 10000, 100000):
 
 _PACK_CTES = [
     "src AS (SELECT doc_id, source, name, t FROM packed0)",
-    f"""weighted AS (SELECT source, doc_id, {S.tok('t')} AS doc_tokens,
+    f"""weighted AS MATERIALIZED (SELECT source, doc_id, {S.tok('t')} AS doc_tokens,
         len(list_intersect({QUESTION_TERMS}, {S.terms('t')}))::BIGINT AS weight FROM src)""",
     _alloc_sql("weighted", BUDGET),
-    "picked AS (SELECT doc_id, name, s.t FROM src s JOIN chosen USING (doc_id))",
+    "picked AS MATERIALIZED (SELECT doc_id, name, s.t FROM src s JOIN chosen USING (doc_id))",
     *S.route_ctes("picked", "rt"),
     f"""parts AS (SELECT c.source, doc_id, r.name, doc_tokens, docs, allocated, weight,
         row_number() OVER (PARTITION BY c.source ORDER BY weight DESC, doc_id) AS rank,

@@ -144,7 +144,7 @@ def redaction_ctes(src: str, out: str = "redacted") -> list[str]:
         f"{out}1 AS (SELECT * EXCLUDE (t), {known('t')} AS t FROM {src})",
         f"{out}2 AS ({stage(out + '1', T.IPV4, IP_PUT)})",
         f"{out}3 AS ({stage(out + '2', T.UUID, UUID_PUT)})",
-        f"{out} AS ({stage(out + '3', LONG_TOKEN, SECRET_PUT)})",
+        f"{out} AS MATERIALIZED ({stage(out + '3', LONG_TOKEN, SECRET_PUT)})",
     ]
 
 
@@ -399,7 +399,7 @@ def dedup_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
     """From `src`(key, ..., t) to `out`: a walk over the lines, one at a time."""
     s = strip("line")
     return [
-        f"{out}ls AS (SELECT {key}, unnest({lines('t')}) AS line, generate_subscripts({lines('t')}, 1) AS pos "
+        f"{out}ls AS MATERIALIZED (SELECT {key}, unnest({lines('t')}) AS line, generate_subscripts({lines('t')}, 1) AS pos "
         f"FROM {src} WHERE len({lines('t')}) > 5)",
         f"{out}walk AS (SELECT DISTINCT {key}, 0::BIGINT AS pos, ''::VARCHAR AS line, []::VARCHAR[] AS win, "
         f"FALSE AS blank, FALSE AS keep FROM {out}ls UNION ALL "
@@ -425,7 +425,7 @@ def minify_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
         *redaction_ctes(src, f"{out}r"),
         f"{out}n AS (SELECT *, {tok('t')} AS n0 FROM {out}r)",
         *protect_ctes(f"{out}n", f"{out}p"),
-        f"{out}k AS (SELECT *, {detect('t')} AS kind FROM {out}p)",
+        f"{out}k AS MATERIALIZED (SELECT *, {detect('t')} AS kind FROM {out}p)",
     ]
     last = f"{out}k"
     steps = [
@@ -435,7 +435,7 @@ def minify_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
     for i, step in enumerate(steps):
         old = code if i == 0 else "t"
         ctes.append(
-            f"{out}s{i} AS (SELECT * EXCLUDE (t), CASE WHEN {is_code} THEN {old} ELSE {step('t')} END AS t FROM {last})"
+            f"{out}s{i} AS MATERIALIZED (SELECT * EXCLUDE (t), CASE WHEN {is_code} THEN {old} ELSE {step('t')} END AS t FROM {last})"
         )
         last = f"{out}s{i}"
     ctes += dedup_ctes(last, f"{out}d", key)
@@ -444,7 +444,7 @@ def minify_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
     ctes += [
         f"{out}f AS (SELECT * EXCLUDE (t), CASE WHEN {is_code} THEN {tidy_code} ELSE {finalized('t')} END AS t FROM {out}d)",
         f"{out}b AS ({stage(out + 'f', '__PROTECTED_[0-9]+__', put)})",
-        f"{out} AS (SELECT * EXCLUDE (kept), {tok('t')} AS n1 FROM {out}b)",
+        f"{out} AS MATERIALIZED (SELECT * EXCLUDE (kept), {tok('t')} AS n1 FROM {out}b)",
     ]
     return ctes
 
@@ -460,9 +460,9 @@ def route_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
     )
     cat = category("rkind")
     return [
-        f"{out}t AS (SELECT *, {routed_type('t', 'name')} AS rkind, {tok('t')} AS rn0 FROM {src})",
+        f"{out}t AS MATERIALIZED (SELECT *, {routed_type('t', 'name')} AS rkind, {tok('t')} AS rn0 FROM {src})",
         *redaction_ctes(f"{out}t", f"{out}q"),
-        f"{out}c AS (SELECT * EXCLUDE (t), {cat} AS cat, "
+        f"{out}c AS MATERIALIZED (SELECT * EXCLUDE (t), {cat} AS cat, "
         f"CASE WHEN ends_with(lower(name), '.py') THEN {py} ELSE t END AS t FROM {out}q)",
         f"{out}x AS (SELECT * FROM {out}c WHERE cat <> 'data')",
         *minify_ctes(f"{out}x", f"{out}m", key),
