@@ -106,7 +106,16 @@ def text_files_scan(spark, sf):
     return files.agg(F.sum(word_count(c("text"))).alias("words"))
 
 
-@query("compressed_by_type_files")
+@query(
+    "compressed_by_type_files",
+    S.recursive(
+        S.with_seeded(
+            "SELECT kind AS content_type, count(*) AS docs, sum(n1)::BIGINT AS tokens FROM mm GROUP BY kind",
+            "src AS (SELECT doc_id, text AS t FROM seeded)",
+            *S.minify_ctes("src", "mm"),
+        )
+    ),
+)
 def compressed_by_type_files(spark, sf):
     folder = scratch(spark) + "/compressed"
     write_compressed(C.minify(seeded_corpus(spark, sf)), folder)
@@ -796,7 +805,44 @@ def smart_route_strategies(spark, sf):
     )
 
 
-@query("explain_compression")
+def _explained_sql() -> str:
+    """Tokens per intent from the two rewrites and the skeleton of a document."""
+    pick = []
+    for o, intent in enumerate(T.INTENTS):
+        whens = " ".join(
+            f"WHEN '{cat}' THEN "
+            + ("no" if "compress" in steps and "skeleton" in steps else "ns" if "skeleton" in steps else "np")
+            for (cat, i), (steps, _) in T.STRATEGIES.items()
+            if i == intent
+        )
+        sure = " ".join(
+            f"WHEN '{cat}' THEN {s}::DOUBLE" for (cat, i), (_, s) in T.STRATEGIES.items() if i == intent
+        )
+        pick.append(
+            f"SELECT doc_id, rkind, rn0, {o} AS o, '{intent}' AS intent, CASE cat {whens} END AS n, "
+            f"CASE cat {sure} END AS confidence FROM every"
+        )
+    return f"""SELECT doc_id, rkind AS content_type, rn0 AS original_tokens, coalesce(best, 'understand') AS recommended_intent,
+      intent, n AS result_tokens, p AS saved_percent, confidence
+    FROM (SELECT *, first_value(CASE WHEN confidence >= 0.85 THEN intent END) OVER (PARTITION BY doc_id
+        ORDER BY confidence >= 0.85 DESC, p DESC, o) AS best
+      FROM (SELECT *, {S.pct('rn0 - n', 'rn0')} AS p FROM ({' UNION ALL '.join(pick)})))"""
+
+
+@query(
+    "explain_compression",
+    S.recursive(
+        S.with_seeded(
+            _explained_sql(),
+            ROUTE_SRC,
+            *S.route_ctes("src", "rt"),
+            "plain AS (SELECT doc_id, t FROM rtq)",
+            *S.minify_ctes("plain", "pm"),
+            f"""every AS MATERIALIZED (SELECT rt.doc_id, rt.rkind, rt.cat, rt.rn0, pm.n1 AS np, rt.rn1 AS no, {S.tok('rtc.t')} AS ns
+                FROM rt JOIN pm USING (doc_id) JOIN rtc USING (doc_id))""",
+        )
+    ),
+)
 def explain_compression(spark, sf):
     return (
         Q.explain_compression(seeded_corpus(spark, sf))
@@ -808,7 +854,21 @@ def explain_compression(spark, sf):
     )
 
 
-@query("build_variants")
+@query(
+    "build_variants",
+    S.recursive(
+        S.with_seeded(
+            f"""SELECT doc_id, CASE WHEN saved OR z IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS variants,
+            CASE WHEN saved THEN 'Compressed' WHEN z IS NOT NULL THEN 'Compact' ELSE 'Original' END AS active_label,
+            CASE WHEN saved THEN p WHEN z IS NOT NULL THEN {S.pct('len(text) - len(z)', 'len(text)')} ELSE 0::DOUBLE END AS active_saved_percent,
+            md5(CASE WHEN saved THEN t WHEN z IS NOT NULL THEN z ELSE text END) AS active_md5
+            FROM (SELECT *, t <> '' AND t <> text AND p > 0 AS saved FROM (
+              SELECT doc_id, text, t, {_compact_sql('text')} AS z, {S.pct('rn0 - rn1', 'rn0')} AS p FROM rt))""",
+            "src AS (SELECT doc_id, NULL::VARCHAR AS name, text, text AS t FROM seeded)",
+            *S.route_ctes("src", "rt"),
+        )
+    ),
+)
 def build_variants(spark, sf):
     v = Q.build_variants(seeded_corpus(spark, sf).select("doc_id", "text"))
     best = Q.best_variant(c("variants"))
@@ -925,10 +985,22 @@ def context_pack(spark, sf):
     return B.context_pack(seeded_corpus(spark, sf), QUESTION, BUDGET)
 
 
-@query("context_pack_details")
+@query(
+    "context_pack_details",
+    S.recursive(
+        S.with_seeded(
+            f"""SELECT source, doc_id, name, rank, docs AS group_docs, doc_tokens AS original_tokens, allocated AS allocated_budget,
+            actual AS actual_tokens, {S.rnd(f'weight::DOUBLE / len({QUESTION_TERMS})::DOUBLE', 2)} AS relevance_score,
+            doc_tokens <= allocated AS is_complete, md5(t) AS text_md5 FROM parts""",
+            "pack_src AS (SELECT doc_id, source, name, text AS t FROM seeded)",
+            *S.redaction_ctes("pack_src", "packed0"),
+            *_PACK_CTES,
+        )
+    ),
+)
 def context_pack_details(spark, sf):
     d = B.pack_details(seeded_corpus(spark, sf), QUESTION, BUDGET)
-    return d.withColumn("text_md5", F.md5("text")).drop("text")
+    return d.withColumn("rank", c("rank").cast("bigint")).withColumn("text_md5", F.md5("text")).drop("text", "strategy")
 
 
 RECENT = 300
