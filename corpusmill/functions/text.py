@@ -360,17 +360,26 @@ def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
 
 def swap_words(col: Column, table: dict[str, str]) -> Column:
     """Replace whole words by a lookup in one pass; struct(text, n)."""
-    known = f"lower(p) IN ({sql_list(table)})"
+    shortest = min(len(word) for word in table)
+    known = f"length(p) >= {shortest} AND lower(p) IN ({sql_list(table)})"
     shorter = "map(" + ", ".join(sql_text(x) for pair in table.items() for x in pair) + ")"
     swapped = F.expr(f"p -> CASE WHEN {known} THEN element_at({shorter}, lower(p)) ELSE p END")
 
     def swap(pieces: Column) -> Column:
-        return F.struct(
-            F.array_join(F.call_function("transform", pieces, swapped), "").alias("text"),
-            F.size(F.call_function("filter", pieces, F.expr(f"p -> {known}"))).alias("n"),
+        return F.array_join(F.call_function("transform", pieces, swapped), "")
+
+    def count(t: Column) -> Column:
+        return let(
+            F.split(t, r"(?U)\b", -1),
+            lambda pieces: let(
+                F.size(F.call_function("filter", pieces, F.expr(f"p -> {known}"))),
+                lambda n: F.struct(
+                    F.when(n == 0, t).otherwise(swap(pieces)).alias("text"), n.alias("n")
+                ),
+            ),
         )
 
-    return let(F.split(col, r"(?U)\b", -1), swap)
+    return let(col, count)
 
 
 def without_words(items: Column, stop: list[str], punctuation: str, min_length: int = 1) -> Column:

@@ -9,6 +9,7 @@ work is limited to rules whose literal occurs in the text.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -528,46 +529,32 @@ def finalize(text: Column, is_code: Column) -> Column:
 # ------------------------------------------------------------- whole rewrite
 
 
-def minify(
-    df: DataFrame,
-    text: str = "text",
-    out: str = "compressed",
-    wrap_tag: str | None = None,
-    redacted: bool = False,
-) -> DataFrame:
-    """Redact, protect code, compress by type: adds one struct of text and stats.
+@lru_cache(maxsize=None)
+def _phases(application: str) -> tuple[dict[str, Column], Column]:
+    """The phase columns, and the result struct, over `_mf_red` and `_mf_out`.
 
-    One narrow projection per phase; every phase result is a column of its own,
-    which the optimizer computes once. Code skips the prose phases as NULL.
+    They do not depend on the input columns, and building them takes some
+    thousand driver calls, so a session builds them once.
     """
     f = F.col
     no_strings = F.array().cast("array<string>")
     is_code = f("_mf_kind").startswith("code_")
-    source = text_of(text)
-    d = (
-        df.withColumn("_mf_red", source if redacted else redact(source))
-        .withColumn("_mf_n", count_tokens(f("_mf_red")))
-        .withColumn("_mf_safe", phase(protect_blocks, f("_mf_red")))
-        .withColumn("_mf_kind", phase(detect_type, f("_mf_safe.text")))
-        .withColumn("_mf_prose", F.when(~is_code, phase(normalize_prose, f("_mf_safe.text"))))
-        .withColumn("_mf_fill", phase(drop_fillers, f("_mf_prose")))
-        .withColumn("_mf_stop", phase(drop_stop_words, f("_mf_fill.text")))
-        .withColumn("_mf_syn", phase(synonyms, f("_mf_stop")))
-        .withColumn("_mf_refs", phase(shorten_refs, f("_mf_syn.text")))
-        .withColumn("_mf_tele", phase(telegraphic, f("_mf_refs.text")))
-        .withColumn("_mf_form", phase(structural, f("_mf_tele.text")))
-        .withColumn(
-            "_mf_body",
-            F.when(is_code, normalize_code(f("_mf_safe.text"))).otherwise(f("_mf_form.text")),
-        )
-        .withColumn("_mf_uniq", phase(dedup_lines, f("_mf_body")))
-        .withColumn("_mf_tidy", phase(lambda t: finalize(t, is_code), f("_mf_uniq.text")))
-        .withColumn("_mf_out", phase(lambda t: restore_blocks(t, f("_mf_safe.blocks")), f("_mf_tidy")))
-    )
-    if wrap_tag:
-        d = d.withColumn(
-            "_mf_out", F.concat(F.lit(f"<{wrap_tag}>\n"), f("_mf_out"), F.lit(f"\n</{wrap_tag}>"))
-        )
+    columns = {
+        "_mf_n": count_tokens(f("_mf_red")),
+        "_mf_safe": phase(protect_blocks, f("_mf_red")),
+        "_mf_kind": phase(detect_type, f("_mf_safe.text")),
+        "_mf_prose": F.when(~is_code, phase(normalize_prose, f("_mf_safe.text"))),
+        "_mf_fill": phase(drop_fillers, f("_mf_prose")),
+        "_mf_stop": phase(drop_stop_words, f("_mf_fill.text")),
+        "_mf_syn": phase(synonyms, f("_mf_stop")),
+        "_mf_refs": phase(shorten_refs, f("_mf_syn.text")),
+        "_mf_tele": phase(telegraphic, f("_mf_refs.text")),
+        "_mf_form": phase(structural, f("_mf_tele.text")),
+        "_mf_body": F.when(is_code, normalize_code(f("_mf_safe.text"))).otherwise(f("_mf_form.text")),
+        "_mf_uniq": phase(dedup_lines, f("_mf_body")),
+        "_mf_tidy": phase(lambda t: finalize(t, is_code), f("_mf_uniq.text")),
+        "_mf_out": phase(lambda t: restore_blocks(t, f("_mf_safe.blocks")), f("_mf_tidy")),
+    }
     prose_done = F.concat(
         strings(
             F.lit("normalize"),
@@ -586,27 +573,52 @@ def minify(
         F.when(is_code, code_done).otherwise(prose_done),
         f("_mf_uniq.done"),
     )
-    fillers = F.transform(f("_mf_fill.found"), lambda x: F.concat(F.lit("Filler: '"), x, F.lit("'")))
+    fillers = F.transform(
+        f("_mf_fill.found"), lambda x: F.concat(F.lit("Filler: '"), x, F.lit("'"))
+    )
     removed = F.concat(F.when(is_code, no_strings).otherwise(fillers), f("_mf_uniq.removed"))
     empty = f("_mf_n") == 0
     zero = F.lit(0).cast("bigint")
-    d = d.withColumn("_mf_new", count_tokens(f("_mf_out")))
-    return d.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        F.struct(
-            F.when(empty, f("_mf_red")).otherwise(f("_mf_out")).alias("text"),
-            f("_mf_n").alias("original_tokens"),
-            F.when(empty, zero).otherwise(f("_mf_new")).alias("compressed_tokens"),
-            F.when(empty, F.lit(0.0))
-            .otherwise(percent(f("_mf_n") - f("_mf_new"), f("_mf_n")))
-            .alias("saved_percent"),
-            F.when(empty, F.lit("empty")).otherwise(f("_mf_kind")).alias("content_type"),
-            F.when(empty, no_strings).otherwise(done).alias("techniques_applied"),
-            F.when(empty, no_strings)
-            .otherwise(F.slice(removed, 1, MAX_SAMPLES))
-            .alias("what_was_removed"),
-        ).alias(out),
+    result = F.struct(
+        F.when(empty, f("_mf_red")).otherwise(f("_mf_out")).alias("text"),
+        f("_mf_n").alias("original_tokens"),
+        F.when(empty, zero).otherwise(f("_mf_new")).alias("compressed_tokens"),
+        F.when(empty, F.lit(0.0))
+        .otherwise(percent(f("_mf_n") - f("_mf_new"), f("_mf_n")))
+        .alias("saved_percent"),
+        F.when(empty, F.lit("empty")).otherwise(f("_mf_kind")).alias("content_type"),
+        F.when(empty, no_strings).otherwise(done).alias("techniques_applied"),
+        F.when(empty, no_strings)
+        .otherwise(F.slice(removed, 1, MAX_SAMPLES))
+        .alias("what_was_removed"),
     )
+    return columns, result
+
+
+def minify(
+    df: DataFrame,
+    text: str = "text",
+    out: str = "compressed",
+    wrap_tag: str | None = None,
+    redacted: bool = False,
+) -> DataFrame:
+    """Redact, protect code, compress by type: adds one struct of text and stats.
+
+    One narrow projection per phase; every phase result is a column of its own,
+    which the optimizer computes once. Code skips the prose phases as NULL.
+    """
+    columns, result = _phases(df.sparkSession.sparkContext.applicationId)
+    source = text_of(text)
+    d = df.withColumn("_mf_red", source if redacted else redact(source))
+    for name, column in columns.items():
+        d = d.withColumn(name, column)
+    if wrap_tag:
+        d = d.withColumn(
+            "_mf_out",
+            F.concat(F.lit(f"<{wrap_tag}>\n"), F.col("_mf_out"), F.lit(f"\n</{wrap_tag}>")),
+        )
+    d = d.withColumn("_mf_new", count_tokens(F.col("_mf_out")))
+    return d.select(*[F.col(f"`{c}`") for c in df.columns], result.alias(out))
 
 
 def compression_rollup(df: DataFrame, group: str = "source", text: str = "text") -> DataFrame:
@@ -637,16 +649,28 @@ def boilerplate_lines(
 ) -> DataFrame:
     """Lines that several documents share: occurrences and document frequency.
 
-    Lines are counted inside each document first, so the shuffle carries one row
-    per distinct line and document, combined again on the map side.
+    Lines are counted inside each document, by the runs of its sorted lines, so
+    there is one shuffle, of one row per distinct line and document at most,
+    which the map side combines further.
     """
+
+    def runs(ls: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(ls) - 1),
+            lambda i: (i == 0) | (F.get(ls, i) != F.get(ls, i - 1)),
+        )
+        run = lambda at, k, i: F.struct(
+            F.get(ls, i).alias("line"), (F.coalesce(F.get(at, k + 1), F.size(ls)) - i).alias("n")
+        )
+        return F.when(
+            F.size(ls) > 0, let(starts, lambda at: F.transform(at, lambda i, k: run(at, k, i)))
+        )
+
     trimmed = F.filter(F.transform(lines(text_of(text)), strip), lambda l: l != "")
     return (
-        unfold(df, [key], trimmed, "line")
-        .groupBy(key, "line")
-        .agg(F.count("*").alias("n"))
-        .groupBy("line")
-        .agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+        unfold(df, [key], let(F.sort_array(trimmed), runs), "x")
+        .groupBy(F.col("x.line").alias("line"))
+        .agg(F.sum("x.n").alias("occurrences"), F.count("*").alias("documents"))
         .where(F.col("documents") >= min_docs)
     )
 

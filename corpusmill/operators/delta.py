@@ -41,11 +41,21 @@ def keep_recent_versions(
 
 
 def snapshot_pairs(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, old_text, new_text, ids: one shuffle of each snapshot by its key."""
-    side = lambda df, p: df.select(
-        key, F.col(text).alias(f"{p}_text"), version_id(F.col(text)).alias(f"{p}_id")
+    """key, old_text, new_text, old_id, new_id; keys are unique per snapshot.
+
+    One shuffle of each snapshot. Grouping the union keeps the partitioning by
+    key, which a full outer join would lose, for the aggregations that follow.
+    """
+    none = F.lit(None).cast("string")
+    both = old.select(key, F.col(text).alias("old_text"), none.alias("new_text")).unionByName(
+        new.select(key, none.alias("old_text"), F.col(text).alias("new_text"))
+    )
+    pairs = both.groupBy(key).agg(
+        F.max("old_text").alias("old_text"), F.max("new_text").alias("new_text")
+    )
+    return pairs.withColumn("old_id", version_id(F.col("old_text"))).withColumn(
+        "new_id", version_id(F.col("new_text"))
     )
-    return side(old, "old").join(side(new, "new"), key, "full_outer")
 
 
 def line_delta(pairs: DataFrame, key: str) -> DataFrame:

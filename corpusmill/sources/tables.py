@@ -13,12 +13,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, if the table has fewer files than there are cores.
+    """Rows over all cores, if the scan has fewer partitions than there are cores.
 
-    A table of many files keeps its scan partitions and is not shuffled.
+    A large table keeps its scan partitions and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def as_corpus(
