@@ -1037,7 +1037,26 @@ def budget_structure(spark, sf):
     return seeded_corpus(spark, sf).select("doc_id", F.md5(B.structure_lines(c("text"))).alias("text_md5"))
 
 
-@query("budget_load")
+_PY = S.unlines(
+    f"list_filter({S.lines('t')}, lambda l: regexp_matches(l, '^\\s*(?:@\\w|class\\s+\\w|(?:async\\s+)?def\\s+\\w)'))"
+)
+
+
+@query(
+    "budget_load",
+    S.with_seeded(
+        f"""SELECT doc_id, n <= 300 AS is_complete, how AS priority_used, n AS original_tokens, {S.tok('r')} AS result_tokens,
+        n - {S.tok('r')} AS tokens_saved, md5(r) AS text_md5 FROM final""",
+        "src AS (SELECT doc_id, name, text AS t FROM seeded)",
+        *S.redaction_ctes("src"),
+        f"typed AS MATERIALIZED (SELECT *, {S.tok('t')} AS n, {S.routed_type('t', 'name')} AS kind FROM redacted)",
+        """planned AS (SELECT *, CASE WHEN starts_with(kind, 'code_') THEN 'signatures' WHEN starts_with(kind, 'data_') THEN 'schema'
+            WHEN kind = 'log' THEN 'recent' ELSE 'structure' END AS how FROM typed)""",
+        f"""picked AS MATERIALIZED (SELECT *, CASE WHEN n <= 300 THEN t WHEN how = 'signatures' AND ends_with(lower(name), '.py') THEN {_PY}
+            WHEN how = 'recent' THEN {S.recent('t', 300)} WHEN how = 'structure' THEN {S.structure('t')} ELSE t END AS c FROM planned)""",
+        f"final AS MATERIALIZED (SELECT *, CASE WHEN n <= 300 THEN t ELSE {S.cut('c', 300)} END AS r FROM picked)",
+    ),
+)
 def budget_load(spark, sf):
     return (
         B.budget_load(seeded_corpus(spark, sf), 300)
@@ -1154,7 +1173,15 @@ for _kind, _sql in SPANS.items():
     _span_query(_kind, _sql)
 
 
-@query("placeholder_round_trip")
+@query(
+    "placeholder_round_trip",
+    S.with_seeded(
+        """SELECT doc_id, len(code) AS code, len(tables) AS tables, len(refs) AS refs, len(rules) AS rules,
+        md5(t) AS lifted_md5, md5(raw) AS restored_md5 FROM li""",
+        "src AS (SELECT doc_id, text AS raw, text AS t FROM seeded)",
+        *S.lift_ctes("src", "li"),
+    ),
+)
 def placeholder_round_trip(spark, sf):
     d = X.placeholder_text(seeded_corpus(spark, sf))
     back = X.reinsert(c("lifted.text"), c("lifted"))
@@ -1184,13 +1211,7 @@ def span_inventory(spark, sf):
     return X.span_inventory(seeded_corpus(spark, sf))
 
 
-def _lost_sql(kind: str, pattern: str, any_case: bool) -> str:
-    rx = ("(?i)" if any_case else "") + pattern
-    keep = " AND (len(x) >= 3 OR left(x, 1) <> '0')" if kind == "numbers" else ""
-    lost = (
-        f"list_filter(list_distinct({S.hits('s.text', rx)}), lambda x: "
-        f"NOT list_contains({S.hits('n.text', rx)}, x){keep})"
-    )
+def _lost_sql(kind: str, lost: str) -> str:
     return (
         f"SELECT s.doc_id, '{kind}' AS kind, len({lost}) AS lost, "
         f"array_to_string(list_sort({lost})[1:5], ', ') AS samples FROM seeded s JOIN newer n USING (doc_id)"
@@ -1201,7 +1222,7 @@ def _lost_sql(kind: str, pattern: str, any_case: bool) -> str:
     "validate_loss",
     S.with_seeded(
         "SELECT * FROM ("
-        + " UNION ALL ".join(_lost_sql(k, p, i) for k, (p, i) in T.LOSS_PATTERNS.items())
+        + " UNION ALL ".join(_lost_sql(k, l) for k, l in S.lost_lists("s.text", "n.text").items())
         + ") WHERE lost > 0",
         S.NEW_CTE,
     ),
@@ -1213,18 +1234,48 @@ def validate_loss(spark, sf):
     return lost.select("doc_id", "k.kind", "k.lost", F.array_join("k.samples", ", ").alias("samples"))
 
 
-@query("prompt_requests")
+_REQUESTS = [
+    "src AS (SELECT doc_id, text AS t FROM seeded)",
+    *S.redaction_ctes("src"),
+    f"req AS MATERIALIZED (SELECT doc_id, t AS raw, t, {S.tok('t')} AS n, {S.routed_type('t')} AS kind FROM redacted)",
+    *S.lift_ctes("req", "li"),
+]
+
+
+@query(
+    "prompt_requests",
+    S.with_seeded(
+        f"""SELECT doc_id, kind AS content_type, n AS original_tokens, greatest(n, 4000)::BIGINT AS max_output_tokens, md5(t) AS user_md5,
+        md5({S.looked_up('kind', T.CONTENT_HINTS)} || chr(10) || chr(10) || {S.q(X.PROFILES['compress']['system_prompt'])}) AS system_md5 FROM li""",
+        *_REQUESTS,
+    ),
+)
 def prompt_requests(spark, sf):
+    content = lambda i: F.md5(F.get_json_object("request", f"$.messages[{i}].content"))
     return X.prompt_requests(seeded_corpus(spark, sf)).select(
         "doc_id",
         "content_type",
         "original_tokens",
         "max_output_tokens",
-        F.md5("request").alias("request_md5"),
+        content(1).alias("user_md5"),
+        content(0).alias("system_md5"),
     )
 
 
-@query("accept_shorter")
+@query(
+    "accept_shorter",
+    S.with_seeded(
+        f"""SELECT doc_id, n AS original_tokens, CASE WHEN m < n THEN m ELSE n END AS compressed_tokens,
+        CASE WHEN m < n THEN {S.pct('n - m', 'n')} ELSE 0::DOUBLE END AS saved_percent,
+        CASE WHEN m >= n THEN 'rewrite was not shorter than input' END AS error,
+        md5(CASE WHEN m < n THEN t ELSE raw END) AS text_md5,
+        CASE WHEN m < n THEN {S.warnings('raw', 't')} ELSE '' END AS warnings
+        FROM (SELECT *, {S.tok('t')} AS m FROM back)""",
+        *_REQUESTS,
+        f"""resp AS MATERIALIZED (SELECT * EXCLUDE (t), {S.strip("CASE WHEN doc_id % 3 = 0 THEN raw || ' and more' ELSE " + S.without_stop_words('t') + " END")} AS t FROM li)""",
+        *S.put_back_ctes("resp", "back"),
+    ),
+)
 def accept_shorter(spark, sf):
     requests = X.prompt_requests(seeded_corpus(spark, sf))
     responses = requests.select(

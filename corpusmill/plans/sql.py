@@ -473,3 +473,92 @@ def route_ctes(src: str, out: str, key: str = "doc_id") -> list[str]:
 
 def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# ---------------------------------------------------- lifted spans, budgets
+
+INDENTED = r"(?m)(?:^(?:    |\t).+\n?){3,}"
+TABLE = r"(?m)(?:^\|.+\|[ \t]*\n)+"
+RULE = "(?im)" + T.RULE_LINE
+_CODE_LIKE = " + ".join(f"contains(h, {q(s)})::INT" for s in T.CODE_SIGNALS) + " >= 2"
+_FREE_RULE = "NOT contains(h, '⟨CODE_BLOCK_') AND NOT contains(h, '⟨RULE_')"
+
+
+def _lift(src: str, out: str, name: str, pattern: str, mark: str, accept: str, first: str = "0", tail: str = "''"):
+    """Accepted hits of `src`.t go to the list `name`, numbered marks in."""
+    number = f"({first} + len(list_filter(p.h[1:i], lambda h: {accept})) - 1)"
+    before, after = mark.split("%s")
+    put = f"CASE WHEN {accept} THEN {q(before)} || {number} || {q(after)} || {tail} ELSE h END"
+    return (
+        f"{out} AS MATERIALIZED (SELECT * EXCLUDE (p, t), list_filter(p.h, lambda h: {accept}) AS {name}, "
+        f"{rebuilt('p', put)} AS t FROM (SELECT *, {pieces('t', pattern)} AS p FROM {src}))"
+    )
+
+
+def lift_ctes(src: str, out: str) -> list[str]:
+    """From `src`(..., t) to `out`(..., t, code, tables, refs, rules)."""
+    return [
+        _lift(src, f"{out}1", "fenced", T.FENCED_BLOCK, T.CODE_PLACEHOLDER, "TRUE"),
+        _lift(f"{out}1", f"{out}2", "indented", INDENTED, T.CODE_PLACEHOLDER, _CODE_LIKE, "len(fenced)"),
+        f"{out}3 AS (SELECT * EXCLUDE (fenced, indented), list_concat(fenced, indented) AS code FROM {out}2)",
+        _lift(f"{out}3", f"{out}4", "tables", TABLE, T.TABLE_PLACEHOLDER, "TRUE", tail=NL),
+        _lift(f"{out}4", f"{out}5", "refs", T.INLINE_REF, T.REF_PLACEHOLDER, "TRUE"),
+        _lift(f"{out}5", out, "rules", RULE, T.RULE_PLACEHOLDER, _FREE_RULE),
+    ]
+
+
+def put_back_ctes(src: str, out: str) -> list[str]:
+    """From `src`(..., t, code, tables, refs, rules) to `out` with the spans in t."""
+    ctes, last = [], src
+    for i, (name, mark) in enumerate(
+        [("rules", T.RULE_PLACEHOLDER), ("refs", T.REF_PLACEHOLDER),
+         ("tables", T.TABLE_PLACEHOLDER), ("code", T.CODE_PLACEHOLDER)]
+    ):
+        span = f"{name}[CAST(regexp_extract(h, '[0-9]+') AS INT) + 1]"
+        put = f"coalesce({tail_stripped(span) if name == 'tables' else span}, h)"
+        ctes.append(f"{out}{i} AS ({stage(last, mark.replace('%s', '[0-9]+'), put)})")
+        last = f"{out}{i}"
+    return [*ctes, f"{out} AS MATERIALIZED (SELECT * FROM {last})"]
+
+
+def lost_lists(raw: str, new: str) -> dict[str, str]:
+    """Per kind, the distinct values of `raw` that `new` no longer has."""
+    out = {}
+    for kind, (pattern, any_case) in T.LOSS_PATTERNS.items():
+        rx = ("(?i)" if any_case else "") + pattern
+        keep = " AND (len(x) >= 3 OR left(x, 1) <> '0')" if kind == "numbers" else ""
+        out[kind] = (
+            f"list_filter(list_distinct({hits(raw, rx)}), "
+            f"lambda x: NOT list_contains({hits(new, rx)}, x){keep})"
+        )
+    return out
+
+
+def warnings(raw: str, new: str) -> str:
+    one = [
+        f"CASE WHEN len({l}) > 0 THEN '[{k}] lost ' || len({l}) || ': ' || "
+        f"array_to_string(list_sort({l})[1:5], ', ') END"
+        for k, l in lost_lists(raw, new).items()
+    ]
+    return f"array_to_string(list_filter([{', '.join(one)}], lambda x: x IS NOT NULL), '; ')"
+
+
+def cut(x: str, budget: int) -> str:
+    n = tok(x)
+    at = f"CAST(floor(len({x})::DOUBLE * ({budget}::DOUBLE / {n}::DOUBLE)) AS INT)"
+    return f"CASE WHEN {n} <= {budget} THEN {x} ELSE left({x}, {at}) END"
+
+
+def recent(x: str, budget: int) -> str:
+    ls = lines(x)
+    words_of_last = f"coalesce(list_sum(list_transform({ls}[len({ls}) - k + 1:], lambda l: len({words('l')}))), 0)"
+    fits = f"floor((CASE WHEN k = 0 THEN 0 ELSE {words_of_last} END) * 1.3::DOUBLE) <= {budget}"
+    best = f"list_max(list_filter(range(0, len({ls}) + 1), lambda k: {fits}))"
+    return f"CASE WHEN {best} = 0 THEN '' ELSE {unlines(f'{ls}[len({ls}) - {best} + 1:]')} END"
+
+
+def structure(x: str) -> str:
+    ls = lines(x)
+    head = lambda l: f"left(trim({l}), 1) = '#'"
+    kept = f"list_filter({ls}, lambda l, i: trim(l) = '' OR {head('l')} OR (i > 1 AND {head(f'{ls}[i - 1]')}))"
+    return f"CASE WHEN len({kept}) = 0 THEN {x} ELSE {unlines(kept)} END"
