@@ -296,7 +296,8 @@ def history_dedup(
 
     Any other text is a new entry; the newest `keep` entries stay, with first
     and last time and number of touches. The state that matters is the `window`
-    last distinct texts, so the events of a key split at time buckets:
+    last distinct texts, so the events of a key split at time buckets (rows
+    without a key have no history):
 
     1. the last distinct texts per (key, bucket), by aggregation;
     2. the state each bucket starts with, from those few rows per bucket;
@@ -305,7 +306,7 @@ def history_dedup(
     """
     types = dict(df.dtypes)
     events = (
-        df.where(~is_blank(text_of(text)))
+        df.where(~is_blank(text_of(text)) & F.col(key).isNotNull())
         .select(
             F.col(key).alias("k"),
             bucket_of(ts, bucket_seconds).alias("b"),

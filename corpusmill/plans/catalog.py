@@ -1478,7 +1478,7 @@ def run_to_parquet(spark, stream: DataFrame, mode: str) -> DataFrame:
 @query("debounce_stream", _DEBOUNCED)
 def debounce_stream(spark, sf):
     events = E.read_event_stream(spark, EVENT_SCHEMA, event_folder(spark, sf), "event_type")
-    out = E.debounce_stream(events, "user_id", "ts", f"{int(GAP)} seconds", "1 minute")
+    out = E.debounce_stream(events, "user_id", "ts", GAP, seq="event_id")
     done = run_to_parquet(spark, out, "append")
     return done.where("user_id >= 0").select("event_id", "user_id", "event_type")
 

@@ -31,18 +31,23 @@ def debounce_stream(
     events: DataFrame,
     key: str,
     ts: str,
-    delay: str = "300 milliseconds",
+    delay_seconds: float = 0.3,
     lateness: str = "1 minute",
+    seq: str | None = None,
 ) -> DataFrame:
     """One event per burst: its last one, emitted once the key was quiet.
 
     A session window per key; state is one partial row per open burst. Rows
-    later than the watermark are dropped.
+    later than the watermark are dropped. A session takes in an event exactly
+    one gap later, a burst does not, hence the gap one microsecond short.
     """
-    last = F.max_by(F.struct(*events.columns), F.col(ts))
+    if delay_seconds <= 0:
+        return events
+    gap = f"{round(delay_seconds * 1_000_000) - 1} microseconds"
+    last = F.max_by(F.struct(*events.columns), F.struct(ts, *([seq] if seq else [])))
     return (
         events.withWatermark(ts, lateness)
-        .groupBy(key, F.session_window(ts, delay))
+        .groupBy(key, F.session_window(ts, gap))
         .agg(last.alias("e"), F.count("*").alias("burst_events"))
         .select("e.*", "burst_events")
     )

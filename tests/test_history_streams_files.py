@@ -129,8 +129,8 @@ def test_stream_debounce_equals_batch(spark, tmp_path):
     rows, _ = events(spark, 5, n=400)
     folder, df = stream_folder(spark, tmp_path, rows)
     source = E.read_event_stream(spark, "id bigint, ts timestamp, k bigint, text string", folder)
-    got = run(spark, E.debounce_stream(source, "k", "ts", "550 seconds"), tmp_path)
-    want = {r.id for r in H.debounce(df, "k", ["ts", "id"], 550).collect()}
+    got = run(spark, E.debounce_stream(source, "k", "ts", 600, seq="id"), tmp_path)
+    want = {r.id for r in H.debounce(df, "k", ["ts", "id"], 600).collect()}
     assert {r.id for r in got.collect()} - {-1} == want
     assert got.where("k >= 0").agg(F.sum("burst_events")).first()[0] == 400
 
