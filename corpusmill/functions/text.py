@@ -251,6 +251,9 @@ def replace_matches(
 # ------------------------------------------------------------- rule folds
 
 
+MANY_RULES = 10  # from here on a pass over the words pays
+
+
 @dataclass(frozen=True)
 class Rule:
     """One rewrite with two cheap necessary conditions, both in lower case.
@@ -335,7 +338,7 @@ def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
         ).otherwise(acc)
 
     def selected(start: Column) -> Column:
-        if not any(r.word for r in rules):
+        if not any(r.word for r in rules) or len(rules) < MANY_RULES:
             return table
         present = F.array_intersect(F.split(start["low"], r"\W+"), keywords)
         return let(

@@ -600,16 +600,19 @@ def minify(
     text: str = "text",
     out: str = "compressed",
     wrap_tag: str | None = None,
-    redacted: bool = False,
+    clean: Column | None = None,
 ) -> DataFrame:
     """Redact, protect code, compress by type: adds one struct of text and stats.
 
+    `clean` tells the rows whose text redaction is known to leave as it is.
+
     One narrow projection per phase; every phase result is a column of its own,
     which the optimizer computes once. Code skips the prose phases as NULL.
     """
     columns, result = _phases(df.sparkSession.sparkContext.applicationId)
     source = text_of(text)
-    d = df.withColumn("_mf_red", source if redacted else redact(source))
+    red = redact(source) if clean is None else F.when(clean, source).otherwise(redact(source))
+    d = df.withColumn("_mf_red", red)
     for name, column in columns.items():
         d = d.withColumn(name, column)
     if wrap_tag:

@@ -48,6 +48,11 @@ def _typed(df: DataFrame, text: str, name: str | None) -> DataFrame:
     )
 
 
+def _unchanged(name: str) -> Column:
+    """Is a text still the raw one? Then redaction has found nothing in it."""
+    return F.col(name) == F.col("_rt_raw")
+
+
 def _skeletons(d: DataFrame, name: str | None, wanted: Column) -> DataFrame:
     kind = F.when(wanted, outline_kind(F.col("_rt_type"), F.col(name) if name else None))
     return with_skeleton(d, "_rt_red", kind, "_rt_skel").withColumn(
@@ -79,13 +84,14 @@ def smart_route(
     """Adds a struct: text, strategy, type, what went, confidence, tokens.
 
     An unknown intent means to understand. Redaction runs as its own step and
-    again inside compression, which can tag a UUID next to a new secret tag.
+    again inside compression, which can tag a UUID next to a new secret tag; the
+    second run is spared where the first one changed nothing.
     """
     intent = intent if intent in T.INTENTS else DEFAULT_INTENT
     has = lambda step: F.array_contains(strategy_steps(F.col("_rt_cat"), intent), step)
     d = _skeletons(_typed(df, text, name), name, has("skeleton"))
     d = d.withColumn("_rt_in", F.when(has("compress"), F.col("_rt_skel")))
-    d = minify(d, "_rt_in", "_rt_m").withColumn(
+    d = minify(d, "_rt_in", "_rt_m", clean=_unchanged("_rt_skel")).withColumn(
         "_rt_out", F.when(has("compress"), F.col("_rt_m.text")).otherwise(F.col("_rt_skel"))
     )
     d = d.withColumn("_rt_new", count_tokens(F.col("_rt_out")))
@@ -141,7 +147,8 @@ def explain_compression(
     d = _skeletons(_typed(df, text, name), name, is_code | is_data)
     d = d.withColumn("_rt_plain", F.when(~is_data, F.col("_rt_red")))
     d = d.withColumn("_rt_outline", F.when(is_code, F.col("_rt_skel")))
-    d = minify(minify(d, "_rt_plain", "_rt_mp"), "_rt_outline", "_rt_mo")
+    d = minify(d, "_rt_plain", "_rt_mp", clean=_unchanged("_rt_red"))
+    d = minify(d, "_rt_outline", "_rt_mo", clean=_unchanged("_rt_skel"))
     saving = lambda n: percent(F.col("_rt_n") - n, F.col("_rt_n"))
 
     def outcome(intent: str) -> Column:
