@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
 from corpusmill.functions.text import (
-    ANY_CASE, WHITE, Rule, fold_rules, let, look_behind, replace_matches, segments, text_of, unfold,
+    ANY_CASE, WHITE, Rule, fold_rules, let, look_behind, replace_matches, text_of, unfold,
 )
 
 # A delimiter-free token of the minimum length, tried only at its start.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
-from corpusmill.functions.text import let, percent, round_to, strip, text_of, word_count, words
+from corpusmill.functions.text import let, percent, round_to, text_of, word_count, words
 
 TOKENS_PER_WORD = 1.3
 
