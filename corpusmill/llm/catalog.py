@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import oracles
-from corpusmill.llm.common import read
+from corpusmill.llm import oracles, rollup
+from corpusmill.llm.common import read, settled, word_total
 from corpusmill.llm.exact import exact_dedup
+from corpusmill.llm.language import identify
 from corpusmill.llm.mixture import mix_sources
+from corpusmill.llm.packing import pack
+from corpusmill.llm.pseudonyms import pseudonymised
 from corpusmill.llm.quality import quality_rules
+from corpusmill.llm.urls import url_verdicts
+from corpusmill.session import checkpoint_dir
+
+#: Folder of the public vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+WORDS_VERSION, BPE_VERSION = "words-1", "byte_bpe_50k-1"
+WITHDRAWN_BELOW = 20
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +37,57 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the language predicted from its whole text."""
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences, no source or equal text twice in one."""
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pseudonymised(read(spark, sf_dir, "documents"))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's address judged by rules and model."""
+    return url_verdicts(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Totals after three batches over all documents.
+
+    The first inserts every document with its words. The second revises every
+    document to the byte-pair vocabulary and withdraws those of fewer than
+    WITHDRAWN_BELOW words. The third delivers the second again.
+    """
+    docs = read(spark, sf_dir, "documents")
+    state = f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    facts = ["doc_id", "source", "lang"]
+    words = docs.select(*facts, word_total("text").alias("n_tokens"))
+    first = words.withColumns(
+        {"op": F.lit("insert"), "tokenizer_version": F.lit(WORDS_VERSION), "seq": F.lit(0).cast("long")}
+    )
+    rollup.commit(spark, state, 1, first)
+    vocab = rollup.vocabulary(f"{tokenizers}/byte_bpe_50k.tiktoken")
+    columns = [*facts, word_total("text").alias("n_words")]
+    second = rollup.with_tokens(docs, "text", vocab, columns).withColumns(
+        {
+            "op": F.when(F.col("n_words") < WITHDRAWN_BELOW, "delete").otherwise("revise"),
+            "tokenizer_version": F.lit(BPE_VERSION),
+            "seq": F.lit(1).cast("long"),
+        }
+    )
+    for _ in range(2):
+        rollup.commit(spark, state, 2, second)
+    out = settled(rollup.totals(spark, state))
+    rollup.removed(spark, state)
+    return out
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged; trusted are the documents labelled good."""
     trusted = read(spark, sf_dir, "labels").where("quality = 1")
@@ -31,7 +96,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
+    "op7_url_filters": op7_url_filters,
+    "op8_token_counts": op8_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
