@@ -13,6 +13,7 @@ from corpusmill.llm.common import read, settled, word_total
 from corpusmill.llm.exact import exact_dedup
 from corpusmill.llm.language import identify
 from corpusmill.llm.mixture import mix_sources
+from corpusmill.llm.near import near_classes
 from corpusmill.llm.packing import pack
 from corpusmill.llm.pseudonyms import pseudonymised
 from corpusmill.llm.quality import quality_rules
@@ -47,6 +48,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
+    return near_classes(read(spark, sf_dir, "documents")).drop("raw")
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     return pseudonymised(read(spark, sf_dir, "documents"))
@@ -99,6 +105,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_url_filters": op7_url_filters,
     "op8_token_counts": op8_token_counts,
