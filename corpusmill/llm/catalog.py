@@ -17,6 +17,7 @@ from corpusmill.llm.near import near_classes
 from corpusmill.llm.packing import pack
 from corpusmill.llm.pseudonyms import pseudonymised
 from corpusmill.llm.quality import quality_rules
+from corpusmill.llm.substrings import without_repeats
 from corpusmill.llm.urls import url_verdicts
 from corpusmill.session import checkpoint_dir
 
@@ -94,6 +95,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return out
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left after repeated strings of 100 bytes."""
+    return without_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged; trusted are the documents labelled good."""
     trusted = read(spark, sf_dir, "labels").where("quality = 1")
@@ -109,11 +115,13 @@ QUERIES = {
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_url_filters": op7_url_filters,
     "op8_token_counts": op8_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
     "op1_exact_dedup": oracles.EXACT,
     "op3_mix_sources": oracles.MIXTURE,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": oracles.QUALITY,
 }
