@@ -32,7 +32,8 @@ def word_total(name: str) -> Column:
 
 def word_list(name: str) -> Column:
     """The words of the whole text in order; empty for null."""
-    return F.filter(F.split(text_or_empty(name), GAP), lambda w: w != "")
+    bare = F.btrim(text_or_empty(name), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare != "", F.split(bare, GAP)).otherwise(F.array().cast("array<string>"))
 
 
 def fresh(df: DataFrame, name: str) -> str:

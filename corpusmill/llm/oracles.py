@@ -45,13 +45,16 @@ WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0
          lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
 d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-g0 AS (SELECT r, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM d),
-voc AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM g0)),
+voc AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT unnest(w) AS gram FROM d)),
 crc AS (SELECT gram, xor(list_reduce([4294967295] ||
          list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
          lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 65536 AS b FROM voc, tab),
-good AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
-g AS (SELECT r, b, good.id IS NOT NULL AS good FROM g0 JOIN crc USING (gram) LEFT JOIN good ON g0.doc_id = good.id),
+one AS (SELECT r, doc_id, i, b FROM (SELECT r, doc_id, unnest(w) AS gram, generate_subscripts(w, 1) AS i FROM d) JOIN crc USING (gram)),
+g0 AS (SELECT r, doc_id, b FROM one UNION ALL
+       SELECT x.r, x.doc_id, (x.b * 31421 + y.b + 1) % 65536 FROM one x JOIN one y ON x.r = y.r AND y.i = x.i + 1),
+good AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL
+         ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100000),
+g AS (SELECT r, b, good.id IS NOT NULL AS good FROM g0 LEFT JOIN good ON g0.doc_id = good.id),
 n AS (SELECT b, count(*) AS raw, count(*) FILTER (good) AS good FROM g GROUP BY b),
 tot AS (SELECT sum(raw)::DOUBLE AS raw_all, sum(good)::DOUBLE AS good_all FROM n),
 wt AS (SELECT b, CASE WHEN good_all > 0 THEN

@@ -10,78 +10,82 @@ the fitted weights are one array of `buckets` numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import GAP, WORD, fresh, text_or_empty, word_list
+from corpusmill.llm.common import GAP, WORD, settled, text_or_empty, word_list
 
 BUCKETS = 1 << 16
 #: Lowest mean log-likelihood ratio of a kept document, in millionths of a nat.
 THRESHOLD = -250_000
 SCALE = 1_000_000
+#: Fixed odd factor of the first word's bucket in a pair's.
+PAIR = 31421
+#: Trusted documents that the target is fitted to, at most: those whose identifiers
+#: have the lowest MD5. It bounds the table that is broadcast (8 bytes a document).
+MOST_TRUSTED = 100_000
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MOST_REPEATED = 50, 50
 
 
-def bucket(gram: Column, buckets: int) -> Column:
-    return F.pmod(F.crc32(gram.cast("binary")), F.lit(buckets)).cast("int")
+def bucket(word: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(word.cast("binary")), F.lit(buckets)).cast("int")
 
 
-def grams(words: Column, buckets: int) -> list[Column]:
-    """Buckets of the words, and of each word with the next one."""
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: bucket(F.concat(a, F.lit(" "), b), buckets),
-    )
-    return [F.transform(words, lambda w: bucket(w, buckets)), pairs]
+def bound(value: Column, zero: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once; zero gives the type of the result."""
+    return F.aggregate(F.array(value), zero, lambda _, x: body(x))
+
+
+def grams(words: Column, buckets: int) -> Column:
+    """Buckets of the words, then of each word with the next one.
+
+    The bucket of a pair is worked out from those of its two words.
+    """
+
+    def both(b: Column) -> Column:
+        less = F.greatest(F.size(b) - 1, F.lit(0))
+        pair = lambda x, y: F.pmod(x.cast("long") * PAIR + y + 1, F.lit(buckets)).cast("int")
+        return F.concat(b, F.zip_with(F.slice(b, F.lit(1), less), F.slice(b, F.lit(2), less), pair))
+
+    none = F.array().cast("array<int>")
+    return bound(F.transform(words, lambda w: bucket(w, buckets)), none, both)
 
 
 def repeated_words(words: Column) -> Column:
     """Words in three-word windows found twice or more in the list, the first included."""
+    none = F.lit(0).cast("long")
     n = F.size(words)
-    spots = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
-    keyed = F.when(
-        n >= 4,
-        F.array_sort(
-            F.transform(
-                spots,
-                lambda i: F.struct(
-                    F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)).alias("h"),
-                    i.alias("i"),
-                ),
-            )
-        ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    # In hash order a window is repeated if a neighbour has its hash.
-    return F.aggregate(
-        F.array(keyed),
-        F.lit(0).cast("long"),
-        lambda _, k: F.aggregate(
-            F.array(
-                F.array_sort(
-                    F.transform(
-                        F.filter(
-                            k,
-                            lambda x, j: ((j > 0) & (F.get(k, j - 1)["h"] == x["h"]))
-                            | F.coalesce(F.get(k, j + 1)["h"] == x["h"], F.lit(False)),
-                        ),
-                        lambda x: x["i"],
-                    )
-                )
-            ),
-            F.lit(0).cast("long"),
-            lambda _, at: F.aggregate(
-                at,
-                F.struct(F.lit(0).cast("long").alias("n"), F.lit(-2).alias("last")),
-                lambda s, i: F.struct(
-                    (s["n"] + F.least(i - s["last"], F.lit(3)).cast("long")).alias("n"),
-                    i.alias("last"),
-                ),
-                lambda s: s["n"],
-            ),
-        ),
-    )
+
+    def windows(h: Column) -> Column:
+        at = lambda i: F.element_at(h, i)
+        spots = F.sequence(F.lit(1), F.size(h) - 2)
+        return F.transform(spots, lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
+
+    def counted(w: Column) -> Column:
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(none)
+
+    def covered(w: Column) -> Column:
+        # In hash order a window is repeated if a neighbour has its hash.
+        keyed = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        again = lambda k, x, j: ((j > 0) & (F.get(k, j - 1)["h"] == x["h"])) | F.coalesce(
+            F.get(k, j + 1)["h"] == x["h"], F.lit(False)
+        )
+        spots = lambda k: F.array_sort(F.transform(F.filter(k, lambda x, j: again(k, x, j)), lambda x: x["i"]))
+        return bound(keyed, none, lambda k: bound(spots(k), none, total))
+
+    def total(at: Column) -> Column:
+        start = F.struct(none.alias("n"), F.lit(-3).alias("last"))
+        step = lambda s, i: F.struct(
+            (s["n"] + F.least(i - s["last"], F.lit(3)).cast("long")).alias("n"), i.alias("last")
+        )
+        return F.aggregate(at, start, step, lambda s: s["n"])
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    found = lambda h: bound(windows(h), none, counted)
+    return F.when(n >= 4, bound(hashes, none, found)).otherwise(none)
 
 
 def base_columns(text: Column, words: Column) -> dict[str, Column]:
@@ -98,21 +102,23 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def fitted_weights(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, buckets: int = BUCKETS) -> DataFrame:
+def fitted_weights(
+    docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, buckets: int = BUCKETS, most: int = MOST_TRUSTED
+) -> DataFrame:
     """One row: `weights`, an array of `buckets` log ratios in millionths.
 
     trusted: identifiers of trusted documents, in a column of the same name; null
-    and repeated ones don't count. Counts cover every n-gram of every document.
-    Without trusted documents all weights are 0.
+    and repeated ones don't count. The target is fitted to `most` of them at most,
+    the corpus to every n-gram of every document. Without trusted documents all
+    weights are 0.
     """
     marks = trusted.select(F.col(doc_id).alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
-    words = word_list("t")
-    counts = (
+    marks = marks.orderBy(F.md5(F.col("trusted_id").cast("string")), "trusted_id").limit(most)
+    counts = settled(
         docs.select(F.col(doc_id).alias("d"), text_or_empty(text).alias("t"))
-        .join(marks, F.col("d") == F.col("trusted_id"), "left")
-        .select(F.col("trusted_id").isNotNull().cast("long").alias("good"), words.alias("w"))
-        .select("good", F.concat(*grams(F.col("w"), buckets)).alias("b"))
-        .select("good", F.explode("b").alias("bucket"))
+        .join(F.broadcast(marks), F.col("d") == F.col("trusted_id"), "left")
+        .select(F.col("trusted_id").isNotNull().cast("long").alias("good"), word_list("t").alias("w"))
+        .select("good", F.explode(grams(F.col("w"), buckets)).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
     )
@@ -144,10 +150,9 @@ def quality_rules(
     weights = fitted_weights(docs, trusted, doc_id, text, buckets).scalar()
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
     rows = rows.withColumn("w", word_list("t"))
-    own = grams(F.col("w"), buckets)
     rows = rows.withColumn("weights", weights)
     total = F.aggregate(
-        F.concat(*own), F.lit(0).cast("long"), lambda s, x: s + F.element_at(F.col("weights"), x + 1)
+        grams(F.col("w"), buckets), F.lit(0).cast("long"), lambda s, x: s + F.element_at(F.col("weights"), x + 1)
     )
     rows = rows.select(
         "doc_id",
