@@ -58,6 +58,17 @@ def unfold(df: DataFrame, keep: list, items: Column, *names: str) -> DataFrame:
     return df.select(*keep, explode(items).alias(*names)).where(F.col(names[-1]).isNotNull())
 
 
+def with_totals(per_group: DataFrame, group: str, keys: list[str], *sums: Column) -> DataFrame:
+    """Sums per group and keys, and over all groups: is_total, with a NULL group."""
+    every = F.array(
+        F.struct(F.col(group).alias("of"), F.lit(False).alias("total")),
+        F.struct(F.lit(None).alias("of"), F.lit(True).alias("total")),
+    )
+    rows = per_group.withColumn("_g", F.explode(every)).drop(group)
+    rows = rows.groupBy(F.col("_g.of").alias(group), F.col("_g.total").alias("is_total"), *keys)
+    return rows.agg(*sums)
+
+
 def constant(value, schema: str) -> Column:
     """A literal table; the optimizer folds it to one constant."""
     return F.from_json(F.lit(json.dumps(value)), schema)

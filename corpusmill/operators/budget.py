@@ -148,6 +148,7 @@ def allocate_budget(
     At most budget / min_share documents per group survive, so the ranking
     window is bounded for any group size; everything before it is one map-side
     combined aggregate per group, joined back (broadcast only if it is small).
+    NULL is a group of its own.
     """
     w = F.col(weight).cast("bigint")
     stats = df.groupBy(group).agg(
@@ -158,7 +159,7 @@ def allocate_budget(
     )
     total = F.when(F.col("_sum") == 0, F.lit(1).cast("bigint")).otherwise(F.col("_sum"))
     stats = stats.select(
-        group,
+        F.col(group).alias("_group"),
         total.alias("_total"),
         F.col("_docs"),
         F.col("_top.o").alias("_best"),
@@ -169,16 +170,16 @@ def allocate_budget(
     allocated = (
         F.when(F.col("_shared"), F.when(own >= min_share, own))
         .when(F.col("_equal") >= min_share, F.col("_equal"))
-        .when(F.col(order) == F.col("_best"), F.lit(budget).cast("bigint"))
+        .when(F.col(order).eqNullSafe(F.col("_best")), F.lit(budget).cast("bigint"))
     )
     ranked = Window.partitionBy(group).orderBy(w.desc(), F.col(order))
     return (
-        df.join(stats, group)
+        df.join(stats, F.col(group).eqNullSafe(F.col("_group")))
         .withColumn("allocated", allocated)
         .where(F.col("allocated").isNotNull())
         .withColumn("rank", F.row_number().over(ranked))
         .withColumn("group_docs", F.col("_docs"))
-        .drop("_total", "_docs", "_best", "_shared", "_equal")
+        .drop("_group", "_total", "_docs", "_best", "_shared", "_equal")
     )
 
 
@@ -192,27 +193,28 @@ def pack_block(
 ) -> DataFrame:
     """One block per group: '--- name ---' and text of its first files, in order.
 
-    The file limit is the feature: it is what bounds a block. The limit is
-    applied per task before the shuffle, on narrow rows.
+    The file limit is the feature: it is what bounds a block; files_skipped says
+    how many files with text it leaves out. The limit is applied per task before
+    the shuffle, on narrow rows. NULL is a group of its own.
     """
-    first = Window.partitionBy(group).orderBy(order)
-    chosen = (
-        df.where(~is_blank(text_of(text)))
-        .select(group, order)
-        .withColumn("_ord", F.row_number().over(first))
-        .where(F.col("_ord") <= max_files)
-    )
+    listed = df.where(~is_blank(text_of(text))).select(F.col(group).alias("_g"), F.col(order).alias("_o"))
+    first = Window.partitionBy("_g").orderBy("_o")
+    chosen = listed.withColumn("_ord", F.row_number().over(first)).where(F.col("_ord") <= max_files)
+    all_files = listed.groupBy("_g").agg(F.count("*").alias("_all"))
     part = F.concat(F.lit("--- "), F.col(name), F.lit(" ---\n"), text_of(text))
     return (
-        df.join(chosen, [group, order])
+        df.join(chosen, F.col(group).eqNullSafe(F.col("_g")) & F.col(order).eqNullSafe(F.col("_o")))
+        .drop("_g", "_o")
         .groupBy(group)
         .agg(
             F.array_sort(F.collect_list(F.struct("_ord", part.alias("part")))).alias("_parts"),
             F.count("*").alias("files"),
         )
+        .join(all_files, F.col(group).eqNullSafe(F.col("_g")))
         .select(
             group,
             "files",
+            (F.col("_all") - F.col("files")).alias("files_skipped"),
             F.array_join(F.transform("_parts", lambda p: p["part"]), "\n\n").alias("block"),
         )
     )

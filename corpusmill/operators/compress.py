@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions import lexicons as L
 from corpusmill.functions.text import (
     ANY_CASE, MULTI, MULTI_ANY_CASE, constant, count_matches, fold_case, fold_lines, fold_rules,
-    is_blank, join_segments, let, line_segments, lines, percent, phase, phrase_rules, regex_literal, rstrip, segments,
-    split_lines, strip, swap_words, text_of, unfold, unlines, without_words, words,
+    is_blank, join_segments, let, line_segments, lines, percent, phase, phrase_rules, regex_literal,
+    replace_matches, rstrip, segments,
+    split_lines, strip, swap_words, text_of, unfold, unlines, with_totals,
+    without_words, words,
 )
 from corpusmill.operators.detect import detect_type, is_real_code_block
 from corpusmill.operators.redact import redact
@@ -257,8 +259,9 @@ def synonyms(text: Column) -> Column:
 URL = r"(?U)https?://\S+"
 TRACKING = r"(?U)[?&](?:utm_\w+|ref|source|campaign|medium|content|fbclid|gclid)=[^&\s]*"
 EMAIL = r"(?U)\b[\w.\-]+@[\w.\-]+\.\w+\b"
-WINDOWS_PATH = r"(?U)[A-Z]:\\(?:[\w.\-]+\\)*([\w.\-]+)\\([\w.\-]+)\\"
-UNIX_PATH = r"(?U)(?:/[\w.\-]+)+/([\w.\-]+)/([\w.\-]+)"
+# Possessive repeats of a group are matched in a loop; others recurse per segment.
+WINDOWS_PATH = r"(?U)[A-Z]:\\(?:[\w.\-]++\\){2,}+"
+UNIX_PATH = r"(?U)(?:/[\w.\-]++){3,}+"
 
 
 def shorten_refs(text: Column) -> Column:
@@ -287,8 +290,14 @@ def shorten_refs(text: Column) -> Column:
             t.contains("/") | t.contains("\\"),
             count_matches(t, WINDOWS_PATH) + count_matches(t, UNIX_PATH),
         ).otherwise(F.lit(0))
-        short = F.regexp_replace(
-            F.regexp_replace(t, WINDOWS_PATH, ".../$1/$2"), UNIX_PATH, ".../$1/$2"
+        last_two = lambda h: F.translate(F.substring_index(h, "\\", -3), "\\", "/")
+        drive = replace_matches(
+            t,
+            WINDOWS_PATH,
+            lambda h, i, s: F.concat(F.lit(".../"), F.regexp_replace(last_two(h), "/$", "")),
+        )
+        short = replace_matches(
+            drive, UNIX_PATH, lambda h, i, s: F.concat(F.lit(".../"), F.substring_index(h, "/", -2))
         )
         return let(
             found,
@@ -627,7 +636,8 @@ def minify(
 def compression_rollup(df: DataFrame, group: str = "source", text: str = "text") -> DataFrame:
     """Token totals before and after, per group and for all groups together.
 
-    Only the counts leave the map side; the (all) row sums the group rows.
+    Only the counts leave the map side; the total (is_total, no group) sums the
+    group rows. NULL is a group of its own.
     """
     counts = minify(df.select(group, text), text).select(
         group,
@@ -637,12 +647,10 @@ def compression_rollup(df: DataFrame, group: str = "source", text: str = "text")
     sums = [F.sum("raw").alias("raw"), F.sum("new").alias("new")]
     per_group = counts.groupBy(group).agg(F.count("*").alias("docs"), *sums)
     return (
-        per_group.withColumn(group, F.explode(F.array(F.col(group), F.lit("(all)"))))
-        .groupBy(group)
-        .agg(F.sum("docs").alias("docs"), *sums)
-        .select(group, "docs", token_stats(F.col("raw"), F.col("new")).alias("s"))
+        with_totals(per_group, group, [], F.sum("docs").alias("docs"), *sums)
+        .select(group, "is_total", "docs", token_stats(F.col("raw"), F.col("new")).alias("s"))
         .select(
-            group, "docs", "s.original_tokens", "s.compressed_tokens", "s.tokens_saved", "s.saved_percent"
+            group, "is_total", "docs", "s.original_tokens", "s.compressed_tokens", "s.tokens_saved", "s.saved_percent"
         )
     )
 

@@ -44,11 +44,12 @@ def snapshot_pairs(old: DataFrame, new: DataFrame, key: str, text: str = "text")
     """key, old_text, new_text, old_id, new_id; keys are unique per snapshot.
 
     One shuffle of each snapshot. Grouping the union keeps the partitioning by
-    key, which a full outer join would lose, for the aggregations that follow.
+    key, which a full outer join would lose, for the aggregations that follow. A
+    NULL text is an empty one; a text or id is NULL where a snapshot lacks the key.
     """
     none = F.lit(None).cast("string")
-    both = old.select(key, F.col(text).alias("old_text"), none.alias("new_text")).unionByName(
-        new.select(key, none.alias("old_text"), F.col(text).alias("new_text"))
+    both = old.select(key, text_of(text).alias("old_text"), none.alias("new_text")).unionByName(
+        new.select(key, none.alias("old_text"), text_of(text).alias("new_text"))
     )
     pairs = both.groupBy(key).agg(
         F.max("old_text").alias("old_text"), F.max("new_text").alias("new_text")
@@ -159,8 +160,11 @@ def delta_text(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def changed_docs(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """new, gone, changed or same per document; joins ids, never texts."""
-    side = lambda df, p: df.select(key, version_id(F.col(text)).alias(f"{p}_id"))
+    """new, gone, changed or same per document; joins ids, never texts.
+
+    A NULL text is an empty one.
+    """
+    side = lambda df, p: df.select(key, version_id(text_of(text)).alias(f"{p}_id"))
     joined = side(old, "old").join(side(new, "new"), key, "full_outer")
     status = (
         F.when(F.col("old_id").isNull(), F.lit("new"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
 from corpusmill.functions.text import (
     ANY_CASE, MULTI, constant, count_matches, is_blank, let, split_lines, strip, text_of,
+    with_totals,
 )
 from corpusmill.operators.tokens import count_tokens
 
@@ -138,8 +139,9 @@ def type_mix(
 ) -> DataFrame:
     """Documents, tokens and token share per type: each group, and all groups.
 
-    Documents reduce to (group, type, tokens) before the shuffle. Shares come
-    from a join of the small aggregates, not from a window over rows.
+    The rows of all groups together have is_total true and no group. NULL is a
+    group of its own. Documents reduce to (group, type, tokens) before the
+    shuffle; the share divides by a window over those few rows.
     """
     t = text_of(text)
     typed = df.select(
@@ -150,21 +152,18 @@ def type_mix(
     per_type = typed.groupBy(group, "content_type").agg(
         F.count("*").alias("docs"), F.sum("tokens").alias("tokens")
     )
-    rows = F.array(F.col(group), F.lit("(all)"))
-    both = (
-        per_type.withColumn(group, F.explode(rows))
-        .groupBy(group, "content_type")
-        .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    both = with_totals(
+        per_type, group, ["content_type"], F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")
     )
-    totals = both.groupBy(group).agg(F.sum("tokens").alias("group_tokens"))
-    return both.join(totals, group).select(
+    own = Window.partitionBy(group, "is_total")
+    group_tokens = F.nullif(F.sum("tokens").over(own), F.lit(0))
+    return both.select(
         group,
+        "is_total",
         "content_type",
         "docs",
         "tokens",
-        F.coalesce(
-            F.col("tokens").cast("double") / F.nullif(F.col("group_tokens"), F.lit(0)), F.lit(0.0)
-        ).alias("token_share"),
+        F.coalesce(F.col("tokens").cast("double") / group_tokens, F.lit(0.0)).alias("token_share"),
     )
 
 

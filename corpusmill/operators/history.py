@@ -158,6 +158,7 @@ def with_adjacent(
     Neighbours inside a time bucket come from a window over (key, bucket). The
     first (last) row of a bucket takes the edge row of the bucket before
     (after), found among one row per key and bucket. order[0] is the timestamp.
+    NULL is a key of its own; rows without a time come first.
     """
     picked = F.struct(*values)
     back = step < 0
@@ -171,13 +172,14 @@ def with_adjacent(
         rows.groupBy(key, "_b")
         .agg(edge.alias("_edge"))
         .withColumn("_over", shift("_edge").over(across))
-        .select(key, "_b", "_over")
+        .select(F.col(key).alias("_k"), F.col("_b").alias("_at"), "_over")
     )
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_at"))
     return (
         rows.withColumn("_near", shift(picked).over(inside))
-        .join(edges, [key, "_b"])
+        .join(edges, same)
         .withColumn(out, F.coalesce("_near", "_over"))
-        .drop("_b", "_near", "_over")
+        .drop("_b", "_near", "_over", "_k", "_at")
     )
 
 
@@ -201,12 +203,17 @@ def debounce(
     delay_seconds: float = 0.3,
     bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """The last row of every burst: no further one follows within the delay."""
+    """The last row of every burst: no further one follows within the delay.
+
+    Rows without a time follow nothing and are kept.
+    """
     if delay_seconds <= 0:
         return df
-    near = with_adjacent(df, key, order, [order[0]], "_next", 1, bucket_seconds)
+    timed = df.where(F.col(order[0]).isNotNull())
+    near = with_adjacent(timed, key, order, [order[0]], "_next", 1, bucket_seconds)
     quiet = gap_seconds(F.col(f"_next.{order[0]}"), F.col(order[0])) >= delay_seconds
-    return near.where(F.col("_next").isNull() | quiet).drop("_next")
+    last = near.where(F.col("_next").isNull() | quiet).drop("_next")
+    return last.unionByName(df.where(F.col(order[0]).isNull()))
 
 
 def burst_stats(
@@ -220,8 +227,10 @@ def burst_stats(
 
     Bursts are aggregated inside each time bucket first. Only the first and the
     last part of a bucket can go on beyond it; these few parts are chained.
+    Events without a time belong to no burst.
     """
     ts = order[0]
+    df = df.where(F.col(ts).isNotNull())
     near = with_adjacent(df, key, order, [ts], "_prev", -1, bucket_seconds)
     starts = F.col("_prev").isNull() | (
         gap_seconds(F.col(ts), F.col(f"_prev.{ts}")) >= delay_seconds

@@ -131,9 +131,10 @@ def compressed_by_type_files(spark, sf):
     """
     WITH r AS (SELECT source, text, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n
                FROM documents WHERE regexp_matches(text, '\\S'))
-    SELECT source, count(*) AS files,
-      md5(string_agg('--- doc_' || doc_id || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY n)) AS block_md5
-    FROM r WHERE n <= 20 GROUP BY source
+    SELECT source, count(*) FILTER (n <= 20) AS files, count(*) FILTER (n > 20) AS files_skipped,
+      md5(string_agg('--- doc_' || doc_id || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY n)
+          FILTER (n <= 20)) AS block_md5
+    FROM r GROUP BY source
     """,
 )
 def pack_first_files(spark, sf):
@@ -141,7 +142,7 @@ def pack_first_files(spark, sf):
         "name", F.concat(F.lit("doc_"), c("doc_id").cast("string"))
     )
     return B.pack_block(docs, "source", "doc_id").select(
-        "source", "files", F.md5("block").alias("block_md5")
+        "source", "files", "files_skipped", F.md5("block").alias("block_md5")
     )
 
 
@@ -259,16 +260,17 @@ def compact_numbers(spark, sf):
       WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm' WHEN s < 86400 THEN floor(s / 3600)::BIGINT || 'h'
       ELSE floor(s / 86400)::BIGINT || 'd' END AS age,
       CASE WHEN r <= 1 THEN 'full' WHEN r <= 3 THEN 'dark' WHEN r <= 6 THEN 'medium' ELSE 'light' END AS freshness
-    FROM a WHERE r < 50
+    FROM a
     """,
 )
 def event_ages(spark, sf):
-    newest = H.bounded_history(load(spark, sf, "events"), "user_id", ["ts", "event_id"])
+    events = load(spark, sf, "events")
+    newest = H.bounded_history(events, "user_id", ["ts", "event_id"], 7).select("event_id", "recency")
     now = F.unix_micros(F.lit(NOW).cast("timestamp_ntz").cast("timestamp"))
-    return newest.select(
+    return events.join(newest, "event_id", "left").select(
         "event_id",
         H.age_label((now - F.unix_micros(c("ts").cast("timestamp"))) / F.lit(1e6)).alias("age"),
-        H.freshness(c("recency") - 1).alias("freshness"),
+        F.coalesce(H.freshness(c("recency") - 1), F.lit("light")).alias("freshness"),
     )
 
 
@@ -597,10 +599,10 @@ def category(spark, sf):
 @query(
     "type_mix",
     S.with_seeded(
-        """SELECT g.source, g.content_type, g.docs, g.tokens, g.tokens::DOUBLE / t.tokens AS token_share
-        FROM mix g JOIN (SELECT source, sum(tokens) AS tokens FROM mix GROUP BY source) t ON t.source = g.source""",
+        """SELECT source, is_total, content_type, docs, tokens,
+        tokens::DOUBLE / sum(tokens) OVER (PARTITION BY source, is_total)::DOUBLE AS token_share FROM mix""",
         ROUTED_CTE,
-        f"""mix AS (SELECT coalesce(source, '(all)') AS source, content_type, count(*) AS docs, sum({S.tok('text')})::BIGINT AS tokens
+        f"""mix AS (SELECT source, grouping(source) = 1 AS is_total, content_type, count(*) AS docs, sum({S.tok('text')})::BIGINT AS tokens
             FROM routed GROUP BY GROUPING SETS ((source, content_type), (content_type)))""",
     ),
 )
@@ -739,8 +741,8 @@ def minify_techniques(spark, sf):
     "compression_rollup",
     S.recursive(
         S.with_seeded(
-            f"""SELECT source, docs, a AS original_tokens, b AS compressed_tokens, a - b AS tokens_saved, {S.pct('a - b', 'a')} AS saved_percent
-            FROM (SELECT coalesce(source, '(all)') AS source, count(*) AS docs, sum({S.tok('raw')})::BIGINT AS a, sum(n1)::BIGINT AS b
+            f"""SELECT source, is_total, docs, a AS original_tokens, b AS compressed_tokens, a - b AS tokens_saved, {S.pct('a - b', 'a')} AS saved_percent
+            FROM (SELECT source, grouping(source) = 1 AS is_total, count(*) AS docs, sum({S.tok('raw')})::BIGINT AS a, sum(n1)::BIGINT AS b
               FROM mm GROUP BY GROUPING SETS ((source), ()))""",
             "src AS (SELECT doc_id, source, text AS raw, text AS t FROM seeded)",
             *S.minify_ctes("src", "mm"),

@@ -17,29 +17,31 @@ def read_corpus(
     spark: SparkSession,
     path: str,
     extensions: list[str] | None = None,
-    max_bytes: int = T.MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
     """path, name, text of the text files below a folder, without blank ones.
 
-    Path and length are filtered before any content is read. `max_files` takes
-    the first files by path: the choice is made on narrow rows, then joined.
+    The path is looked at before any content is read. `max_files` takes the first
+    files by path: the choice is made on narrow rows, then joined. With
+    `max_bytes`, larger files are not read: they come with a NULL text and the
+    reason in a further column, `error`.
     """
     root = path.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    inner = F.element_at(F.split(F.col("path"), root.replace("\\", "/").split("://")[-1], 2), -1)
+    place = root.replace("\\", "/").split("://")[-1]
+    begin = F.locate(place, F.col("path")) + F.lit(len(place))
+    inner = F.substring(F.col("path"), begin, F.length("path"))
     skipped = F.exists(F.split(inner, "/"), lambda p: p.isin(T.SKIPPED_FOLDERS))
-    texts = (
-        files.where(extension(F.col("path")).isin(extensions or T.TEXT_EXTENSIONS))
-        .where(F.col("length") <= max_bytes)
-        .where(~skipped)
-        .select(
-            "path",
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-            decode_text(F.col("content")).alias("text"),
-        )
-        .where(~is_blank(F.col("text")))
-    )
+    listed = files.where(extension(F.col("path")).isin(extensions or T.TEXT_EXTENSIONS)).where(~skipped)
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
+    fits = F.col("length") <= max_bytes if max_bytes is not None else F.lit(True)
+    texts = listed.where(fits).select("path", name, decode_text(F.col("content")).alias("text"))
+    texts = texts.where(~is_blank(F.col("text")))
+    if max_bytes is not None:
+        reason = F.concat(F.lit(f"more than {max_bytes} bytes: "), F.col("length").cast("string"))
+        large = listed.where(~fits).select("path", name, F.lit(None).cast("string").alias("text"), reason.alias("error"))
+        texts = texts.withColumn("error", F.lit(None).cast("string")).unionByName(large)
     if max_files is None:
         return texts
     chosen = texts.select("path").orderBy("path").limit(max_files)
