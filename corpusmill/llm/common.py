@@ -54,9 +54,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a compressed table in the shared checkpoint folder, for larger results."""
+    """df as a compressed table in the shared checkpoint folder.
+
+    All tables of an application lie in one folder named after it, which can be
+    deleted when the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

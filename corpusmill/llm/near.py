@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import fresh, mixed, row_blocks, settled, text_or_empty, utf8
+from corpusmill.llm.common import fresh, mixed, row_blocks, text_or_empty, utf8, written
 
 SHINGLE = 5
 SKETCHES = 16
@@ -226,18 +226,21 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """rep, label: the smallest identifier that links lead to, for every node.
 
-    nodes: settled frame of rep, label (a first label). Labels go down by the
+    nodes: written frame of rep, label (a first label). Labels go down by the
     least label of the neighbours, then by the label of the label, until none
     changes; each round is written to the shared folder.
     """
-    both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # Written tables, unlike checkpoints, don't carry the constraints of all earlier
+    # rounds along, which would make planning slower from round to round.
+    back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = written(links.select("a", "b").unionByName(back).distinct())
     labels = nodes
     while True:
         at = labels.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
         near = both.join(at, "b").groupBy(F.col("a").alias("rep")).agg(F.min("lb").alias("near"))
         down = labels.join(near, "rep", "left").select("rep", F.least("label", "near").alias("next"), "label")
         hop = down.select(F.col("rep").alias("next"), F.col("next").alias("further"))
-        new = settled(
+        new = written(
             down.join(hop, "next", "left").select("rep", F.least("next", "further").alias("next"), "label")
         )
         labels = new.select("rep", F.col("next").alias("label"))
@@ -297,26 +300,26 @@ def near_classes(
         F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(text_or_empty(text), 256)).alias("raw"), text_or_empty(text)
     )
     shape = f"doc_id {kind}, raw binary, words binary, size bigint, sketch array<bigint>"
-    own = settled(rows.mapInArrow(lambda it: _sketched(it, n, taken), shape))
+    own = written(rows.mapInArrow(lambda it: _sketched(it, n, taken), shape))
     groups = own.groupBy("words").agg(
         F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch")
     )
-    groups = settled(groups.where("rep IS NOT NULL"))
+    groups = written(groups.where("rep IS NOT NULL"))
     buckets = groups.select("rep", "size", F.posexplode("sketch").alias("j", "sketch"))
     shared = buckets.groupBy("j", "sketch").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = settled(buckets.join(shared, ["j", "sketch"]))
+    buckets = written(buckets.join(shared, ["j", "sketch"]))
     met = buckets.select(F.col("rep").alias("met")).distinct()
     texts = docs.select(F.col(doc_id).alias("rep"), text_or_empty(text).alias("text"))
     texts = texts.join(met, texts["rep"] == met["met"], "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
-    texts = settled(texts)
+    texts = written(texts)
     links, labels, turn = None, None, 0
     while True:
-        new = settled(linked(candidates(buckets, turn, least, labels), texts, least))
+        new = written(linked(candidates(buckets, turn, least, labels), texts, least))
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
         ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).distinct()
-        labels = components(settled(ends.withColumn("label", F.col("rep"))), links)
+        labels = components(written(ends.withColumn("label", F.col("rep"))), links)
         turn += 1
     classes = groups.select("words", "rep")
     if labels is None:
@@ -325,7 +328,7 @@ def near_classes(
         classes = classes.join(labels, "rep", "left").withColumn("class_id", F.coalesce("label", "rep"))
     members = own.select("doc_id", "raw", "words").join(classes.select("words", "class_id"), "words", "left")
     name = F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("words "), F.hex("words")))
-    members = settled(members.select("doc_id", "raw", "class_id", name.alias("name")))
+    members = written(members.select("doc_id", "raw", "class_id", name.alias("name")))
     best = members.groupBy("name").agg(
         F.count("*").alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("best"),
