@@ -22,12 +22,16 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import mixed, row_blocks, text_or_empty, utf8, written
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM = 100, 16
+CLASSES, CLASS_BITS = 4, 15
+#: Contexts of one anchor string beyond which its windows are dealt one by one.
+HOT = 200_000
 BLOCK = 1 << 19
 PAD = 256
 LAST = (1 << 63) - 1
@@ -91,12 +95,24 @@ class Block:
         high = sliding(seen, self.reach + 1, np.maximum)
         self.anchors = np.flatnonzero((high == self.grams) & (high != 0))
 
-    def contexts(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash around each anchor, of all a window can reach and of either half."""
+    def contexts(self, gram: int) -> np.ndarray:
+        """Hash around each anchor, of all that a window can reach."""
         p, r = self.anchors, self.reach
-        left, right = self.hashes.at(p - r, r), self.hashes.at(p + gram, r)
-        half = (r + 1) // 2
-        return joined(left, right), self.hashes.at(p - half, half), self.hashes.at(p + gram, half)
+        return joined(self.hashes.at(p - r, r), self.hashes.at(p + gram, r))
+
+    def shared(self, places: np.ndarray, gram: int, c: int) -> np.ndarray:
+        """Hash of what the windows of class c around the places have in common.
+
+        Class c holds the windows that start c to c + 1 steps before their anchor.
+        """
+        step = self.reach // CLASSES
+        left, right = step * c, self.reach - step * (c + 1) if c < CLASSES - 1 else 0
+        out = self.grams[places]
+        out = joined(out, self.hashes.at(places - left, left)) if left else out
+        return joined(out, self.hashes.at(places + gram, right)) if right else out
+
+    def class_of(self, before: np.ndarray) -> np.ndarray:
+        return np.minimum(before // (self.reach // CLASSES), CLASSES - 1)
 
     def windows(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the windows that name one of the wanted places, and those places."""
@@ -157,11 +173,15 @@ def _rows(schema: list[tuple[str, object]], arrays: list) -> pa.RecordBatch:
     )
 
 
-ANCHOR = [("gram", pa.int64()), ("ctx", pa.int64()), ("halves", pa.int64()), ("doc", pa.int64()),
-          ("at", pa.int64()), ("late", pa.bool_())]
-ANCHOR_SQL = "gram bigint, ctx bigint, halves bigint, doc bigint, at bigint, late boolean"
-SPAN = [("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("size", pa.int64())]
-SPAN_SQL = "k1 bigint, k2 bigint, doc bigint, at bigint, size bigint"
+ANCHOR = [("gram", pa.int64()), ("ctx", pa.int64()), ("parts", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())]
+ANCHOR_SQL = "gram bigint, ctx bigint, parts bigint, doc bigint, at bigint"
+LATE = -1
+TOLD = [("doc", pa.int64()), ("at", pa.int64()), ("mask", pa.int64())]
+TOLD_SQL = "doc bigint, at bigint, mask bigint"
+EVERY = (1 << CLASSES) - 1
+ALONE = 1 << CLASSES
+SPAN = [("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("body", pa.binary())]
+SPAN_SQL = "key bigint, doc bigint, at bigint, size bigint, body binary"
 
 
 def scattered(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -178,111 +198,147 @@ def _located(block: Block, i: int, starts: np.ndarray, core, places: np.ndarray)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The anchors of the texts; `parts` is LATE, or some bits of every class's hash."""
     for batch in batches:
         docs, ties = _column(batch, 0), _column(batch, 1)
         data, ends = utf8(batch.column(2))
-        parts = []
+        found = []
         for block, i, starts, core in blocks(data, ends, window, gram):
             row, byte, mine = _located(block, i, starts, core, block.anchors)
-            ctx, left, right = block.contexts(gram)
-            halves = (left >> U(32) << U(32)) | (right >> U(32))
+            parts = np.zeros(len(block.anchors), U)
+            for c in range(CLASSES):
+                parts = (parts << U(CLASS_BITS)) | (block.shared(block.anchors, gram, c) >> U(64 - CLASS_BITS))
             at = (byte << 32) | ties[row]
-            found = (block.grams[block.anchors].view(np.int64), ctx.view(np.int64), halves.view(np.int64), docs[row], at)
-            parts.append([x[mine] for x in found])
-        if not parts:
+            own = (block.grams[block.anchors].view(np.int64), block.contexts(gram).view(np.int64), parts.view(np.int64))
+            found.append([x[mine] for x in (*own, docs[row], at)])
+        if not found:
             continue
-        g, ctx, halves, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        g, ctx, parts, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((at, doc, ctx, g))
-        g, ctx, halves, doc, at = (x[order] for x in (g, ctx, halves, doc, at))
+        g, ctx, parts, doc, at = (x[order] for x in (g, ctx, parts, doc, at))
         late = np.zeros(len(g), bool)
         late[1:] = (g[1:] == g[:-1]) & (ctx[1:] == ctx[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
         g[late] = scattered(doc[late], at[late])
         ctx[late] = 0
-        halves[late] = 0
-        yield _rows(ANCHOR, [g, ctx, halves, doc, at, late])
+        parts[late] = LATE
+        yield _rows(ANCHOR, [g, ctx, parts, doc, at])
 
 
-def _sorted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of gram, ctx, doc, at: the late ones, and first ones not alone."""
-    held = None
-    for cols in _chained(batches, 6):
-        if held is not None:
-            cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
-        out, held = _told(cols, held is not None), [c[-2:] for c in cols]
-        yield _rows(ANCHOR, out)
-    if held is not None:
-        yield _rows(ANCHOR, _told(held, len(held[0]) == 2, True))
-
+def _sorted_anchors(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Anchors in order of gram, ctx, doc, at: late ones, and those that share a class.
 
-def _chained(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
-    """Columns of batches of at least two rows, as far as there are any."""
-    kept = None
+    mask: LATE where the whole context came before, else a bit for every class
+    that another context of the same string shares. The rows of a string are held
+    until they are complete, `hot` rows at most; beyond, all its classes count as
+    shared and ALONE is set too.
+    """
+    held: list[np.ndarray] | None = None
+    wide, before = None, None
     for batch in batches:
-        cols = [_column(batch, k) for k in range(n)]
-        if kept is not None:
-            cols = [np.concatenate((h, c)) for h, c in zip(kept, cols, strict=True)]
-        if len(cols[0]) < 2:
-            kept = cols
+        cols = [_column(batch, k) for k in range(5)]
+        if held is not None:
+            cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
+        g = cols[0]
+        if len(g) == 0:
             continue
-        kept = None
-        yield cols
-    if kept is not None and len(kept[0]):
-        yield kept
-
-
-def _told(cols: list[np.ndarray], carried: bool, final: bool = False) -> list[np.ndarray]:
-    """Decide rows by their neighbours.
-
-    With `carried`, the first row only serves as a predecessor. The last row waits
-    for its successor unless `final`.
-    """
-    g, ctx, _, doc, at, late = cols
+        cut = int(np.searchsorted(g, g[-1], "left"))
+        if len(g) - cut > hot:
+            wide, cut = g[-1], len(g)
+        if cut:
+            yield _told([c[:cut] for c in cols], wide, before)
+            before = [c[cut - 1] for c in cols]
+        held = [c[cut:] for c in cols]
+    if held is not None and len(held[0]):
+        yield _told(held, wide, before)
+
+
+def _told(cols: list[np.ndarray], wide, before: list | None) -> pa.RecordBatch:
+    """Decide whole strings, and what there is of the one that is `wide`."""
+    g, ctx, parts, doc, at = cols
     n = len(g)
-    same = np.zeros(n + 1, bool)
-    same[1:n] = g[1:] == g[:-1]
-    again = np.zeros(n, bool)
-    again[1:] = same[1:n] & (ctx[1:] == ctx[:-1])
-    moved = np.zeros(n, bool)
-    moved[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-    twin = again & ~moved
-    out = late | (again & moved)
-    keep = (out | same[:n] | same[1:]) & ~twin
-    keep[: int(carried)] = False
-    if not final:
-        keep[-1] = False
-    return [*(c[keep] for c in cols[:5]), out[keep]]
+    seen = np.zeros(n, bool)
+    seen[1:] = (g[1:] == g[:-1]) & (ctx[1:] == ctx[:-1])
+    twin = np.zeros(n, bool)
+    twin[1:] = seen[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
+    if before is not None and before[0] == g[0] and before[1] == ctx[0]:
+        seen[0], twin[0] = True, before[3] == doc[0] and before[4] == at[0]
+    late = (parts == LATE) | (seen & ~twin)
+    mask = np.where(late, LATE, 0)
+    open_ = np.flatnonzero(~late & ~twin)
+    if wide is not None:
+        mask[open_[g[open_] == wide]] = EVERY | ALONE
+        open_ = open_[g[open_] != wide]
+    for c in range(CLASSES):
+        part = (parts[open_] >> (CLASS_BITS * (CLASSES - 1 - c))) & ((1 << CLASS_BITS) - 1)
+        order = np.lexsort((part, g[open_]))
+        same = (np.diff(g[open_][order]) == 0) & (np.diff(part[order]) == 0)
+        both = np.zeros(len(order), bool)
+        both[1:] |= same
+        both[:-1] |= same
+        mask[open_[order[both]]] |= 1 << c
+    keep = (mask != 0) & ~twin
+    return _rows(TOLD, [doc[keep], at[keep], mask[keep]])
 
 
 def _windowed(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Windows of the wanted anchors; those repeated in the batch as spans."""
+    """The windows of the wanted anchors by class; those repeated in the batch as spans.
+
+    body: the places of a class's windows before the anchor, a byte each, and their
+    hashes. A window that is dealt alone has itself for its class.
+    """
     for batch in batches:
         docs, ties = _column(batch, 0), _column(batch, 1)
-        data, ends = utf8(batch.column(2))
+        texts = [unpacked(z.as_py()) for z in batch.column(2)]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         wanted = batch.column(3)
-        parts = []
+        found = []
         for block, i, starts, core in blocks(data, ends, window, gram):
-            rows = range(i, i + len(starts))
-            places = [np.array(wanted[k].as_py(), np.int64) + starts[k - i] for k in rows]
-            places = np.sort(np.concatenate(places))
+            own = [np.array(wanted[k].as_py(), np.int64) for k in range(i, i + len(starts))]
+            places = np.concatenate([(w >> 8) + at for w, at in zip(own, starts, strict=True)])
+            masks = np.concatenate(own) & 255
+            order = np.argsort(places)
+            places, masks = places[order], masks[order]
             # Of a long text, the anchors of this part only.
             _, _, mine = _located(block, i, starts, core, places)
-            places = places[mine]
+            places, masks = places[mine], masks[mine]
             begin, name = block.windows(places)
-            row, byte, _ = _located(block, i, starts, core, begin)
-            key = block.hashes.at(begin, window).view(np.int64)
-            parts.append([key, block.grams[name].view(np.int64), docs[row], (byte << 32) | ties[row]])
-        if not parts:
+            back = name - begin
+            kind = block.class_of(back)
+            mask = masks[np.searchsorted(places, name)]
+            take = (mask >> kind) & 1 == 1
+            begin, name, back, kind, mask = (x[take] for x in (begin, name, back, kind, mask))
+            value = block.hashes.at(begin, window)
+            key = np.empty(len(begin), U)
+            for c in range(CLASSES):
+                key[kind == c] = block.shared(name[kind == c], gram, c)
+            alone = mask & ALONE != 0
+            key[alone] = joined(key[alone], value[alone])
+            row, byte, _ = _located(block, i, starts, core, name)
+            found.append([key.view(np.int64), value.view(np.int64), docs[row], (byte << 32) | ties[row], back])
+        if not found:
             continue
-        k1, k2, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, doc, k2, k1))
-        k1, k2, doc, at = (x[order] for x in (k1, k2, doc, at))
-        late = np.zeros(len(k1), bool)
-        late[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
-        first = ~late
-        yield _rows(SPAN, [k1[first], k2[first], doc[first], at[first], np.zeros(int(first.sum()), np.int64)])
-        doc, at, size = _runs(doc[late], at[late], window)
-        if len(doc):
-            yield _rows(SPAN, [scattered(doc, at), np.zeros(len(doc), np.int64), doc, at, size])
+        key, value, doc, at, back = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((at, doc, value, key))
+        key, value, doc, at, back = (x[order] for x in (key, value, doc, at, back))
+        late = np.zeros(len(key), bool)
+        late[1:] = (key[1:] == key[:-1]) & (value[1:] == value[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+        d, a, size = _runs(doc[late], at[late] - (back[late] << 32), window)
+        yield _rows(SPAN, [scattered(d, a), d, a, size, [None] * len(d)])
+        yield _packed(*(x[~late] for x in (key, value, doc, at, back)))
+
+
+def _packed(key: np.ndarray, value: np.ndarray, doc: np.ndarray, at: np.ndarray, back: np.ndarray) -> pa.RecordBatch:
+    """One row for each key and anchor."""
+    order = np.lexsort((back, at, doc, key))
+    key, value, doc, at, back = (x[order] for x in (key, value, doc, at, back))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(key))[: len(head)]
+    places = back.astype(np.uint8)
+    body = [places[i:j].tobytes() + value[i:j].tobytes() for i, j in zip(head.tolist(), tail.tolist(), strict=True)]
+    return _rows(SPAN, [key[head], doc[head], at[head], np.zeros(len(head), np.int64), body])
 
 
 def _runs(doc: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,30 +354,62 @@ def _runs(doc: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.
 
 
 def _sorted_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Spans decided before, and the windows whose predecessor has the same key."""
-    last = None
+    """Spans decided before, and windows seen before, in order of key, doc, at.
+
+    What was seen of the last key is carried on: HOT times the windows of a class
+    at most, one window where they are dealt alone.
+    """
+    last, known = None, np.zeros(0, np.int64)
     for batch in batches:
-        cols = [_column(batch, k) for k in range(5)]
-        if len(cols[0]) == 0:
+        if batch.num_rows == 0:
             continue
-        k1, k2, doc, at, size = cols if last is None else [np.concatenate((h, c)) for h, c in zip(last, cols, strict=True)]
-        late = np.zeros(len(k1), bool)
-        late[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
-        late &= size == 0
+        key, doc, at, size = (_column(batch, k) for k in range(4))
         told = size > 0
+        yield _rows(SPAN, [key[told], doc[told], at[told], size[told], [None] * int(told.sum())])
+        twin = np.zeros(len(key), bool)
+        twin[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
         if last is not None:
-            late[0] = told[0] = False
-        last = [c[-1:] for c in (k1, k2, doc, at, size)]
-        d, a, s = _runs(doc[late], at[late], window)
-        yield _rows(SPAN, [np.zeros(len(d) + int(told.sum()), np.int64)] * 2
-                    + [np.append(d, doc[told]), np.append(a, at[told]), np.append(s, size[told])])
+            twin[0] = (key[0], doc[0], at[0]) == last
+        rows = np.flatnonzero(~told & ~twin)
+        raw = [b.as_py() for b in batch.column(4).take(pa.array(rows))]
+        counts = np.array([len(b) // 9 for b in raw], np.int64)
+        back = np.frombuffer(b"".join(b[:n] for b, n in zip(raw, counts.tolist(), strict=True)), np.uint8)
+        value = np.frombuffer(b"".join(b[n:] for b, n in zip(raw, counts.tolist(), strict=True)), np.int64)
+        row = np.repeat(rows, counts)
+        keys = key[row]
+        if last is not None:
+            value, keys = np.concatenate((known, value)), np.concatenate((np.full(len(known), last[0]), keys))
+        old = len(value) - len(row)
+        order = np.lexsort((value, keys))
+        again = np.zeros(len(order), bool)
+        again[order[1:]] = (keys[order][1:] == keys[order][:-1]) & (value[order][1:] == value[order][:-1])
+        late = np.flatnonzero(again[old:])
+        start = at[row[late]] - (back[late].astype(np.int64) << 32)
+        d, a, n = _runs(doc[row[late]], start, window)
+        yield _rows(SPAN, [np.zeros(len(d), np.int64), d, a, n, [None] * len(d)])
+        last = (key[-1], doc[-1], at[-1])
+        known = np.unique(value[keys == last[0]])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, last column, compressed: it crosses the network and waits on disks."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        n = batch.num_columns - 1
+        small = [press.compress(t.as_buffer()) for t in batch.column(n).cast(pa.large_binary())]
+        cols = [*(batch.column(k) for k in range(n)), pa.array(small, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:n], "packed"])
+
+
+def unpacked(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, removed, spans, shas = [], [], [], []
         for text, cuts in zip(batch.column(1), batch.column(2), strict=True):
-            raw = text.as_py().encode()
+            raw = unpacked(text.as_py())
             runs: list[list[int]] = []
             for c in sorted((c["lo"], c["hi"]) for c in cuts.as_py() or ()):
                 lo, hi = max(c[0], 0), min(c[1], len(raw))
@@ -344,49 +432,47 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """The texts with their keys, and for each key the spans [lo, hi) to remove.
+def repeated_spans(
+    docs: DataFrame, doc_id: str, text: str, window: int = WINDOW, gram: int = GRAM, hot: int = HOT
+) -> tuple[DataFrame, DataFrame]:
+    """The packed texts with their keys, and for each key the spans [lo, hi) to remove.
 
-    Both are dealt by (doc, tie), so that they join without moving texts again.
+    Both are dealt by (doc, tie), so that texts move once for both of their uses.
     """
     reach = window - gram
+    low = F.lit(0xFFFFFFFF)
     keyed = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"),
-        (F.xxhash64(text_or_empty(text)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("tie"),
+        F.xxhash64(text_or_empty(text)).bitwiseAND(low).alias("tie"),
         text_or_empty(text).alias("text"),
     )
     anchors = keyed.select("doc", "tie", "text").mapInArrow(lambda it: _anchored(it, window, gram), ANCHOR_SQL)
     anchors = anchors.repartition("gram").sortWithinPartitions("gram", "ctx", "doc", "at")
-    told = written(anchors.mapInArrow(_sorted_anchors, ANCHOR_SQL)).withColumns(
-        {"tie": F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), "byte": F.shiftright("at", 32)}
-    )
-    firsts = told.where("NOT late").withColumns(
-        {"left": F.shiftright("halves", 32), "right": F.col("halves").bitwiseAND(F.lit(0xFFFFFFFF))}
+    told = written(anchors.mapInArrow(lambda it: _sorted_anchors(it, hot), TOLD_SQL)).withColumns(
+        {"tie": F.col("at").bitwiseAND(low), "byte": F.shiftright("at", 32)}
     )
-    mixed_ones = []
-    for half in ("left", "right"):
-        shared = firsts.groupBy("gram", half).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        mixed_ones.append(firsts.join(shared, ["gram", half], "left_semi").select("doc", "tie", "byte"))
-    wanted = mixed_ones[0].unionByName(mixed_ones[1]).groupBy("doc", "tie").agg(F.collect_set("byte").alias("wanted"))
-    texts = keyed.repartition("doc", "tie")
-    windows = texts.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted", "doc_id")
+    wanted = told.where(F.col("mask") != LATE).groupBy("doc", "tie")
+    wanted = wanted.agg(F.collect_list(F.shiftleft("byte", 8) + F.col("mask")).alias("wanted"))
+    kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
+    texts = keyed.mapInArrow(packed, f"doc_id {kind}, doc bigint, tie bigint, packed binary").repartition("doc", "tie")
+    windows = texts.join(wanted, ["doc", "tie"]).select("doc", "tie", "packed", "wanted", "doc_id")
     windows = windows.mapInArrow(lambda it: _windowed(it, window, gram), SPAN_SQL)
-    windows = windows.repartition("k1").sortWithinPartitions("k1", "k2", "doc", "at")
+    windows = windows.repartition("key").sortWithinPartitions("key", "doc", "at")
     spans = windows.mapInArrow(lambda it: _sorted_windows(it, window), SPAN_SQL).select(
         "doc",
-        F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"),
+        F.col("at").bitwiseAND(low).alias("tie"),
         F.shiftright("at", 32).alias("lo"),
         (F.shiftright("at", 32) + F.col("size")).alias("hi"),
     )
-    late = told.where("late").select(
+    late = told.where(F.col("mask") == LATE).select(
         "doc", "tie", (F.col("byte") - reach).alias("lo"), (F.col("byte") + window).alias("hi")
     )
     return texts, spans.unionByName(late)
 
 
 def without_repeats(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -398,11 +484,11 @@ def without_repeats(
     Texts shorter than `window` lose nothing. An empty table gives an empty result;
     other columns are not looked at.
     """
-    if not 0 < gram < window:
-        raise ValueError("gram must be shorter than window")
-    texts, spans = repeated_spans(docs, doc_id, text, window, gram)
+    if not 0 < gram <= window - CLASSES or window - gram > 255:
+        raise ValueError("window must be 4 to 255 bytes longer than gram")
+    texts, spans = repeated_spans(docs, doc_id, text, window, gram, hot)
     cuts = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
-    rows = texts.join(cuts, ["doc", "tie"], "left").select("doc_id", "text", "cuts")
+    rows = texts.join(cuts, ["doc", "tie"], "left").select("doc_id", "packed", "cuts")
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     shape = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     return rows.mapInArrow(lambda it: _cut(it, window), shape)
