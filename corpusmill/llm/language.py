@@ -117,7 +117,8 @@ def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
                 total[name] = total.get(name, 0) + got[k * buckets : (k + 1) * buckets]
     for name, n in total.items():
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"lang": [name] * len(at), "bucket": at, "n": n[at].astype(np.int64)})
+        cols = [pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["lang", "bucket", "n"])
 
 
 def train(labelled: DataFrame, lang: str, text: str, buckets: int = BUCKETS) -> dict:
