@@ -31,7 +31,7 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?![\w@]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"
-    r"|(?<![\w(.+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\w.-]))"
+    r"|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\w|[.-]\d))"
     r"|(?P<ssn>(?<![\w.-])\d{3}-\d\d-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-]|\.\d))"

@@ -97,16 +97,19 @@ def features(host: str, path: str, buckets: int = BUCKETS) -> np.ndarray:
 def fit(table: Sequence[tuple[str, int]], buckets: int = BUCKETS, decay: float = 2e-4, steps: int = 800) -> np.ndarray:
     """Weights of the regression; the last one is the constant."""
     rows = [features(*(u.partition("/")[0], "/" + u.partition("/")[2]), buckets) for u, _ in table]
-    x = np.zeros((len(rows), buckets + 1))
+    used = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64)
+    x = np.zeros((len(rows), len(used) + 1))
     for k, at in enumerate(rows):
-        x[k, at] = 1 / np.sqrt(max(len(at), 1))
+        x[k, np.searchsorted(used, at)] = 1 / np.sqrt(max(len(at), 1))
     x[:, -1] = 1
     y = np.array([label for _, label in table], float)
-    w = np.zeros(buckets + 1)
+    w = np.zeros(len(used) + 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
         w -= 4.0 * (x.T @ (p - y) / len(y) + decay * np.append(w[:-1], 0))
-    return w
+    out = np.zeros(buckets + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
 
 def block_score(host: Column, path: Column, weights: np.ndarray) -> Column:

@@ -122,7 +122,7 @@ def test_urls_model_holds_out():
                 at = urls.features(h, "/" + p)
                 hit += (w[at].sum() / np.sqrt(len(at)) + w[-1] > 0) == bool(label)
                 n += 1
-    assert hit / n > 0.85
+    assert hit / n > 0.75
 
 
 def test_urls_whole_table(spark):
