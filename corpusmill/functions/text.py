@@ -259,6 +259,21 @@ def replace_matches(
     return let(col, replace)
 
 
+def fill_marks(col: Column, before: str, after: str, values: Column) -> Column:
+    """Marks `before`, number, `after` replaced by the value of that number, in one pass.
+
+    A number without a value stays as it is.
+    """
+    mark = regex_literal(before) + "([0-9]{1,9})" + regex_literal(after)
+
+    def value(hit: Column, known: Column) -> Column:
+        n = F.regexp_extract(hit, mark, 1).cast("int")
+        plain = F.concat(F.lit(before), n.cast("string"), F.lit(after)) == hit
+        return F.coalesce(F.when(plain, F.get(known, n)), hit)
+
+    return let(values, lambda known: replace_matches(col, mark, lambda h, i, s: value(h, known)))
+
+
 # ------------------------------------------------------------- rule folds
 
 

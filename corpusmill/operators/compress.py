@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import lexicons as L
 from corpusmill.functions.text import (
-    ANY_CASE, MULTI, MULTI_ANY_CASE, constant, count_matches, fold_case, fold_lines, fold_rules,
+    ANY_CASE, MULTI, MULTI_ANY_CASE, constant, count_matches, fill_marks, fold_case, fold_lines,
+    fold_rules,
     is_blank, join_segments, let, line_segments, lines, percent, phase, phrase_rules, regex_literal,
     replace_matches, rstrip, segments,
     split_lines, strip, swap_words, text_of, unfold, unlines, with_totals,
@@ -147,13 +148,7 @@ def protect_blocks(text: Column) -> Column:
 
 
 def restore_blocks(text: Column, blocks: Column) -> Column:
-    keyed = F.transform(
-        blocks,
-        lambda b, i: F.struct(
-            F.concat(F.lit(KEY), i.cast("string"), F.lit("__")).alias("key"), b.alias("block")
-        ),
-    )
-    return F.aggregate(keyed, text, lambda acc, k: F.replace(acc, k["key"], k["block"]))
+    return fill_marks(text, KEY, "__", blocks)
 
 
 # --------------------------------------------------------------- normalise

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
 from corpusmill.functions.text import (
-    ANY_CASE, MULTI_ANY_CASE, constant, fold_case, join_segments, let, line_segments, percent, rstrip,
+    ANY_CASE, MULTI_ANY_CASE, constant, fill_marks, fold_case, join_segments, let, line_segments, percent, rstrip,
     segments, strip, text_of, unfold,
 )
 from corpusmill.operators.detect import lookup, route_type
@@ -37,7 +37,7 @@ def lift(
     start = F.lit(0) if first is None else first
 
     def marked(s: Column) -> Column:
-        taken = F.transform(s["hits"], accept) if accept else F.transform(s["hits"], lambda h: F.lit(True))
+        taken = F.transform(s["hits"], accept)
         at = lambda on: F.filter(
             F.transform(on, lambda ok, i: F.when(ok, i)), lambda i: i.isNotNull()
         )
@@ -46,6 +46,10 @@ def lift(
             swap,
         )
 
+    def all_marked(s: Column) -> Column:
+        put = F.transform(s["hits"], lambda h, i: F.concat(placeholder(template, i + start), F.lit(tail)))
+        return F.struct(join_segments(s["gaps"], put).alias("text"), s["hits"].alias("spans"))
+
     def swap(s: Column) -> Column:
         number = lambda i: F.array_position(s["at"], i) + start - 1
         put = F.transform(
@@ -59,7 +63,7 @@ def lift(
             F.transform(s["at"], lambda i: F.get(s["hits"], i)).alias("spans"),
         )
 
-    return let(seg, marked)
+    return let(seg, marked if accept else all_marked)
 
 
 def looks_like_code(block: Column) -> Column:
@@ -153,13 +157,8 @@ def placeholder_text(df: DataFrame, text: str = "text", out: str = "lifted") ->
 
 
 def put_back(text: Column, spans: Column, template: str, trim: bool = False) -> Column:
-    keyed = F.transform(
-        spans,
-        lambda s, i: F.struct(
-            placeholder(template, i).alias("mark"), (rstrip(s) if trim else s).alias("span")
-        ),
-    )
-    return F.aggregate(keyed, text, lambda acc, k: F.replace(acc, k["mark"], k["span"]))
+    before, after = template.split("%s")
+    return fill_marks(text, before, after, F.transform(spans, rstrip) if trim else spans)
 
 
 def reinsert(text: Column, lifted: Column) -> Column:

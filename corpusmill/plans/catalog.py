@@ -1372,6 +1372,39 @@ def script_outline(spark, sf):
     return seeded_corpus(spark, sf).select("doc_id", F.md5(K.script_outline(c("text"))).alias("text_md5"))
 
 
+@query(
+    "xml_skeleton",
+    """SELECT page_id, md5(regexp_replace(html, '(>\\s*)([^<>\\s][^<>]{59})[^<>]+', '\\1\\2…', 'g')) AS html_md5
+       FROM pages""",
+)
+def xml_skeleton(spark, sf):
+    return load(spark, sf, "pages").select("page_id", F.md5(K.xml_skeleton(c("html"))).alias("html_md5"))
+
+
+_SCALAR = r"^( *(?:- )?(?:[^\s:#][^:]*: +)?)(.*)$"
+
+
+@query(
+    "yaml_skeleton",
+    f"""
+    WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE NOT contains(text, chr(13))),
+    i AS (SELECT doc_id, source, len(ls) AS n, list_transform(ls[1:2], lambda l: '- ' || l) AS items FROM d),
+    s AS (SELECT *, list_transform(items, lambda l: regexp_extract(l, {S.q(_SCALAR)}, 2)) AS vs FROM i)
+    SELECT doc_id, md5('doc_id: ' || doc_id || chr(10) || 'source: ' || source || chr(10) || 'text:' || chr(10) ||
+      array_to_string(list_transform(range(1, len(items) + 1), lambda k: CASE WHEN len(vs[k]) > 40
+        THEN left(items[k], len(items[k]) - len(vs[k])) || left(vs[k], 40) || '...(' || (len(vs[k]) - 40) || ' more chars)'
+        ELSE items[k] END), chr(10)) ||
+      CASE WHEN n > 2 THEN chr(10) || '- ...(' || (n - 2) || ' more items)' ELSE '' END) AS yaml_md5 FROM s
+    """,
+)
+def yaml_skeleton(spark, sf):
+    listed = F.transform(F.split("text", "\n"), lambda l: F.concat(F.lit("- "), l))
+    head = F.concat(F.lit("doc_id: "), c("doc_id").cast("string"), F.lit("\nsource: "), c("source"), F.lit("\ntext:\n"))
+    body = F.concat(head, F.array_join(listed, "\n"))
+    docs = load(spark, sf, "documents").where(~c("text").contains("\r"))
+    return docs.select("doc_id", F.md5(K.yaml_skeleton(body)).alias("yaml_md5"))
+
+
 # ------------------------------------------------------------------- history
 
 ORDER = ["ts", "event_id"]

@@ -19,13 +19,14 @@ def read_corpus(
     extensions: list[str] | None = None,
     max_bytes: int | None = None,
     max_files: int | None = None,
+    report_large: bool = False,
 ) -> DataFrame:
     """path, name, text of the text files below a folder, without blank ones.
 
     The path is looked at before any content is read. `max_files` takes the first
     files by path: the choice is made on narrow rows, then joined. With
-    `max_bytes`, larger files are not read: they come with a NULL text and the
-    reason in a further column, `error`.
+    `max_bytes`, which the caller has to ask for, larger files are not read; with
+    `report_large` they come with a NULL text and the reason in a column `error`.
     """
     root = path.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -38,7 +39,7 @@ def read_corpus(
     fits = F.col("length") <= max_bytes if max_bytes is not None else F.lit(True)
     texts = listed.where(fits).select("path", name, decode_text(F.col("content")).alias("text"))
     texts = texts.where(~is_blank(F.col("text")))
-    if max_bytes is not None:
+    if max_bytes is not None and report_large:
         reason = F.concat(F.lit(f"more than {max_bytes} bytes: "), F.col("length").cast("string"))
         large = listed.where(~fits).select("path", name, F.lit(None).cast("string").alias("text"), reason.alias("error"))
         texts = texts.withColumn("error", F.lit(None).cast("string")).unionByName(large)

@@ -92,5 +92,5 @@ def test_file_scan_without_a_cap(spark, tmp_path):
     (root / "small.txt").write_text("one")
     found = read_corpus(spark, str(root)).select("name", F.length(text_of("text")).alias("n")).collect()
     assert {r.name: r.n for r in found} == {"big.txt": 15_000_000, "small.txt": 3}
-    capped = {r.name: (r.text, r.error) for r in read_corpus(spark, str(root), max_bytes=100).collect()}
+    capped = {r.name: (r.text, r.error) for r in read_corpus(spark, str(root), max_bytes=100, report_large=True).collect()}
     assert capped["small.txt"] == ("one", None) and capped["big.txt"][0] is None and "100 bytes" in capped["big.txt"][1]
