@@ -11,11 +11,11 @@ similarity of s, at most (1 - s) / (1 + s) of the shingles may be unmatched, whi
 bounds the band. Word sequences that are equal meet first, by digest, and are
 represented by one document from then on.
 
-Candidates are stars, not pairs: in a round the members of a bucket meet one
-member of it, the pivot. Documents linked so are joined into components. Buckets
-whose members still lie in several components are dealt again with another pivot,
-for the members outside the pivot's component, until a round links nothing new.
-So the candidates of a round never outnumber the rows of the buckets.
+Candidates are stars, not pairs: in a round the members of a bucket meet PIVOTS
+members of it, the pivots. Documents linked so are joined into components.
+Buckets whose members still lie in several components are dealt again with other
+pivots, for the members outside a pivot's component, until a round links nothing
+new. So the candidates of a round grow with the rows of the buckets only.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import fresh, mixed, row_blocks, text_or_empty, utf8, written
+from corpusmill.llm.common import fresh, mixed, packed, row_blocks, text_or_empty, unpacked, utf8, written
 
 SHINGLE = 5
 SKETCHES = 16
 TAKEN = 3
 SIMILARITY = 0.8
+#: Pivots of a bucket in one turn.
+PIVOTS = 3
 BLOCK = 1 << 20
 
 
@@ -202,8 +204,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], n: int, taken: int) -> Iterator
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "raw", "words", "size", "sketch"])
 
 
-def _keys(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), np.uint8)
+def _keys(body: bytes) -> np.ndarray:
+    raw = np.frombuffer(unpacked(body), np.uint8)
     return shingles(word_hashes(raw, np.array([0, len(raw)]))[0])
 
 
@@ -223,58 +225,74 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
         )
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """rep, label: the smallest identifier that links lead to, for every node.
+def components(links: DataFrame) -> DataFrame:
+    """rep, label: the smallest identifier that links lead to, for every end of a link.
 
-    nodes: written frame of rep, label (a first label). Labels go down by the
-    least label of the neighbours, then by the label of the label, until none
-    changes; each round is written to the shared folder.
+    Labels go down by the least label of the neighbours, then by the label of the
+    label, until none changes. The rounds are written tables: those, unlike
+    checkpoints, don't carry the constraints of all earlier rounds along, which
+    would make planning slower from round to round.
     """
-    # Written tables, unlike checkpoints, don't carry the constraints of all earlier
-    # rounds along, which would make planning slower from round to round.
     back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = written(links.select("a", "b").unionByName(back).distinct())
-    labels = nodes
+    labels = written(both.groupBy(F.col("a").alias("rep")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
         at = labels.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
         near = both.join(at, "b").groupBy(F.col("a").alias("rep")).agg(F.min("lb").alias("near"))
-        down = labels.join(near, "rep", "left").select("rep", F.least("label", "near").alias("next"), "label")
-        hop = down.select(F.col("rep").alias("next"), F.col("next").alias("further"))
-        new = written(
-            down.join(hop, "next", "left").select("rep", F.least("next", "further").alias("next"), "label")
-        )
+        down = labels.join(near, "rep").select("rep", F.least("label", "near").alias("next"), "label")
+        hop = labels.select(F.col("rep").alias("next"), F.col("label").alias("further"))
+        new = written(down.join(hop, "next").select("rep", F.least("next", "further").alias("next"), "label"))
         labels = new.select("rep", F.col("next").alias("label"))
         if new.where(F.col("next") != F.col("label")).isEmpty():
             return labels
 
 
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """rep, label after further links, of which only those between components count."""
+    if labels is None:
+        return components(links)
+    ends = links
+    for x in ("a", "b"):
+        own = labels.select(F.col("rep").alias(x), F.col("label").alias("at"))
+        ends = ends.join(own, x, "left").withColumn(x, F.coalesce("at", x)).drop("at")
+    moved = components(ends.where("a <> b"))
+    to = moved.select(F.col("rep").alias("label"), F.col("label").alias("to"))
+    old = labels.join(to, "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
+    return written(old.unionByName(moved.join(labels.select("rep"), "rep", "left_anti")))
+
+
 def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. texts: rep, text, one row each."""
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    """The pairs (a, b) whose texts are similar. texts: rep, packed, one row each."""
+    left = texts.select(F.col("rep").alias("a"), F.col("packed").alias("ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("packed").alias("tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "tb", "ta")
     kind = pairs.schema["a"].dataType.simpleString()
     return rows.mapInArrow(lambda it: _verified(it, least), f"a {kind}, b {kind}")
 
 
-def candidates(buckets: DataFrame, turn: int, least: float, labels: DataFrame | None) -> DataFrame:
-    """a, b: every member of a bucket with the bucket's pivot of this turn.
+def candidates(
+    buckets: DataFrame, turn: int, least: float, labels: DataFrame | None, tested: DataFrame | None
+) -> DataFrame:
+    """a < b: every member of a bucket with the bucket's pivots of this turn.
 
-    Only pairs whose sizes allow the similarity, and, once there are labels, that
-    lie in different components.
+    Pivots are the members with the lowest hashes, other ones in every turn. Only
+    pairs whose sizes allow the similarity, that lie in different components and
+    were not tested before. Buckets within one component are out of it.
     """
     at = ["j", "sketch"]
-    first = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-    pivots = buckets.groupBy(at).agg(F.min(F.struct(first.alias("o"), "rep", "size")).alias("p"))
-    rows = buckets.join(pivots.select(*at, F.col("p.rep").alias("b"), F.col("p.size").alias("sb")), at)
-    fit = F.least("size", "sb") >= least * F.greatest("size", "sb") - 1e-9
-    pairs = rows.where((F.col("rep") != F.col("b")) & fit).select(F.col("rep").alias("a"), "b").distinct()
+    rows = buckets.withColumn("label", F.col("rep"))
     if labels is not None:
-        for x in ("a", "b"):
-            own = labels.select(F.col("rep").alias(x), F.col("label").alias(f"l{x}"))
-            pairs = pairs.join(own, x, "left").withColumn(f"l{x}", F.coalesce(f"l{x}", x))
-        pairs = pairs.where("la <> lb").select("a", "b")
-    return pairs
+        rows = buckets.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    first = lambda k: F.min(F.struct(F.xxhash64("rep", F.lit(PIVOTS * turn + k)).alias("o"), "rep", "size", "label"))
+    pivots = rows.groupBy(at).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.array(*map(first, range(PIVOTS))).alias("ps")
+    )
+    pivots = pivots.where("low <> high").select(*at, F.transform("ps", lambda p: p.dropFields("o")).alias("ps"))
+    pairs = rows.join(pivots, at).withColumn("p", F.explode(F.array_distinct("ps")))
+    fit = F.least("size", "p.size") >= least * F.greatest("size", "p.size") - 1e-9
+    pairs = pairs.where((F.col("label") != F.col("p.label")) & fit)
+    pairs = pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def near_classes(
@@ -310,16 +328,17 @@ def near_classes(
     buckets = written(buckets.join(shared, ["j", "sketch"]))
     met = buckets.select(F.col("rep").alias("met")).distinct()
     texts = docs.select(F.col(doc_id).alias("rep"), text_or_empty(text).alias("text"))
-    texts = texts.join(met, texts["rep"] == met["met"], "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
+    texts = texts.mapInArrow(packed, f"rep {kind}, packed binary")
+    texts = texts.join(met, texts["rep"] == met["met"], "left_semi").groupBy("rep").agg(F.max("packed").alias("packed"))
     texts = written(texts)
-    links, labels, turn = None, None, 0
+    labels, tested, turn = None, None, 0
     while True:
-        new = written(linked(candidates(buckets, turn, least, labels), texts, least))
+        pairs = written(candidates(buckets, turn, least, labels, tested))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = written(linked(pairs, texts, least))
         if new.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).distinct()
-        labels = components(written(ends.withColumn("label", F.col("rep"))), links)
+        labels = relabelled(labels, new)
         turn += 1
     classes = groups.select("words", "rep")
     if labels is None:

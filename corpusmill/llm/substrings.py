@@ -22,11 +22,10 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import mixed, row_blocks, text_or_empty, utf8, written
+from corpusmill.llm.common import mixed, packed, row_blocks, text_or_empty, unpacked, utf8, written
 
 WINDOW, GRAM = 100, 16
 CLASSES, CLASS_BITS = 4, 15
@@ -391,20 +390,6 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         known = np.unique(value[keys == last[0]])
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text, last column, compressed: it crosses the network and waits on disks."""
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        n = batch.num_columns - 1
-        small = [press.compress(t.as_buffer()) for t in batch.column(n).cast(pa.large_binary())]
-        cols = [*(batch.column(k) for k in range(n)), pa.array(small, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:n], "packed"])
-
-
-def unpacked(body: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(body)
-
-
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, removed, spans, shas = [], [], [], []

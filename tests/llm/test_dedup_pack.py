@@ -111,7 +111,7 @@ def test_near_hot_group_stays_linear(frame, monkeypatch):
     monkeypatch.setattr(near, "candidates", lambda *a: asked.append(real(*a).count()) or real(*a))
     got = near.near_classes(frame(rows)).collect()
     assert {r.class_id for r in got} == {0}
-    assert asked[0] < 300 * near.SKETCHES and sum(asked[1:]) == 0
+    assert asked[0] < 300 * near.SKETCHES * near.PIVOTS and sum(asked[1:]) == 0
 
 
 def test_alignment_against_dynamic_programming():
