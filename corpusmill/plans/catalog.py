@@ -1334,7 +1334,14 @@ def json_shape_profile(spark, sf):
     return K.json_shape_profile(events_json(spark, sf), "event_id", "payload")
 
 
-@query("json_schema", "SELECT 'OBJECT<k: BIGINT>' AS schema FROM events GROUP BY 1")
+@query(
+    "json_schema",
+    """
+    WITH f AS (SELECT DISTINCT j.key AS k, CASE WHEN j.type IN ('UBIGINT', 'BIGINT') THEN 'BIGINT'
+                 WHEN j.type = 'VARCHAR' THEN 'STRING' ELSE j.type END AS t FROM events, json_each(props) AS j)
+    SELECT 'OBJECT<' || string_agg(k || ': ' || t, ', ' ORDER BY k) || '>' AS schema FROM f
+    """,
+)
 def json_schema(spark, sf):
     return K.json_schema(load(spark, sf, "events"), "props")
 
@@ -1518,7 +1525,21 @@ def debounce_stream(spark, sf):
     return done.where("user_id >= 0").select("event_id", "user_id", "event_type")
 
 
-@query("crunch_stream")
+@query(
+    "crunch_stream",
+    S.recursive(
+        S.with_seeded(
+            f"""SELECT conv_id, turn, CASE WHEN saved THEN 'Compressed' WHEN z IS NOT NULL THEN 'Compact' ELSE 'Original' END AS label,
+            CASE WHEN saved THEN p WHEN z IS NOT NULL THEN {S.pct('len(text) - len(z)', 'len(text)')} ELSE 0::DOUBLE END AS saved_percent,
+            md5(nullif(CASE WHEN saved THEN t WHEN z IS NOT NULL THEN z ELSE text END, text)) AS write_back_md5
+            FROM (SELECT *, t <> '' AND t <> text AND p > 0 AS saved FROM (
+              SELECT conv_id, turn, text, t, {_compact_sql('text')} AS z, {S.pct('rn0 - rn1', 'rn0')} AS p FROM rt))""",
+            f"""src AS (SELECT conv_id, turn, conv_id * 1000000 + turn AS doc_id, NULL::VARCHAR AS name, text, text AS t
+               FROM conversations WHERE len({S.strip('text')}) >= 5)""",
+            *S.route_ctes("src", "rt"),
+        )
+    ),
+)
 def crunch_stream(spark, sf):
     turns = E.read_event_stream(
         spark, "conv_id bigint, turn bigint, role string, text string", f"{sf}/conversations*.parquet"

@@ -81,9 +81,11 @@ def write_batches(
 class HistoryProcessor(StatefulProcessor):
     """Keeps the newest entries of a key; emits the entry each event touched."""
 
-    def __init__(self, key: str, ts: str, text: str, window: int, keep: int):
-        self.key, self.ts, self.text = key, ts, text
-        self.window, self.keep = window, keep
+    def __init__(
+        self, key: str, ts: str, text: str, window: int, keep: int, seq: str | None = None, ttl: int | None = None
+    ):
+        self.key, self.ts, self.text, self.seq = key, ts, text, seq
+        self.window, self.keep, self.ttl = window, keep, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entries = handle.getListState(
@@ -95,12 +97,14 @@ class HistoryProcessor(StatefulProcessor):
                     T.StructField("touches", T.LongType()),
                 ]
             ),
+            ttlDurationMs=self.ttl * 1000 if self.ttl else None,
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         kept = [tuple(e) for e in self.entries.get()]
         touched = []
-        events = pd.concat(list(rows)).sort_values(self.ts)
+        order = [self.ts, self.seq] if self.seq else [self.ts]
+        events = pd.concat(list(rows)).sort_values(order, kind="stable")
         for at, text in zip(events[self.ts], events[self.text]):
             at = pd.Timestamp(at).to_pydatetime()
             spot = next((i for i, e in enumerate(kept[: self.window]) if e[0] == text), None)
@@ -122,20 +126,26 @@ def history_stream(
     text: str = "text",
     window: int = DEDUP_WINDOW,
     keep: int = HISTORY_SIZE,
+    seq: str | None = None,
+    ttl_seconds: int | None = None,
 ) -> DataFrame:
-    """Move-to-front history per key as keyed state of at most `keep` entries."""
+    """Move-to-front history per key as keyed state of at most `keep` entries.
+
+    seq orders events of equal time, as in the batch form. With ttl_seconds the
+    state of a key that gets no events for that long is given up.
+    """
     key_type = dict(events.dtypes)[key]
     schema = (
         f"{key} {key_type}, {text} string, created_at timestamp, touched_at timestamp, touches bigint"
     )
     return (
         events.where(~is_blank(text_of(text)))
-        .select(key, ts, text)
+        .select(key, ts, *([seq] if seq else []), text)
         .groupBy(key)
         .transformWithStateInPandas(
-            statefulProcessor=HistoryProcessor(key, ts, text, window, keep),
+            statefulProcessor=HistoryProcessor(key, ts, text, window, keep, seq, ttl_seconds),
             outputStructType=schema,
             outputMode="Update",
-            timeMode="None",
+            timeMode="ProcessingTime" if ttl_seconds else "None",
         )
     )
