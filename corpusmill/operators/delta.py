@@ -59,6 +59,27 @@ def snapshot_pairs(old: DataFrame, new: DataFrame, key: str, text: str = "text")
     )
 
 
+def snapshot_ids(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, old_id, new_id, full_tokens of the new text: hashes travel, no texts."""
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    own = version_id(text_of(text))
+    both = old.select(key, own.alias("old_id"), none.alias("new_id"), nothing.alias("full_tokens")).unionByName(
+        new.select(key, none.alias("old_id"), own.alias("new_id"), count_tokens(text_of(text)).alias("full_tokens"))
+    )
+    return both.groupBy(key).agg(*[F.max(c).alias(c) for c in ("old_id", "new_id", "full_tokens")])
+
+
+def changed_pairs(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """snapshot_pairs of the documents that both snapshots hold with other texts.
+
+    They are told by their ids first; only their texts are paired.
+    """
+    ids = snapshot_ids(old, new, key, text).where(F.col("old_id") != F.col("new_id"))
+    changed = ids.select(F.col(key).alias("_changed"))
+    of = lambda df: df.join(changed, F.col(key).eqNullSafe(F.col("_changed")), "left_semi")
+    return snapshot_pairs(of(old), of(new), key, text)
+
+
 def line_delta(pairs: DataFrame, key: str) -> DataFrame:
     """Lines and tokens added and removed per changed document.
 
@@ -102,13 +123,13 @@ def delta_mode(old: DataFrame, new: DataFrame, key: str, text: str = "text") ->
 
     The delta is worth it only if it costs fewer tokens than the full text.
     """
-    pairs = snapshot_pairs(old, new, key, text).where(F.col("new_id").isNotNull())
-    delta = line_delta(pairs.where(F.col("old_id").isNotNull()), key)
+    ids = snapshot_ids(old, new, key, text).where(F.col("new_id").isNotNull())
+    delta = line_delta(changed_pairs(old, new, key, text), key).withColumnRenamed(key, "_key")
     f = F.col
     zero = F.lit(0).cast("bigint")
     d = (
-        pairs.select(key, "old_id", "new_id", count_tokens(f("new_text")).alias("full_tokens"))
-        .join(delta, key, "left")
+        ids.join(delta, f(key).eqNullSafe(f("_key")), "left")
+        .drop("_key")
         .withColumn("added", F.coalesce("lines_added", zero))
         .withColumn("removed", F.coalesce("lines_removed", zero))
         .withColumn("_d", F.coalesce("delta_tokens", zero))

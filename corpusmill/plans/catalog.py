@@ -1129,7 +1129,7 @@ def delta_mode(spark, sf):
 @query("delta_text")
 def delta_text(spark, sf):
     old = seeded_corpus(spark, sf)
-    d = V.delta_text(V.snapshot_pairs(old, new_version(old), "doc_id"), "doc_id")
+    d = V.delta_text(V.changed_pairs(old, new_version(old), "doc_id"), "doc_id")
     return d.select("doc_id", F.md5("changes").alias("changes_md5"), N.count_tokens(c("changes")).alias("tokens"))
 
 
