@@ -12,7 +12,8 @@ from corpusmill.functions.text import (
 )
 from corpusmill.operators.tokens import count_tokens
 
-# The rules look at the head of a text; these windows are part of the rules.
+# The rules look at the head of a text; these windows are part of the rules. None
+# in their place looks at the whole text.
 HEAD_LINES = 30
 HEAD_CHARS = 5000
 AGENT_CONFIG_HITS = 5
@@ -49,8 +50,9 @@ def detect_raw_code(text: Column) -> Column:
     return let(text, decide)
 
 
-def detect_type(text: Column) -> Column:
+def detect_type(text: Column, head_lines: int | None = HEAD_LINES) -> Column:
     """log, email, web_scrape, markdown, code_* or prose, by the head lines."""
+    first = lambda ls: ls if head_lines is None else F.slice(ls, 1, head_lines)
 
     def by_head(s: Column) -> Column:
         head = s["head"]
@@ -78,7 +80,7 @@ def detect_type(text: Column) -> Column:
         lambda t: let(
             F.struct(
                 t.alias("text"),
-                F.slice(split_lines(strip(t)), 1, HEAD_LINES).alias("head"),
+                first(split_lines(strip(t))).alias("head"),
             ),
             by_head,
         ),
@@ -112,15 +114,20 @@ def type_by_shape(text: Column) -> Column:
 
 
 def route_type(
-    text: Column, name: Column | None = None, extensions: dict[str, str] | None = None
+    text: Column,
+    name: Column | None = None,
+    extensions: dict[str, str] | None = None,
+    head_lines: int | None = HEAD_LINES,
+    head_chars: int | None = HEAD_CHARS,
 ) -> Column:
     """File name, then rule keywords, then text heuristics, then brackets."""
     by_name = type_by_name(name, extensions) if name is not None else F.lit(None).cast("string")
 
     def by_text(t: Column) -> Column:
-        keywords = count_matches(F.left(t, F.lit(HEAD_CHARS)), ANY_CASE + T.AGENT_CONFIG_KEYWORDS)
+        head = t if head_chars is None else F.left(t, F.lit(head_chars))
+        keywords = count_matches(head, ANY_CASE + T.AGENT_CONFIG_KEYWORDS)
         told = let(
-            detect_type(t),
+            detect_type(t, head_lines),
             lambda d: F.when(d.isin("log", "email", "web_scrape", "markdown"), d),
         )
         return F.when(keywords >= AGENT_CONFIG_HITS, F.lit("agent_config")).otherwise(

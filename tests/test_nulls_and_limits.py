@@ -94,3 +94,9 @@ def test_file_scan_without_a_cap(spark, tmp_path):
     assert {r.name: r.n for r in found} == {"big.txt": 15_000_000, "small.txt": 3}
     capped = {r.name: (r.text, r.error) for r in read_corpus(spark, str(root), max_bytes=100, report_large=True).collect()}
     assert capped["small.txt"] == ("one", None) and capped["big.txt"][0] is None and "100 bytes" in capped["big.txt"][1]
+
+
+def test_detection_windows_can_be_lifted(mapped):
+    log = "\n".join(["plain words"] * 40 + ["2025-01-02 10:00:01 INFO started"] * 5)
+    assert mapped(D.detect_type, log) == ["prose"]
+    assert mapped(lambda t: D.detect_type(t, None), log) == ["log"]
