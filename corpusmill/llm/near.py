@@ -11,8 +11,9 @@ similarity of s, at most (1 - s) / (1 + s) of the shingles may be unmatched, whi
 bounds the band. Word sequences that are equal meet first, by digest, and are
 represented by one document from then on.
 
-Candidates are stars, not pairs: in a round the members of a bucket meet PIVOTS
-members of it, the pivots. Documents linked so are joined into components.
+Candidates are stars, not pairs: in a round the members of a bucket meet a few
+members of it, the pivots: those that share most buckets with others, as the text
+that the others were copied from does. Documents linked so are joined into components.
 Buckets whose members still lie in several components are dealt again with other
 pivots, for the members outside a pivot's component, until a round links nothing
 new. So the candidates of a round grow with the rows of the buckets only.
@@ -35,7 +36,7 @@ SHINGLE = 5
 SKETCHES = 16
 TAKEN = 3
 SIMILARITY = 0.8
-#: Pivots of a bucket in one turn.
+#: Parts of a bucket, and so pivots, in one turn.
 PIVOTS = 3
 BLOCK = 1 << 20
 
@@ -275,19 +276,22 @@ def candidates(
 ) -> DataFrame:
     """a < b: every member of a bucket with the bucket's pivots of this turn.
 
-    Pivots are the members with the lowest hashes, other ones in every turn. Only
-    pairs whose sizes allow the similarity, that lie in different components and
+    A bucket is parted by a hash that changes from turn to turn; the pivots are the
+    heaviest member of every part. Only pairs whose sizes allow the similarity, that lie in different components and
     were not tested before. Buckets within one component are out of it.
     """
     at = ["j", "sketch"]
     rows = buckets.withColumn("label", F.col("rep"))
     if labels is not None:
         rows = buckets.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    first = lambda k: F.min(F.struct(F.xxhash64("rep", F.lit(PIVOTS * turn + k)).alias("o"), "rep", "size", "label"))
+    part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(PIVOTS))
+    first = lambda k: F.min(
+        F.struct((part != k).alias("o"), (-F.col("weight")).alias("w"), "rep", "size", "label")
+    )
     pivots = rows.groupBy(at).agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.array(*map(first, range(PIVOTS))).alias("ps")
     )
-    pivots = pivots.where("low <> high").select(*at, F.transform("ps", lambda p: p.dropFields("o")).alias("ps"))
+    pivots = pivots.where("low <> high").select(*at, F.transform("ps", lambda p: p.dropFields("o", "w")).alias("ps"))
     pairs = rows.join(pivots, at).withColumn("p", F.explode(F.array_distinct("ps")))
     fit = F.least("size", "p.size") >= least * F.greatest("size", "p.size") - 1e-9
     pairs = pairs.where((F.col("label") != F.col("p.label")) & fit)
@@ -324,8 +328,11 @@ def near_classes(
     )
     groups = written(groups.where("rep IS NOT NULL"))
     buckets = groups.select("rep", "size", F.posexplode("sketch").alias("j", "sketch"))
-    shared = buckets.groupBy("j", "sketch").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = buckets.groupBy("j", "sketch").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(buckets.join(shared, ["j", "sketch"]))
+    # The text that others were copied from shares buckets with the most of them.
+    weights = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
+    buckets = written(buckets.drop("n").join(weights, "rep"))
     met = buckets.select(F.col("rep").alias("met")).distinct()
     texts = docs.select(F.col(doc_id).alias("rep"), text_or_empty(text).alias("text"))
     texts = texts.mapInArrow(packed, f"rep {kind}, packed binary")
