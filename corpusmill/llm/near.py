@@ -17,6 +17,12 @@ that the others were copied from does. Documents linked so are joined into compo
 Buckets whose members still lie in several components are dealt again with other
 pivots, for the members outside a pivot's component, until a round links nothing
 new. So the candidates of a round grow with the rows of the buckets only.
+
+What the pivots leave is finished exactly: members of every bucket that still has
+several components meet by their rarest shingles (prefix filter). Texts of the
+similarity have a shingle in common among their rarest, at places that leave enough
+to share behind it; a passage of many texts stands behind these, so it makes no
+candidate. Every other pair of different components in a bucket is thereby excluded.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ SIMILARITY = 0.8
 #: Parts of a bucket, and so pivots, in one turn.
 PIVOTS = 3
 BLOCK = 1 << 20
+#: Counters of shingles, by hash; what they hold decides the order of shingles only.
+COUNTERS = 1 << 20
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,6 +307,89 @@ def candidates(
     return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for body in batch.column(1):
+            n += np.bincount((labelled(_keys(body.as_py())) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+
+def rarest(keys: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled keys by which a text must meet its partners, and for each the
+    largest partner that it may be the first common key with.
+
+    Keys stand in one order for all texts, the rarest first. If the first common key
+    leaves `rest` keys in a text of n, a partner of m needs rest >= least / (1 + least) * (n + m).
+    """
+    own = labelled(keys)
+    own = own[np.lexsort((own, counts[(own % np.uint64(COUNTERS)).astype(np.int64)]))]
+    upto = (len(own) - np.arange(len(own))) * (1 + least) / least - len(own) + 1e-6
+    some = int(np.searchsorted(-upto, -least * len(own), side="right"))
+    return own[:some], upto[:some]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for body in batch.column(1):
+            keys = _keys(body.as_py())
+            found.append((len(keys), *rarest(keys, counts, least)))
+        nth = np.repeat(np.arange(len(found)), [len(f[1]) for f in found])
+        cols = [
+            batch.column(0).take(pa.array(nth)),
+            batch.column(2).take(pa.array(nth)),
+            pa.array(np.array([f[0] for f in found], np.int64)[nth]),
+            pa.array(np.concatenate([np.zeros(0, np.uint64), *[f[1] for f in found]]).view(np.int64)),
+            pa.array(np.concatenate([np.zeros(0), *[f[2] for f in found]])),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, ["rep", "label", "size", "key", "upto"])
+
+
+def unsettled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rep, label: members of the buckets of three or more that lie in several components.
+
+    The two of a bucket of two have met.
+    """
+    rows = buckets.select("j", "sketch", "rep", F.col("rep").alias("label"))
+    if labels is not None:
+        rows = rows.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    at = ["j", "sketch"]
+    open_ = rows.groupBy(at).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    open_ = open_.where("low <> high AND n > 2").select(*at)
+    return rows.join(open_, at, "left_semi").select("rep", "label").distinct()
+
+
+def remaining(left: DataFrame, texts: DataFrame, least: float, tested: DataFrame) -> DataFrame:
+    """a < b: all pairs of `left` in different components that can be similar and were not tested.
+
+    A pair meets at its first common key, where one of the two can have a partner of
+    its own size or more (`wide`); keys that are wide for no text, as those of a
+    common passage, are left out. The most frequent component of a key does not meet itself.
+    """
+    rows = written(texts.join(left, "rep").select("rep", "packed", "label"))
+    sums = rows.mapInArrow(_counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    kind = left.schema["rep"].dataType.simpleString()
+    shape = f"rep {kind}, label {kind}, size bigint, key bigint, upto double"
+    rows = rows.mapInArrow(lambda it: _prefixes(it, counts, least), shape)
+    rows = written(rows.withColumn("wide", F.col("upto") >= F.col("size")))
+    keys = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("wide").alias("wide"))
+    keys = keys.groupBy("key").agg(
+        F.max_by("label", "n").alias("most"), F.count("*").alias("labels"), F.max("wide").alias("some")
+    )
+    keys = keys.where("labels > 1 AND some").select("key", "most")
+    rows = written(rows.join(keys, "key"))
+    x, y = rows.where("label <> most").alias("x"), rows.alias("y")
+    fit = "x.key = y.key AND x.label <> y.label AND x.size <= y.upto AND y.size <= x.upto"
+    ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    met = x.where("wide").join(y, F.expr(fit)).select(ends)
+    met = met.unionByName(x.where("NOT wide").join(y.where("wide"), F.expr(fit)).select(ends))
+    return met.distinct().join(tested, ["a", "b"], "left_anti")
+
+
 def near_classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -347,6 +438,11 @@ def near_classes(
             break
         labels = relabelled(labels, new)
         turn += 1
+    left = written(unsettled(buckets, labels))
+    if not left.isEmpty():
+        new = written(linked(written(remaining(left, texts, least, tested)), texts, least))
+        if not new.isEmpty():
+            labels = relabelled(labels, new)
     classes = groups.select("words", "rep")
     if labels is None:
         classes = classes.withColumn("class_id", F.col("rep"))

@@ -114,6 +114,26 @@ def test_near_hot_group_stays_linear(frame, monkeypatch):
     assert asked[0] < 300 * near.SKETCHES * near.PIVOTS and sum(asked[1:]) == 0
 
 
+def test_near_pairs_behind_a_hot_passage(frame, monkeypatch):
+    rng = random.Random(11)
+    passage = prose(5000, 200)
+    texts = {k: f"{passage} {prose(6000 + k, 35)}" for k in range(400)}
+    for k in range(400, 480, 2):
+        own = prose(6000 + k, 13)
+        for i in (k, k + 1):
+            texts[i] = f"{passage} {own} {prose(7000 + i, 22)}"
+    order = list(texts)
+    rng.shuffle(order)
+    asked = []
+    real = near.remaining
+    monkeypatch.setattr(near, "remaining", lambda *a: asked.append(real(*a).count()) or real(*a))
+    want = classes(texts)
+    assert sum(k != v for k, v in want.items()) >= 30
+    got = near.near_classes(frame([row(k, texts[k]) for k in order])).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+    assert asked and asked[0] < 2 * len(texts)
+
+
 def test_alignment_against_dynamic_programming():
     rng = random.Random(7)
     for _ in range(200):
