@@ -65,11 +65,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """Totals after three batches over all documents.
+    """Totals after four batches; they cover all documents, null and empty texts too.
 
     The first inserts every document with its words. The second revises every
     document to the byte-pair vocabulary and withdraws those of fewer than
-    WITHDRAWN_BELOW words. The third delivers the second again.
+    WITHDRAWN_BELOW words. The third delivers the second again. The last inserts
+    the withdrawn documents again, with their byte-pair tokens.
     """
     docs = read(spark, sf_dir, "documents")
     state = f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
@@ -90,6 +91,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     )
     for _ in range(2):
         rollup.commit(spark, state, 2, second)
+    # Rows without a doc_id were never withdrawn, nor were identifiers that have a longer text too.
+    short = docs.where((word_total("text") < WITHDRAWN_BELOW) & F.col("doc_id").isNotNull())
+    short = short.join(words.where(F.col("n_tokens") >= WITHDRAWN_BELOW).select("doc_id"), "doc_id", "left_anti")
+    third = rollup.with_tokens(short, "text", vocab, facts).withColumns(
+        {"op": F.lit("insert"), "tokenizer_version": F.lit(BPE_VERSION), "seq": F.lit(2).cast("long")}
+    )
+    rollup.commit(spark, state, 3, third)
     out = settled(rollup.totals(spark, state))
     rollup.removed(spark, state)
     return out

@@ -276,3 +276,21 @@ def test_token_counts_query(spark):
             n, t = want.get(k, (0, 0))
             want[k] = (n + 1, t + len(enc.encode_ordinary(d.text or "")))
     assert {tuple(r)[:3]: tuple(r)[3:] for r in catalog.op8_token_counts(spark, SF).collect()} == want
+
+
+def test_token_counts_cover_short_and_null_documents(spark, frame, odd, tmp_path):
+    docs = frame([*odd, row(11, "two words", "en", "z"), row(11, prose(4), "en", "z")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    enc = rollup.encoder(rollup.vocabulary(VOCAB))
+    got = catalog.op8_token_counts(spark, str(tmp_path)).collect()
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().count()
+    assert sum(r.n_docs for r in got) == ids + docs.where("doc_id IS NULL").count()
+    assert [tuple(r)[2:] for r in got if r.source == "z"] == [(catalog.BPE_VERSION, 1, len(enc.encode_ordinary(prose(4))))]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = {}
+    for d in docs:
+        k = (d.source, d.lang, catalog.BPE_VERSION)
+        n, t = want.get(k, (0, 0))
+        want[k] = (n + 1, t + len(enc.encode_ordinary(d.text or "")))
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in catalog.op8_token_counts(spark, SF).collect()} == want
