@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
-from corpusmill.functions.text import lines, unfold, word_count
+from corpusmill.functions.text import lines, text_of, unfold, word_count
 from corpusmill.operators import budget as B
 from corpusmill.operators import compress as C
 from corpusmill.operators import delta as V
@@ -1405,11 +1405,12 @@ _SCALAR = r"^( *(?:- )?(?:[^\s:#][^:]*: +)?)(.*)$"
     """,
 )
 def yaml_skeleton(spark, sf):
-    listed = F.transform(F.split("text", "\n"), lambda l: F.concat(F.lit("- "), l))
-    head = F.concat(F.lit("doc_id: "), c("doc_id").cast("string"), F.lit("\nsource: "), c("source"), F.lit("\ntext:\n"))
+    # The SQL covers texts without CR and nulls; tests/test_skeletons.py covers the others.
+    listed = F.transform(F.split(text_of("text"), "\r\n?|\n"), lambda l: F.concat(F.lit("- "), l))
+    ident, source = text_of(c("doc_id").cast("string")), text_of("source")
+    head = F.concat(F.lit("doc_id: "), ident, F.lit("\nsource: "), source, F.lit("\ntext:\n"))
     body = F.concat(head, F.array_join(listed, "\n"))
-    docs = load(spark, sf, "documents").where(~c("text").contains("\r"))
-    return docs.select("doc_id", F.md5(K.yaml_skeleton(body)).alias("yaml_md5"))
+    return load(spark, sf, "documents").select("doc_id", F.md5(K.yaml_skeleton(body)).alias("yaml_md5"))
 
 
 # ------------------------------------------------------------------- history
