@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 from math import isqrt
 
 import pyarrow as pa
@@ -27,18 +29,21 @@ KEY = b"change-me-per-corpus"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "ip", "date", "phone", "secret")
 #: Fixed formats of the values looked for; each is checked again after matching.
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?![\w@]))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"
-    r"|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\w|[.-]\d))"
-    r"|(?P<ssn>(?<![\w.-])\d{3}-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-]))"
-    r"|(?P<secret>(?i:(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
-    r"(?P<value>[A-Za-z0-9+/_-]{12,}))"
-)
+FORMATS = {
+    "email": r"(?<![\w.+%-])[\w.%+-]++@[^\W_](?:[^\W_]|[.-])*+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"
+    r"|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\w|[.-]\d)",
+    "ssn": r"(?<![\w.-])\d{3}-\d\d-\d{4}(?![\w-])",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?!(?![Tt]\d|Z\b)[\w/-]|\.\d)",
+    "card": r"(?<![\w-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
+    "secret": r"(?i:(?<![A-Za-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
+    r"(?P<value>[A-Za-z0-9+/_-]{12,})",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMATS.items()))
+ORDERED = tuple(FORMATS)
+ALONE = {k: re.compile(v) for k, v in FORMATS.items()}
 DAY_ONE, DAY_END = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()
 DATES = (("-", (0, 1, 2)), ("/", (2, 0, 1)), (".", (2, 1, 0)))
 
@@ -68,22 +73,32 @@ def permuted(value: int, size: int, key: bytes, use: str) -> int:
             return value
 
 
+@lru_cache(1 << 12)
+def alike(ch: str) -> str:
+    """The signs that ch may become: digits, letters of its case, others from its block of 64; none for other signs."""
+    if not ch.isalnum():
+        return ""
+    if ch.isascii():
+        return next(x for x in (string.digits, string.ascii_uppercase, string.ascii_lowercase) if ch in x)
+    kind = lambda x: (x.isalpha(), x.isupper(), x.islower(), x.isalnum(), x.isascii())
+    return "".join(x for x in map(chr, range(ord(ch) & ~63, (ord(ch) | 63) + 1)) if kind(x) == kind(ch))
+
+
 def permuted_signs(text: str, key: bytes, use: str) -> str:
     """Letters and digits permuted within their classes; other signs stay."""
-    classes = ((48, 10), (65, 26), (97, 26))
     shape, value, size = [], 0, 1
     for ch in text:
-        hit = next(((lo, n) for lo, n in classes if lo <= ord(ch) < lo + n), None)
+        hit = alike(ch)
         shape.append(hit)
         if hit:
-            value, size = value * hit[1] + ord(ch) - hit[0], size * hit[1]
-    form = "".join("-" if h is None else chr(h[0]) for h in shape)
+            value, size = value * len(hit) + hit.index(ch), size * len(hit)
+    form = "".join(h[0] if h else "-" for h in shape)
     value = permuted(value, size, key, use + form)
     out = []
     for ch, hit in zip(reversed(text), reversed(shape), strict=True):
         if hit:
-            value, r = divmod(value, hit[1])
-            ch = chr(hit[0] + r)
+            value, r = divmod(value, len(hit))
+            ch = hit[r]
         out.append(ch)
     return "".join(reversed(out))
 
@@ -178,6 +193,8 @@ def _email(found: str, key: bytes) -> str | None:
     labels = host.split(".")
     if len(labels) < 2 or not all(labels) or not (2 <= len(labels[-1]) <= 24 and labels[-1].isalpha()):
         return None
+    if len(set(map(str.isascii, labels[-1]))) > 1:
+        return None
     top = labels.pop()
     host = ".".join(permuted_signs(x, key, "host") for x in labels)
     return f"{permuted_signs(name, key, 'mailbox')}@{host}.{top}"
@@ -199,20 +216,63 @@ def pseudonym(kind: str, found: str, key: bytes) -> str | None:
     return CHECKED[kind](found, key)
 
 
+def shorter(kind: str, found: str) -> Iterator[str]:
+    """What a value that fails its check may be, without its end: the longest first."""
+    if kind == "email":
+        name, _, host = found.partition("@")
+        labels = host.split(".")
+        labels = labels[: labels.index("")] if "" in labels else labels
+        for k in range(len(labels) - 1, 0, -1):
+            # An end in letters of one script, as in com.2, com-x or com2.
+            top = re.match(r"[A-Za-z]{2,24}|[^\W\d_a-zA-Z]{2,24}", labels[k])
+            if top:
+                yield f"{name}@{'.'.join([*labels[:k], top[0]])}"
+    elif kind in ("iban", "phone"):
+        for m in reversed(list(re.finditer(r"[ .-]", found))):
+            if ALONE[kind].fullmatch(found[: m.start()]):
+                yield found[: m.start()]
+
+
+def replaced(kind: str, m: re.Match, key: bytes) -> tuple[int, int, str] | None:
+    """Start, end and pseudonym of the value in a match, or None if none passes its check."""
+    found = m["value"] if kind == "secret" else m[0]
+    start = m.end() - len(found)
+    if kind == "email":
+        bare = found.lstrip(".%+-")
+        start, found = start + len(found) - len(bare), bare
+        if not any(map(str.isalnum, found.partition("@")[0])):
+            return None
+    for value in chain([found], shorter(kind, found)):
+        new = pseudonym(kind, value, key)
+        if new is not None:
+            return start, start + len(value), new
+    return None
+
+
 def hidden(text: str, key: bytes) -> tuple[str, dict[str, int]]:
-    """The text with pseudonyms, and how many of each kind were put in."""
-    counts: dict[str, int] = {}
+    """The text with pseudonyms, and how many of each kind were put in.
 
-    def put(m: re.Match) -> str:
-        kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k])
-        value = m["value"] if kind == "secret" else m[0]
-        new = pseudonym(kind, value, key)
-        if new is None:
-            return m[0]
+    Where a match fails its check, the kinds after it are tried at the same place
+    and all kinds within it.
+    """
+    counts: dict[str, int] = {}
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        start = m.start()
+        first = next(k for k in KINDS if m[k])
+        hit, kind = replaced(first, m, key), first
+        for kind in () if hit else ORDERED[ORDERED.index(first) + 1 :]:
+            other = ALONE[kind].match(text, start)
+            hit = other and replaced(kind, other, key)
+            if hit:
+                break
+        if not hit:
+            at = start + 1
+            continue
         counts[kind] = counts.get(kind, 0) + 1
-        return m[0][: len(m[0]) - len(value)] + new
-
-    return PATTERN.sub(put, text), counts
+        out += [text[done : hit[0]], hit[2]]
+        done = at = hit[1]
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: bytes = KEY) -> DataFrame:

@@ -184,6 +184,44 @@ def test_what_fails_its_check_stays():
     assert P.hidden(text, P.KEY) == (text, {})
 
 
+LEFT_BEFORE = [
+    ("root@10.0.0.1", "10.0.0.1", "ip"),
+    ("ssh root@10.0.0.1:22", "10.0.0.1", "ip"),
+    ("joe@example.com.2", "joe@example.com", "email"),
+    ("joe@example.com-x", "joe@example.com", "email"),
+    ("joe@example.com_x", "joe@example.com", "email"),
+    ("joe@example.com..", "joe@example.com", "email"),
+    ("at 2024-01-31T10:00:00 on", "2024-01-31", "date"),
+    ("2024-01-31Z", "2024-01-31", "date"),
+    ("_joe@example.com", "joe@example", "email"),
+    (".joe@example.com", "joe@example", "email"),
+    ("müller@example.com", "ller@example", "email"),
+    ("дима@example.com", "дима", "email"),
+    ("joe@müller.de", "joe@m", "email"),
+    ("DE89 3704 0044 0532 0130 00 THIS", "DE89 3704 0044 0532 0130 00", "iban"),
+    ("ZZ99 4785 3805 9239 1139", "4785 3805 9239 1139", "card"),
+    ("password: 743-555-3824", "743-555-3824", "phone"),
+]
+
+
+@pytest.mark.parametrize("text, value, kind", LEFT_BEFORE)
+def test_values_inside_or_beside_what_fails(text, value, kind):
+    for around in ("{}", "see {} and", "({})"):
+        whole = around.format(text)
+        out, counts = P.hidden(whole, P.KEY)
+        assert value not in out and counts == {kind: 1}
+        assert P.hidden(out, P.KEY)[1] == counts
+
+
+def test_values_linked_whatever_follows_them():
+    stamp = lambda t: P.hidden(t, P.KEY)[0]
+    assert stamp("2024-01-31T10:00:00") == stamp("2024-01-31") + "T10:00:00"
+    assert stamp("joe@example.com.2") == stamp("joe@example.com") + ".2"
+    assert stamp("root@10.0.0.1") == "root@" + stamp("10.0.0.1")
+    many = [f"{c}@x.org" for c in "дёüñé中"] + [f"a{k}ü@x.org" for k in range(200)]
+    assert len({stamp(t) for t in many}) == len(many)
+
+
 def test_pseudonyms_over_rows(frame, odd):
     rows = [*odd, row(50, "mail a.b@c.org"), row(51, "to a.b@c.org. " + "x" * 300_000 + " 8.8.8.8")]
     got = {(r.doc_id, r.text is None): r for r in P.pseudonymised(frame(rows)).collect()}
