@@ -130,6 +130,5 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": oracles.EXACT,
     "op3_mix_sources": oracles.MIXTURE,
-    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": oracles.QUALITY,
 }

@@ -12,3 +12,7 @@ SF = "/root/testdata/sf0.01"
 def test_query_equals_sql(spark, name):
     ok, note = compare(spark, oracle_connection(SF), name, catalog.QUERIES[name], catalog.ORACLES[name], SF)
     assert ok, note
+
+
+def test_every_oracle_is_sql():
+    assert all(isinstance(x, str) for x in catalog.ORACLES.values())
