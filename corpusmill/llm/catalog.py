@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import oracles, rollup
 from corpusmill.llm.common import read, settled, word_total
+from corpusmill.llm.divergence import divergence
 from corpusmill.llm.exact import exact_dedup
 from corpusmill.llm.language import identify
 from corpusmill.llm.mixture import mix_sources
@@ -17,7 +18,9 @@ from corpusmill.llm.near import near_classes
 from corpusmill.llm.packing import pack
 from corpusmill.llm.pseudonyms import pseudonymised
 from corpusmill.llm.quality import quality_rules
+from corpusmill.llm.ranked import ranked_search
 from corpusmill.llm.substrings import without_repeats
+from corpusmill.llm.toxicity import toxicity
 from corpusmill.llm.urls import url_verdicts
 from corpusmill.session import checkpoint_dir
 
@@ -114,6 +117,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), trusted)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    found = ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score, learned from the labels that are not held out."""
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of a language against the others, and the terms it favours."""
+    return divergence(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -125,10 +144,15 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_toxicity": op12_toxicity,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
     "op1_exact_dedup": oracles.EXACT,
     "op3_mix_sources": oracles.MIXTURE,
     "op10_quality_rules": oracles.QUALITY,
+    "op11_ranked_search": oracles.RANKED,
+    "op13_source_divergence": oracles.DIVERGENCE,
 }
