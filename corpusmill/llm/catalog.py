@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +59,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced."""
-    return pseudonymised(read(spark, sf_dir, "documents"))
+    """Every document with its personal data replaced, under the key of PSEUDONYM_KEY.
+
+    Without that variable a random key is drawn, so no one can undo the result.
+    """
+    key = os.environ.get("PSEUDONYM_KEY", "").encode() or secrets.token_bytes(32)
+    return pseudonymised(read(spark, sf_dir, "documents"), key)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

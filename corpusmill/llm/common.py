@@ -16,6 +16,8 @@ from corpusmill.session import checkpoint_dir, prepare_checkpoints
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Parts of a group whose rows look up something of the group.
+PARTS = 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,15 +56,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """df as a compressed table in the shared checkpoint folder.
 
     All tables of an application lie in one folder named after it, which can be
-    deleted when the application has ended.
+    deleted when the application has ended. file_rows: rows of a file at most, for
+    rows so large that a task should read few; 0 for no limit.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +74,18 @@ def small(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def spread(rows: DataFrame, per_group: DataFrame, at: list[str], own: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of their group in per_group (one row a group).
+
+    A group's rows are dealt over PARTS parts by the column `own`. Only one row a
+    part meets the group's row, and the rows of a part meet that one, so a group of
+    any size is no task of its own.
+    """
+    part = F.pmod(F.xxhash64(own), F.lit(PARTS)).cast("int").alias("part")
+    met = rows.select(*at, part).distinct().join(per_group, at)
+    return rows.select("*", part).join(met, [*at, "part"], how).drop("part")
+
+
 def utf8(values: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; null is empty."""
     if isinstance(values, pa.ChunkedArray):

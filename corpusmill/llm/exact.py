@@ -1,11 +1,13 @@
 """Exact dedup: a tree of merges over sorted runs of digests.
 
-Each document falls into one of `runs` runs by its id. A run is reduced to one
-entry per digest (the identifier that stays and a count). In every round
-`fan_in` neighbouring runs merge into one, again one entry per digest, until one
-run is left; its entries are dealt over all tasks by digest. The answer then goes
-back down the same tree to the documents. However many copies a text has, no
-merge sees more than `fan_in` entries of it, and a leaf only those of its run.
+Rows fall into `runs` runs by identifier and place, so that no identifier, missing
+ones too, fills a run. A run is sorted by digest and reduced to one entry per digest:
+the identifier that stays, where it lies and a count. In every round `fan_in`
+neighbouring runs are exchanged, merged in order of digest and again reduced to one
+entry per digest, until one run is left; its entries are dealt over all tasks by
+digest. The answer then goes back down the same tree to the documents. However many
+copies a text has, no merge sees more than `fan_in` entries of it, and a leaf only
+those of its run.
 
 An entry is known by SHA-256, byte length and a second, independent 64-bit hash
 together; entries meet only where all three agree, at every level. Texts
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import fresh, settled, text_or_empty
 
-RUNS = 4096
-FAN_IN = 64
+RUNS = 1 << 15
+FAN_IN = 1 << 8
 DIGEST = ["sha", "second", "n_bytes"]
 
 
@@ -52,42 +54,47 @@ def exact_dedup(
     Null text counts as empty. Documents without an identifier lose against any
     with one; in a group of such only, keep_id is null and one row is kept. Of
     rows with equal identifier and equal text exactly one is kept. An empty table
-    gives an empty result. Other columns of docs are not looked at.
+    gives an empty result. Other columns of docs are not looked at. Long texts are
+    hashed whole.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep: largest or smallest")
     if runs < 1 or fan_in < 2:
         raise ValueError("runs must be 1 or more, fan_in 2 or more")
-    best, order = (F.max, F.desc_nulls_last) if keep == "largest" else (F.min, F.asc_nulls_last)
     ident = F.col(doc_id)
     leaf = settled(
         docs.select(
             ident.alias("doc_id"),
-            F.pmod(F.xxhash64(ident), F.lit(runs)).cast("long").alias("run"),
+            F.pmod(F.xxhash64(ident, F.spark_partition_id()), F.lit(runs)).cast("long").alias("run"),
             *digest(text, normalise),
         )
     )
+    # A missing identifier loses against any; of equal ones that of one run is it.
+    # Sums over structs are sort-based: every level sorts its entries and merges them.
+    best, known = (F.max, F.col("doc_id").isNotNull()) if keep == "largest" else (F.min, F.col("doc_id").isNull())
+    one = F.struct(known.alias("known"), "doc_id", F.col("run").alias("own_run"))
     at = ["run", *DIGEST]
-    merged = leaf.groupBy(at).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    merged = leaf.groupBy(at).agg(best(one).alias("best"), F.count("*").alias("group_size"))
     levels, width = [merged], runs
     while width > 1:
         width = -(-width // fan_in)
         merged = (
             merged.withColumn("run", F.floor(F.col("run") / fan_in))
             .groupBy(at)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+            .agg(best("best").alias("best"), F.sum("group_size").alias("group_size"))
         )
         levels.append(merged)
     answer = levels.pop()
     for lower in reversed(levels):
         up = lower.select("run", *DIGEST).withColumn("above", F.floor(F.col("run") / fan_in))
-        answer = up.join(answer.withColumnRenamed("run", "above"), ["above", *DIGEST]).select(*at, "keep_id", "group_size")
-    rank = F.row_number().over(Window.partitionBy(at).orderBy(order("doc_id")))
+        answer = up.join(answer.withColumnRenamed("run", "above"), ["above", *DIGEST]).select(*at, "best", "group_size")
+    here = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("run") == F.col("best.own_run"))
+    nth = F.row_number().over(Window.partitionBy(*at, "doc_id").orderBy("doc_id"))
     return leaf.join(answer, at).select(
         "doc_id",
-        "keep_id",
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (rank == 1)).alias("kept"),
+        (here & (nth == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
         "n_bytes",
     )

@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import row_blocks, text_or_empty, utf8
 
 BUCKETS = 1 << 12
-#: Languages a model may have; more is an error, since counts come to the driver.
+#: Languages a model has at most: those with the most learning documents.
 MOST_LANGUAGES = 512
 BLOCK = 1 << 19
 UNKNOWN = "und"
@@ -63,11 +64,12 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
-def grams(data: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(data: np.ndarray, ends: np.ndarray, buckets: int, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of every n-gram of one, two, three and four bytes.
 
     ASCII letters lose their case; all else below 128 is a space. No n-gram
-    crosses rows, and none made of spaces only counts.
+    crosses rows, and none made of spaces only counts. starts: only n-grams that
+    begin among so many first bytes.
     """
     b = LETTERS[data]
     row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
@@ -80,6 +82,8 @@ def grams(data: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarray,
         key = key[:m] * np.uint32(0x01000193) ^ b[n - 1 :]
         h = (key * np.uint32(0x9E3779B1)) >> np.uint32(7)
         ok = (row[:m] == row[n - 1 :]) & ((b[:m] != 32) | (b[n - 1 :] != 32))
+        if starts is not None:
+            ok[starts:] = False
         found.append((h[ok] % np.uint32(buckets)).astype(np.int64))
         rows.append(row[:m][ok])
     if not found:
@@ -87,20 +91,20 @@ def grams(data: np.ndarray, ends: np.ndarray, buckets: int) -> tuple[np.ndarray,
     return np.concatenate(found), np.concatenate(rows)
 
 
-def pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int | None]]:
     """Rows i to j with their bytes and offsets, some BLOCK bytes at a time.
 
-    A longer row comes in several pieces, three bytes shared, so that all its
-    n-grams are seen while memory stays bounded.
+    A longer row comes in several pieces, three bytes shared; the last item tells how
+    many first bytes n-grams of the piece begin in, so that each is seen once.
     """
     for i, j in row_blocks(ends, BLOCK):
         lo, hi = int(ends[i]), int(ends[j])
         if j == i + 1 and hi - lo > BLOCK:
             for at in range(lo, hi, BLOCK):
                 to = min(at + BLOCK + 3, hi)
-                yield i, j, data[at:to], np.array([0, to - at])
+                yield i, j, data[at:to], np.array([0, to - at]), BLOCK
         else:
-            yield i, j, data[lo:hi], ends[i : j + 1] - lo
+            yield i, j, data[lo:hi], ends[i : j + 1] - lo, None
 
 
 def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -108,10 +112,10 @@ def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
     for batch in batches:
         langs = batch.column(0).to_pylist()
         data, ends = utf8(batch.column(1))
-        for i, j, part, cuts in pieces(data, ends):
+        for i, j, part, cuts, starts in pieces(data, ends):
             names = sorted(set(langs[i:j]))
             own = np.searchsorted(names, langs[i:j])
-            gram, row = grams(part, cuts, buckets)
+            gram, row = grams(part, cuts, buckets, starts)
             got = np.bincount(own[row] * buckets + gram, minlength=len(names) * buckets)
             for k, name in enumerate(names):
                 total[name] = total.get(name, 0) + got[k * buckets : (k + 1) * buckets]
@@ -124,20 +128,22 @@ def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
 def train(labelled: DataFrame, lang: str, text: str, buckets: int = BUCKETS) -> dict:
     """The model: names, code and per-bucket weights of every bit.
 
-    Rows with a null language or text teach nothing.
+    Rows with a null language or text teach nothing, nor do those of languages beyond
+    the MOST_LANGUAGES with the most rows. That bounds what comes to the driver.
     """
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
+    per = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1)
+    found = per.collect()
+    names = sorted(r.lang for r in found[:MOST_LANGUAGES])
+    if len(found) > MOST_LANGUAGES:
+        rows = rows.where(F.col("lang").isin(names))
     counts = rows.mapInArrow(lambda it: _counted(it, buckets), "lang string, bucket bigint, n bigint")
-    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    seen = counts.limit(MOST_LANGUAGES * buckets + 1).collect()
-    names = sorted({r.lang for r in seen})
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    seen = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(names), buckets))
-    spot = {name: k for k, name in enumerate(names)}
-    for r in seen:
-        table[spot[r.lang], r.bucket] = r.n
+    if seen.num_rows:
+        spots = pa.compute.index_in(seen["lang"], pa.array(names, pa.string())).to_numpy()
+        table[spots, seen["bucket"].to_numpy()] = seen["n"].to_numpy()
     share = (table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * buckets)
     code = codewords(len(names))
     weights = np.zeros((code.shape[1], buckets))
@@ -170,8 +176,8 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: dict, keep: int) -> Ite
         n = batch.num_rows
         data, ends = utf8(batch.column(keep))
         sums, grams_of = np.zeros((n, weights.shape[1])), np.zeros(n)
-        for i, j, part, cuts in pieces(data, ends):
-            gram, row = grams(part, cuts, buckets)
+        for i, j, part, cuts, starts in pieces(data, ends):
+            gram, row = grams(part, cuts, buckets, starts)
             grams_of[i:j] += np.bincount(row, minlength=j - i)
             for k in range(weights.shape[1]):
                 sums[i:j, k] += np.bincount(row, weights[:, k][gram], j - i)

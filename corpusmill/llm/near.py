@@ -8,8 +8,8 @@ candidate. Several sketches are taken, each under its own hash.
 A candidate is verified by a banded alignment of the two shingle sequences: the
 similarity is the shingles matched in order over all shingles of both. To reach a
 similarity of s, at most (1 - s) / (1 + s) of the shingles may be unmatched, which
-bounds the band. Word sequences that are equal meet first, by digest, and are
-represented by one document from then on.
+bounds the band. Word sequences that are equal meet first, by digest, and are one
+node from then on; texts of one identifier are nodes of their own, joined at the end.
 
 Candidates are stars, not pairs: in a round the members of a bucket meet a few
 members of it, the pivots: those that share most buckets with others, as the text
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import fresh, mixed, packed, row_blocks, text_or_empty, unpacked, utf8, written
+from corpusmill.llm.common import fresh, mixed, packed, row_blocks, spread, text_or_empty, unpacked, utf8, written
 
 SHINGLE = 5
 SKETCHES = 16
@@ -47,6 +47,10 @@ PIVOTS = 3
 BLOCK = 1 << 20
 #: Counters of shingles, by hash; what they hold decides the order of shingles only.
 COUNTERS = 1 << 20
+#: Parts of a node's pairs; its text goes to each once.
+TEXT_PARTS = 64
+#: Rows of a shingle that meet in one task.
+PER_KEY = 1000
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +251,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("rep")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
         at = labels.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
-        near = both.join(at, "b").groupBy(F.col("a").alias("rep")).agg(F.min("lb").alias("near"))
+        near = spread(both, at, ["b"], "a").groupBy(F.col("a").alias("rep")).agg(F.min("lb").alias("near"))
         down = labels.join(near, "rep").select("rep", F.least("label", "near").alias("next"), "label")
         hop = labels.select(F.col("rep").alias("next"), F.col("label").alias("further"))
-        new = written(down.join(hop, "next").select("rep", F.least("next", "further").alias("next"), "label"))
+        new = written(spread(down, hop, ["next"], "rep").select("rep", F.least("next", "further").alias("next"), "label"))
         labels = new.select("rep", F.col("next").alias("label"))
         if new.where(F.col("next") != F.col("label")).isEmpty():
             return labels
@@ -261,12 +265,12 @@ def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     if labels is None:
         return components(links)
     ends = links
-    for x in ("a", "b"):
+    for x, other in (("a", "b"), ("b", "a")):
         own = labels.select(F.col("rep").alias(x), F.col("label").alias("at"))
-        ends = ends.join(own, x, "left").withColumn(x, F.coalesce("at", x)).drop("at")
+        ends = spread(ends, own, [x], other, "left").withColumn(x, F.coalesce("at", x)).drop("at")
     moved = components(ends.where("a <> b"))
     to = moved.select(F.col("rep").alias("label"), F.col("label").alias("to"))
-    old = labels.join(to, "label", "left").select("rep", F.coalesce("to", "label").alias("label"))
+    old = spread(labels, to, ["label"], "rep", "left").select("rep", F.coalesce("to", "label").alias("label"))
     return written(old.unionByName(moved.join(labels.select("rep"), "rep", "left_anti")))
 
 
@@ -274,7 +278,12 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar. texts: rep, packed, one row each."""
     left = texts.select(F.col("rep").alias("a"), F.col("packed").alias("ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("packed").alias("tb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "tb", "ta")
+    # A text goes once to every part of its pairs, not to each pair, before it meets them.
+    part = lambda x: F.pmod(F.xxhash64(x), F.lit(TEXT_PARTS)).cast("int")
+    rows = pairs.select("a", "b", part("b").alias("pa"), part("a").alias("pb"))
+    left = rows.select("a", "pa").distinct().join(left, "a")
+    right = rows.select("b", "pb").distinct().join(right, "b")
+    rows = rows.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("a", "b", "tb", "ta")
     kind = pairs.schema["a"].dataType.simpleString()
     return rows.mapInArrow(lambda it: _verified(it, least), f"a {kind}, b {kind}")
 
@@ -291,7 +300,7 @@ def candidates(
     at = ["j", "sketch"]
     rows = buckets.withColumn("label", F.col("rep"))
     if labels is not None:
-        rows = buckets.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        rows = written(buckets.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     part = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(PIVOTS))
     first = lambda k: F.min(
         F.struct((part != k).alias("o"), (-F.col("weight")).alias("w"), "rep", "size", "label")
@@ -300,7 +309,7 @@ def candidates(
         F.min("label").alias("low"), F.max("label").alias("high"), F.array(*map(first, range(PIVOTS))).alias("ps")
     )
     pivots = pivots.where("low <> high").select(*at, F.transform("ps", lambda p: p.dropFields("o", "w")).alias("ps"))
-    pairs = rows.join(pivots, at).withColumn("p", F.explode(F.array_distinct("ps")))
+    pairs = spread(rows, pivots, at, "rep").withColumn("p", F.explode(F.array_distinct("ps")))
     fit = F.least("size", "p.size") >= least * F.greatest("size", "p.size") - 1e-9
     pairs = pairs.where((F.col("label") != F.col("p.label")) & fit)
     pairs = pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
@@ -354,11 +363,11 @@ def unsettled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """
     rows = buckets.select("j", "sketch", "rep", F.col("rep").alias("label"))
     if labels is not None:
-        rows = rows.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        rows = written(rows.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
     at = ["j", "sketch"]
     open_ = rows.groupBy(at).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
     open_ = open_.where("low <> high AND n > 2").select(*at)
-    return rows.join(open_, at, "left_semi").select("rep", "label").distinct()
+    return spread(rows, open_, at, "rep").select("rep", "label").distinct()
 
 
 def remaining(left: DataFrame, texts: DataFrame, least: float, tested: DataFrame) -> DataFrame:
@@ -378,12 +387,17 @@ def remaining(left: DataFrame, texts: DataFrame, least: float, tested: DataFrame
     rows = written(rows.withColumn("wide", F.col("upto") >= F.col("size")))
     keys = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("wide").alias("wide"))
     keys = keys.groupBy("key").agg(
-        F.max_by("label", "n").alias("most"), F.count("*").alias("labels"), F.max("wide").alias("some")
+        F.max_by("label", "n").alias("most"),
+        F.count("*").alias("labels"),
+        F.max("wide").alias("some"),
+        F.ceil(F.sum("n") / PER_KEY).cast("int").alias("parts"),
     )
-    keys = keys.where("labels > 1 AND some").select("key", "most")
+    keys = keys.where("labels > 1 AND some").select("key", "most", "parts")
     rows = written(rows.join(keys, "key"))
-    x, y = rows.where("label <> most").alias("x"), rows.alias("y")
-    fit = "x.key = y.key AND x.label <> y.label AND x.size <= y.upto AND y.size <= x.upto"
+    # Of a frequent key one side is parted and the other repeated for every part.
+    x = rows.where("label <> most").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).alias("x")
+    y = rows.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).alias("y")
+    fit = "x.key = y.key AND x.part = y.part AND x.label <> y.label AND x.size <= y.upto AND y.size <= x.upto"
     ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
     met = x.where("wide").join(y, F.expr(fit)).select(ends)
     met = met.unionByName(x.where("NOT wide").join(y.where("wide"), F.expr(fit)).select(ends))
@@ -403,7 +417,7 @@ def near_classes(
     class_id is the smallest identifier of the class, raw the SHA-256 of the text.
     Texts are compared by their words; those without words (null, empty, blank)
     are equal to each other and to nothing else. Rows that share an identifier
-    share a class. Documents without an identifier join the class of equal words;
+    share a class, and each of their texts has its own links. Documents without an identifier join the class of equal words;
     where no document with one has these words, they form a class with a null
     class_id. One (identifier, text) of a class is kept: the smallest. An empty
     table gives an empty result; other columns are not looked at.
@@ -414,21 +428,27 @@ def near_classes(
     )
     shape = f"doc_id {kind}, raw binary, words binary, size bigint, sketch array<bigint>"
     own = written(rows.mapInArrow(lambda it: _sketched(it, n, taken), shape))
+    # Equal word sequences are one node, told by their digest; its text is that of one row.
+    named = F.struct("doc_id", "raw")
     groups = own.groupBy("words").agg(
-        F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch")
+        F.count("*").alias("n"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("best"),
+        F.min(F.when(F.col("doc_id").isNotNull(), named)).alias("text_of"),
+        F.any_value("size").alias("size"),
+        F.any_value("sketch").alias("sketch"),
     )
-    groups = written(groups.where("rep IS NOT NULL"))
-    buckets = groups.select("rep", "size", F.posexplode("sketch").alias("j", "sketch"))
+    groups = written(groups.withColumnRenamed("words", "rep"))
+    nodes = groups.where("text_of IS NOT NULL")
+    buckets = nodes.select("rep", "size", F.posexplode("sketch").alias("j", "sketch"))
     shared = buckets.groupBy("j", "sketch").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(buckets.join(shared, ["j", "sketch"]))
     # The text that others were copied from shares buckets with the most of them.
     weights = buckets.groupBy("rep").agg(F.sum("n").alias("weight"))
     buckets = written(buckets.drop("n").join(weights, "rep"))
-    met = buckets.select(F.col("rep").alias("met")).distinct()
-    texts = docs.select(F.col(doc_id).alias("rep"), text_or_empty(text).alias("text"))
-    texts = texts.mapInArrow(packed, f"rep {kind}, packed binary")
-    texts = texts.join(met, texts["rep"] == met["met"], "left_semi").groupBy("rep").agg(F.max("packed").alias("packed"))
-    texts = written(texts)
+    met = nodes.join(buckets.select("rep").distinct(), "rep").select("rep", "text_of.*")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(text_or_empty(text), 256)).alias("raw"), text_or_empty(text))
+    texts = texts.mapInArrow(packed, f"doc_id {kind}, raw binary, packed binary")
+    texts = written(texts.join(met, ["doc_id", "raw"]).groupBy("rep").agg(F.max("packed").alias("packed")))
     labels, tested, turn = None, None, 0
     while True:
         pairs = written(candidates(buckets, turn, least, labels, tested))
@@ -443,20 +463,28 @@ def near_classes(
         new = written(linked(written(remaining(left, texts, least, tested)), texts, least))
         if not new.isEmpty():
             labels = relabelled(labels, new)
-    classes = groups.select("words", "rep")
+    same = written(same_identifier(own))
+    if not same.isEmpty():
+        labels = relabelled(labels, same)
     if labels is None:
-        classes = classes.withColumn("class_id", F.col("rep"))
+        members = groups.withColumn("label", F.col("rep"))
     else:
-        classes = classes.join(labels, "rep", "left").withColumn("class_id", F.coalesce("label", "rep"))
-    members = own.select("doc_id", "raw", "words").join(classes.select("words", "class_id"), "words", "left")
-    name = F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("words "), F.hex("words")))
-    members = written(members.select("doc_id", "raw", "class_id", name.alias("name")))
-    best = members.groupBy("name").agg(
-        F.count("*").alias("class_size"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("best"),
+        members = groups.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    members = written(members.select("rep", "label", "n", "best", F.col("text_of.doc_id").alias("id")))
+    classes = members.groupBy("label").agg(
+        F.min("id").alias("class_id"), F.sum("n").alias("class_size"), F.min("best").alias("class_best")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("raw") == F.col("best.raw"))
-    return members.join(best, "name").select("doc_id", "class_id", "class_size", same.alias("kept"), "raw")
+    members = written(spread(members.select("rep", "label"), classes, ["label"], "rep").withColumnRenamed("rep", "words"))
+    found = spread(own.select("doc_id", "raw", "words"), members, ["words"], "doc_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_best.doc_id")) & (F.col("raw") == F.col("class_best.raw"))
+    return found.select("doc_id", "class_id", "class_size", kept.alias("kept"), "raw")
+
+
+def same_identifier(own: DataFrame) -> DataFrame:
+    """a, b: links between different word sequences of one identifier."""
+    rows = own.where("doc_id IS NOT NULL").select("doc_id", "words").distinct()
+    ends = rows.groupBy("doc_id").agg(F.min("words").alias("a"), F.max("words").alias("z")).where("a <> z").drop("z")
+    return spread(rows, ends, ["doc_id"], "words").where("a <> words").select("a", F.col("words").alias("b"))
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -14,7 +14,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          (('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
-s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size * (1000 + least(size, 1000)))::BIGINT AS tilted FROM d GROUP BY source),
 s1 AS (SELECT *, 3 * source_size AS cap,
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s0),
 s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST
@@ -22,17 +22,20 @@ s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ca
          (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST
          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS open FROM s1),
 lv AS (SELECT rest, open FROM s2 WHERE rest * weight <= cap * open ORDER BY cap::DOUBLE / weight, open DESC LIMIT 1),
-s3 AS (SELECT source, source_size,
+s3 AS (SELECT source, source_size, tilted,
          CASE WHEN weight * lv.rest >= cap * lv.open THEN cap::DOUBLE
               ELSE (weight * lv.rest)::DOUBLE / lv.open::DOUBLE END AS target FROM s2, lv),
 s4 AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size)::BIGINT, 3) ELSE 0 END AS whole FROM s3),
 s5 AS (SELECT *, target - whole * source_size AS left_over FROM s4),
-r AS (SELECT d.*, s5.* EXCLUDE (source), sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id
-         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+p AS (SELECT d.*, s5.* EXCLUDE (source), least(greatest(CASE WHEN tilted > 0
+         THEN left_over * (1000 + least(size, 1000)) / tilted::DOUBLE ELSE 0 END, 1e-9::DOUBLE), (1 - 1e-9)::DOUBLE) AS share
       FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
+q AS (SELECT *, ln(u) - ln(1 - u) - (ln(share) - ln(1 - share)) AS odds FROM p),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM q),
 g AS (SELECT source, left_over - coalesce(max(running) FILTER (running <= left_over), 0) AS gap
       FROM r GROUP BY source, left_over),
-c AS (SELECT r.source, arg_min(doc_id, (abs(gap - size), u, doc_id)) AS closing
+c AS (SELECT r.source, arg_min(doc_id, (abs(gap - size), odds, doc_id)) AS closing
       FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
       WHERE running > left_over AND abs(gap - size) < gap GROUP BY r.source)
 SELECT doc_id, size, source_size, target,

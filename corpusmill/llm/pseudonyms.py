@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import text_or_empty
 
-KEY = b"change-me-per-corpus"
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "ip", "date", "phone", "secret")
 #: Fixed formats of the values looked for; each is checked again after matching.
@@ -275,14 +274,19 @@ def hidden(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return "".join([*out, text[done:]]), counts
 
 
-def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, text, n_found and a count for each kind.
 
+    key: a secret of at least 16 bytes; who has it can undo the pseudonyms.
+
     text is the whole text with pseudonyms; null stays null with counts of 0, and
     a text without such values comes out as it was. Repeated rows are treated
     alike; an empty table gives an empty result; other columns are not looked at.
     """
 
+    if len(key) < 16:
+        raise ValueError("the key must have 16 bytes or more")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, counts = [], []

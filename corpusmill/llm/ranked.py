@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +39,16 @@ TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BREAK = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 TOP = 50
 UNIT = 1_000_000_000
-#: Documents of a block.
-BLOCK = 8192
+#: Documents of a block, 32,767 at most, and blocks of a file, so that no task reads many at once.
+BLOCK, FILE_BLOCKS = 8192, 4
 #: Characters of items searched for at once; more items come in several turns.
 ITEM_CHARS = 8_000_000
 SPAN = 1 << 20
 #: Parts of an item's rows in the first merge.
 SALTS = 32
 INDEX = (
-    "ids array<{id}>, terms array<int>, ends array<int>, at array<int>, impact array<bigint>, "
-    "pair array<int>, pair_ends array<int>, both array<int>, joint array<bigint>, seeds array<bigint>, seed_ends array<int>"
+    "ids array<{id}>, terms array<int>, ends array<int>, at array<smallint>, part array<int>, "
+    "pair array<int>, pair_ends array<int>, both array<smallint>, joint array<bigint>, seeds array<bigint>, seed_ends array<int>"
 )
 
 
@@ -107,7 +108,7 @@ class Block:
     """The posting lists of one block, with dense look-up of single terms."""
 
     def __init__(self, size: int, terms: np.ndarray, ends: np.ndarray, at: np.ndarray, impact: np.ndarray):
-        self.size, self.at, self.impact = size, at, impact
+        self.size, self.at, self.impact = size, at, impact  # places are kept small, impacts whole
         self.spot = {int(t): k for k, t in enumerate(terms)}
         self.ends = ends
         self.most = np.maximum.reduceat(impact, ends[:-1]) if len(terms) else np.zeros(0, np.int64)
@@ -129,8 +130,9 @@ class Block:
         return out
 
 
-def postings(frame: list[pa.RecordBatch], scale: tuple[int, int], weights: np.ndarray) -> tuple[Block, np.ndarray]:
-    """The posting lists, by term and document, of some rows of `vectors`."""
+def postings(frame: list[pa.RecordBatch], scale: tuple[int, int], weights: np.ndarray):
+    """The posting lists, by term and document, of some rows of `vectors`: a block, its
+    terms, and the impacts without the terms' weights."""
     n = np.concatenate([b.column(1).to_numpy() for b in frame])
     lists = [b.column(2) for b in frame]
     held = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists])
@@ -139,14 +141,14 @@ def postings(frame: list[pa.RecordBatch], scale: tuple[int, int], weights: np.nd
     doc = np.repeat(np.arange(len(n)), held)
     n_docs, length = scale
     m = 50 + (50 * n * n_docs) // max(length, 1)
-    impact = weights[term] * ((UNIT * count) // (1000 * count + 20 * m[doc]))
-    real = impact > 0
-    term, doc, impact = term[real], doc[real], impact[real]
+    part = (UNIT * count) // (1000 * count + 20 * m[doc])
+    real = weights[term] * part > 0
+    term, doc, part = term[real], doc[real], part[real]
     order = np.argsort(term, kind="stable")
-    term, doc, impact = term[order], doc[order], impact[order]
+    term, doc, part = term[order], doc[order], part[order]
     names, starts = np.unique(term, return_index=True)
     ends = np.append(starts, len(term)).astype(np.int64)
-    return Block(len(n), names, ends, doc, impact), names
+    return Block(len(n), names, ends, doc, weights[term] * part), names, part
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], plan, kind: pa.DataType, most: int) -> Iterator[pa.RecordBatch]:
@@ -157,7 +159,7 @@ def _indexed(batches: Iterator[pa.RecordBatch], plan, kind: pa.DataType, most: i
         partners.setdefault(a, []).append(b)
 
     def block(frame: list[pa.RecordBatch]) -> pa.RecordBatch:
-        own, names = postings(frame, scale, weights)
+        own, names, part = postings(frame, scale, weights)
         pair, both, joint = [], [], []
         for a in sorted(partners.keys() & own.spot.keys()):
             first = own.dense(a)
@@ -191,8 +193,9 @@ def _indexed(batches: Iterator[pa.RecordBatch], plan, kind: pa.DataType, most: i
 
         cols = [
             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(kind)),
-            one(names, np.int32), one(own.ends, np.int32), one(own.at, np.int32), one(own.impact, np.int64),
-            one(np.array(pair), np.int32), one(ends_of(both), np.int32), one(both, np.int32), one(joint, np.int64),
+            one(names, np.int32), one(own.ends, np.int32), one(own.at, np.int16), one(part, np.int32),
+            one(np.array(pair), np.int32), one(ends_of(both), np.int32), one(both, np.int16),
+            one(np.array([x.max() for x in joint]), np.int64),
             one(seeds, np.int64), one(ends_of(seeds), np.int32),
         ]
         return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in INDEX.split(", ")])
@@ -212,7 +215,7 @@ def _indexed(batches: Iterator[pa.RecordBatch], plan, kind: pa.DataType, most: i
 
 
 def _search(batches: Iterator[pa.RecordBatch], plan, floors, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    _, _, units, pairs, k = plan.value
+    _, weights, units, pairs, k = plan.value
     least = floors.value.copy()
     spot = {p: i for i, p in enumerate(pairs)}
     found: list[list] = [[] for _ in units]
@@ -221,10 +224,10 @@ def _search(batches: Iterator[pa.RecordBatch], plan, floors, kind: pa.DataType)
             part = {name: batch.column(i)[row].values for i, name in enumerate(batch.schema.names)}
             ids = part["ids"]
             num = {name: part[name].to_numpy() for name in batch.schema.names[1:]}
-            own = Block(len(ids), num["terms"], num["ends"], num["at"], num["impact"])
+            impact = np.repeat(weights[num["terms"]], np.diff(num["ends"])) * num["part"]
+            own = Block(len(ids), num["terms"], num["ends"], num["at"], impact)
             met = {int(p): i for i, p in enumerate(num["pair"])}
-            ends = num["pair_ends"]
-            tops = np.maximum.reduceat(num["joint"], ends[:-1]) if len(met) else np.zeros(0, np.int64)
+            ends, tops = num["pair_ends"], num["joint"]
             for q, unit in enumerate(units):
                 bounds = []
                 for a, b in unit:
@@ -339,7 +342,8 @@ def search(
     units, pairs = paired([[vocabulary[t] for t in own] for own in words], weights)
     plan = spark.sparkContext.broadcast(((scale.n, scale["all"]), weights, units, pairs, k))
     arrow = rows.limit(0).select("id").toArrow().schema.field("id").type
-    index = written(rows.mapInArrow(lambda it: _indexed(it, plan, arrow, block), INDEX.format(id=kind.simpleString())))
+    index = rows.mapInArrow(lambda it: _indexed(it, plan, arrow, block), INDEX.format(id=kind.simpleString()))
+    index = written(index, FILE_BLOCKS)
     floors = spark.sparkContext.broadcast(thresholds(index, len(items), k))
     return index.mapInArrow(lambda it: _search(it, plan, floors, arrow), shape)
 

@@ -88,14 +88,16 @@ def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
 
     An identifier labelled more than once has its highest label. Of each label the
     `most` identifiers of lowest hash teach, so the table that is broadcast is bounded.
+    All rows of such an identifier teach; the regression takes equal ones once.
     """
     given = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(doc_id))
     given = given.groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    given = given.withColumn("at", F.xxhash64(F.col("id").cast("string")))
-    some = [given.where(F.col("label") == x).orderBy("at", "id").limit(most) for x in (0, 1)]
+    given = given.withColumn("nth", F.xxhash64(F.col("id").cast("string")))
+    some = [given.where(F.col("label") == x).orderBy("nth", "id").limit(most) for x in (0, 1)]
     own = docs.select(F.col(doc_id).alias("own_id"), text_or_empty(text).alias("own_text"))
-    both = F.broadcast(some[0].unionByName(some[1]))
-    return own.join(both, F.col("own_id") == F.col("id")).select("label", "at", F.col("own_text").alias("text"))
+    both = F.broadcast(some[0].unionByName(some[1]).select("id", "label"))
+    at = F.xxhash64(F.col("id").cast("string"), "own_text").alias("at")
+    return own.join(both, F.col("own_id") == F.col("id")).select("label", at, F.col("own_text").alias("text"))
 
 
 def fit(labels: np.ndarray, weights: np.ndarray, held: list[np.ndarray], ratio: np.ndarray) -> tuple[np.ndarray, float]:
@@ -150,8 +152,12 @@ def train(
     best = best[apart[best] > 0]
     slots = np.full(buckets, -1, np.int32)
     slots[best] = np.arange(len(best))
-    some = [rows.where(F.col("label") == x).orderBy("at").limit(most_fitted) for x in (0, 1)]
-    sample = some[0].unionByName(some[1]).select("label", "at", "text")
+    # The cut is told by hashes alone, so that no task reads all texts of the sample.
+    ats = rows.select("label", "at").distinct()
+    lowest = [ats.where(F.col("label") == x).orderBy("at").limit(most_fitted) for x in (0, 1)]
+    cut = {r.label: r.at for r in lowest[0].unionByName(lowest[1]).groupBy("label").agg(F.max("at").alias("at")).collect()}
+    within = F.when(F.col("label") == 1, F.col("at") <= cut[1]).otherwise(F.col("at") <= cut[0])
+    sample = rows.where(within).dropDuplicates(["label", "at"]).select("label", "at", "text")
     hits = sample.mapInArrow(lambda it: _known(it, slots), "label int, at bigint, held array<int>").toArrow()
     taught = sorted(zip(hits["at"].to_pylist(), hits["label"].to_pylist(), hits["held"].to_pylist()))
     y = np.array([t[1] for t in taught], float)

@@ -102,6 +102,37 @@ def test_near_odd_rows(frame, odd):
     assert near.near_classes(docs.limit(0)).collect() == [] and near.drop_near(docs.limit(0)).collect() == []
 
 
+def test_near_texts_of_one_identifier_keep_their_links(frame):
+    rng = random.Random(2)
+    a, b = prose(1, 100), prose(2, 100)
+    rows = [row(1, a), row(1, b), row(2, edited(a, 2, rng)), row(3, edited(b, 2, rng)), row(4, prose(4)), row(5, a), row(None, b)]
+    got = near.near_classes(frame(rows)).collect()
+    assert [r.class_id for r in sorted(got, key=str) if r.doc_id != 4] == [1] * 6
+    assert {r.doc_id: (r.class_id, r.class_size) for r in got if r.doc_id == 4} == {4: (4, 1)}
+    assert sum(r.kept for r in got if r.class_id == 1) == 1
+    # Without the shared identifier the two stay apart.
+    apart = [row(10, b) if r[1] == b and r[0] == 1 else r for r in rows]
+    got = {(r.doc_id, r.class_id) for r in near.near_classes(frame(apart)).collect()}
+    assert got == {(1, 1), (2, 1), (5, 1), (3, 3), (10, 3), (None, 3), (4, 4)}
+
+
+def test_near_frequent_shingles_meet_in_parts(frame, monkeypatch):
+    """The parts of a shingle's rows change nothing in the classes."""
+    rng = random.Random(12)
+    passage = prose(5000, 100)
+    texts = {k: f"{passage} {prose(6000 + k, 18)}" for k in range(120)}
+    for k in range(120, 160, 2):
+        own = prose(6000 + k, 7)
+        for i in (k, k + 1):
+            texts[i] = f"{passage} {own} {prose(7000 + i, 11)}"
+    order = list(texts)
+    rng.shuffle(order)
+    rows = [row(k, texts[k]) for k in order]
+    monkeypatch.setattr(near, "PER_KEY", 2)
+    got = {r.doc_id: r.class_id for r in near.near_classes(frame(rows)).collect()}
+    assert got == classes(texts)
+
+
 def test_near_hot_group_stays_linear(frame, monkeypatch):
     rng = random.Random(5)
     text = prose(1, 400)

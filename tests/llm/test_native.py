@@ -98,6 +98,59 @@ def test_mix_with_inclusion_weights(spark):
     assert n[True] > n[False]
 
 
+def test_mix_with_null_and_repeated_identifiers(frame):
+    """Rows that share an identifier are taken one by one: targets are met."""
+    rows = [row(None, prose(k, 30 + k % 50), source="nulls") for k in range(600)]
+    rows += [row(7, "one two three " * 15, source="equal")] * 600
+    rows += [row(8, prose(k, 20), source="shared") for k in range(300)]
+    rows += [row(1000 + k, prose(k, 60), source="own") for k in range(500)]
+    docs = frame(rows)
+    got = mixture.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    per = {}
+    for r in got:
+        target, taken = per.get(r.source, (r.target, 0))
+        per[r.source] = (target, taken + r.taken)
+        assert 0 <= r.taken <= 3 * r.size
+    for source, (target, taken) in per.items():
+        assert abs(taken - target) <= 80, source
+    again = mixture.mix_sources(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    out = mixture.mixed_documents(docs)
+    words = out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " +"))).alias("n")).collect()
+    assert {r.source: r.n for r in words} == {s: taken for s, (_, taken) in per.items()}
+
+
+def test_mix_inclusion_by_size_over_many_seeds(spark):
+    """Long and short documents are taken for the fraction as often as their inclusion says."""
+    sizes = [100, 1000]
+    docs = spark.range(1200).select(
+        F.col("id").alias("doc_id"),
+        F.repeat(F.lit("w "), F.when(F.col("id") % 2 == 0, sizes[0]).otherwise(sizes[1])).alias("text"),
+        F.when(F.col("id") < 800, "a").otherwise("b").alias("source"),
+    )
+    seen, runs = {0: 0, 1: 0}, 12
+    for seed in range(runs):
+        got = mixture.mix_sources(docs, weights=(1, 3), seed=f"s{seed}").where("source = 'a'")
+        first = got.first()
+        assert first.target < first.source_size
+        for r in got.groupBy((F.col("doc_id") % 2).alias("kind")).agg(F.sum("copies").alias("n")).collect():
+            seen[r.kind] += r.n
+    share = first.target / first.source_size
+    tilt = [1000 + s for s in sizes]
+    mean = sum(t * s for t, s in zip(tilt, sizes)) / sum(sizes)
+    for kind in (0, 1):
+        assert abs(seen[kind] / (400 * runs) - share * tilt[kind] / mean) <= 0.02
+
+
+def test_mix_many_repeated_identifiers_take_the_spread_join(frame, monkeypatch):
+    rows = [row(k // 3, prose(k // 2, 10 + k % 9), source=f"s{k % 3}") for k in range(200)]
+    docs = frame(rows)
+    want = sorted(map(str, mixture.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixture, "BROADCAST_IDS", 3)
+    assert sorted(map(str, mixture.mix_sources(docs).collect())) == want
+
+
 def test_mix_many_sources_take_the_salted_join(frame, monkeypatch):
     docs = frame([row(k, prose(k, 5 + k % 9), source=f"s{k % 20}") for k in range(200)])
     want = sorted(map(str, mixture.mix_sources(docs).collect()))
