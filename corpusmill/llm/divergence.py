@@ -20,7 +20,6 @@ the sums that are asked for.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -30,93 +29,215 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import text_or_empty, written
+from corpusmill.llm.common import mixed, text_or_empty, written
 
-#: Letters: all but ASCII that is no letter, in UTF-8 bytes.
-TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 BREAK = re.compile(rb"[^A-Za-z\x80-\xff]")
 LEAST = 30
+#: Bytes of the first level's prefixes; later levels have 8, 16, 32, ... bytes.
 FIRST_WIDTH = 4
 #: Bits of the map of standing prefixes: 8 MB, whatever the corpus.
 MAP_BITS = 1 << 26
 #: Entries of a task's table of counts before it is given out.
 ENTRIES = 1 << 20
-#: Languages that a task keeps tables for at once.
-LANGUAGES = 64
-SPAN = 1 << 20
+#: Bytes of text that are taken apart at once.
+BLOCK = 1 << 23
 UNIT = 1_000_000_000
 PRIOR = 5
 TOP = 50
 #: Terms and sources of a tile, about.
 TILE_TERMS, TILE_SOURCES = 1024, 128
-#: What ends a complete term; no term holds it.
-END = b"\0"
+#: Parts of a source's terms that are ranked apart first.
+PARTS = 64
 
 
-def spans(raw: bytes, span: int = SPAN) -> Iterator[list[bytes]]:
-    """The terms of the text in order, A-Z lower-cased; a long text in parts."""
+def _letters() -> np.ndarray:
+    """Letters of ASCII in lower case and all beyond it; a space for anything else."""
+    table = np.full(256, 32, np.uint8)
+    table[128:] = np.arange(128, 256)
+    for lo, hi in ((65, 90), (97, 122)):
+        table[lo : hi + 1] = np.arange(97, 123)
+    return table
+
+
+LETTERS = _letters()
+FOLDED = LETTERS.tobytes()
+
+
+def spans(raw: bytes, span: int) -> Iterator[bytes]:
+    """The text in parts of about `span` bytes that cut no term."""
     at = 0
     while at < len(raw):
         cut = BREAK.search(raw, at + span)
         to = cut.start() if cut else len(raw)
-        yield TERM.findall(raw[at:to].lower())
+        yield raw[at:to]
         at = to
 
 
-class Steps(dict):
-    """The prefix that each term has at a level; None if the one before it doesn't stand.
-
-    Complete terms end with a zero byte. Terms shorter than `before` were complete at
-    an earlier level.
-    """
-
-    def __init__(self, lang: bytes, before: int, width: int, standing: bytes | None, bits: int):
-        self.lang, self.before, self.width, self.standing, self.bits = lang, before, width, standing, bits
-
-    def __missing__(self, term: bytes) -> bytes | None:
-        out = None
-        if len(term) >= self.before:
-            s = crc32(self.lang + END + term[: self.before]) % self.bits
-            if self.standing is None or self.standing[s >> 3] >> (s & 7) & 1:
-                out = term[: self.width] if len(term) >= self.width else term + END
-        if len(self) < ENTRIES:
-            self[term] = out
+def distinct_terms(raw: bytes, span: int = BLOCK) -> bytes:
+    """A long text as its distinct terms, between spaces."""
+    found: set[bytes] = set()
+    for part in spans(raw, span):
+        found.update(part.translate(FOLDED).split())
+    return b" ".join(sorted(found))
+
+
+class Terms:
+    """The terms of some texts as places in one buffer, in order of the texts."""
+
+    def __init__(self, raws: list[bytes]):
+        self.bytes = LETTERS[np.frombuffer(b" ".join([*raws, b""]) + b" " * 8, np.uint8)]
+        letter = self.bytes != 32
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        edges = np.concatenate(([0], edges)) if letter[0] else edges
+        self.start, self.size = edges[0::2], edges[1::2] - edges[0::2]
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        self.text = np.searchsorted(ends, self.start, "right")
+        # Eight bytes from every place of the buffer on, the first one highest.
+        self.words = np.ndarray(max(len(self.bytes) - 7, 0), ">u8", self.bytes, strides=(1,))
+
+    def prefix(self, some: np.ndarray, width: int) -> np.ndarray:
+        """The first `width` bytes of some terms, zeros behind their ends, as rows of words."""
+        out = np.zeros((len(some), max(1, width // 8)), np.uint64)
+        for k in range(out.shape[1]):
+            left = np.clip(np.minimum(self.size[some], width) - 8 * k, 0, 8)
+            at = np.minimum(self.start[some] + 8 * k, len(self.words) - 1)
+            shift = (8 * (8 - left)).astype(np.uint64)
+            word = self.words[at].astype(np.uint64)
+            out[:, k] = np.where(left > 0, word >> np.minimum(shift, np.uint64(63)) << np.minimum(shift, np.uint64(63)), 0)
         return out
 
 
-def _level(batches: Iterator[pa.RecordBatch], before: int, width: int, standing, bits: int) -> Iterator[pa.RecordBatch]:
-    known = standing.value if standing is not None else None
-    seen: dict[bytes, Counter] = {}
-    steps: dict[bytes, Steps] = {}
-    size = 0
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for lang, found in seen.items():
-            found.pop(None, None)
-            cols = [pa.array([lang] * len(found), pa.binary()), pa.array(list(found), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(list(found.values()), pa.int64())], ["lang", "prefix", "n"])
-
+def slots(lang: bytes, words: np.ndarray, bits: int) -> np.ndarray:
+    """Places of prefixes in the map."""
+    h = np.full(len(words), crc32(lang) + 1, np.uint64)
+    for k in range(words.shape[1]):
+        h = mixed(h ^ words[:, k])
+    return (h % np.uint64(bits)).astype(np.int64)
+
+
+def stands(known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def in_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of the rows, and where in it a new row begins."""
+    order = np.argsort(words[:, 0], kind="stable") if words.shape[1] == 1 else np.lexsort(words.T[::-1])
+    found = words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (found[1:] != found[:-1]).any(1)
+    return order, new
+
+
+class Counts:
+    """Counts by key and prefix, added up over the blocks of a task."""
+
+    def __init__(self) -> None:
+        self.parts: dict[tuple, list] = {}
+        self.rows = 0
+
+    def add(self, key: tuple, words: np.ndarray, n: np.ndarray) -> None:
+        """key ends with the width of the prefixes in words."""
+        parts = self.parts.setdefault(key, [])
+        parts.append((words, n))
+        self.rows += len(n)
+        if len(parts) > 8:
+            self.merge(key)
+
+    def merge(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.parts[key]
+        words, n = np.concatenate([w for w, _ in parts]), np.concatenate([x for _, x in parts])
+        if len(parts) > 1 and len(n):
+            order, new = in_order(words)
+            self.rows -= len(n) - int(new.sum())
+            words, n = words[order][new], np.add.reduceat(n[order], np.flatnonzero(new))
+        self.parts[key] = [(words, n)]
+        return words, n
+
+    def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """All counts, which are then forgotten: the key's parts, prefix, n."""
+        for key in list(self.parts):
+            words, n = self.merge(key)
+            if len(n):
+                raw = words.astype(">u8").tobytes()
+                width = 8 * words.shape[1]
+                whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(n), [None, pa.py_buffer(raw)])
+                own = [pa.array([x] * len(n), pa.binary()) for x in key[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, whole.cast(pa.binary()), pa.array(n, pa.int64())], names)
+        self.parts, self.rows = {}, 0
+
+
+def blocks(batch: pa.RecordBatch, key: int, split: bool, most: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Keys (the first `key` columns) and texts, ordered by key, some `most` bytes at a time.
+
+    Longer texts come in parts with `split`, else as their distinct terms.
+    """
+    keys = list(zip(*[batch.column(k).to_pylist() for k in range(key)]))
+    names, raws, size = [], [], 0
+    for i in sorted(range(len(keys)), key=keys.__getitem__):
+        raw = batch.column(key)[i].as_py()
+        parts = [raw] if len(raw) <= most else list(spans(raw, most)) if split else [distinct_terms(raw, most)]
+        for part in parts:
+            if size + len(part) > most and raws:
+                yield names, raws
+                names, raws, size = [], [], 0
+            names.append(keys[i])
+            raws.append(part)
+            size += len(part)
+    if raws:
+        yield names, raws
+
+
+def groups_of(names: list, text: np.ndarray) -> Iterator[tuple[tuple, slice]]:
+    """The terms of each key, which stand together."""
+    starts = [k for k, x in enumerate(names) if k == 0 or x != names[k - 1]]
+    cuts = np.searchsorted(text, [*starts, len(names)])
+    for k, lo, hi in zip(starts, cuts[:-1], cuts[1:]):
+        if hi > lo:
+            yield names[k], slice(int(lo), int(hi))
+
+
+def _level(
+    batches: Iterator[pa.RecordBatch], before: int, width: int, standing, bits: int, most: int
+) -> Iterator[pa.RecordBatch]:
+    known = np.frombuffer(standing.value, np.uint8) if standing is not None else None
+    counts = Counts()
     for batch in batches:
-        for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if lang not in steps:
-                steps[lang], seen[lang] = Steps(lang, before, width, known, bits), Counter()
-            step = steps[lang].__getitem__
-            found: set = set()
-            for terms in spans(raw.as_py()):
-                found.update(map(step, terms))
-            size -= len(seen[lang])
-            seen[lang].update(found)
-            size += len(seen[lang])
-            if size > ENTRIES or len(steps) > LANGUAGES:
-                yield from out()
-                seen, steps, size = {}, {}, 0
-    yield from out()
-
-
-def bitmap(rows: DataFrame, lang: Column, prefix: Column, bits: int = MAP_BITS) -> bytes:
-    """The map of the prefixes of rows; what reaches the driver is bits / 8 bytes at most."""
-    named = F.concat(lang, F.lit(END), prefix)
-    at = rows.select(F.pmod(F.crc32(named), F.lit(bits)).alias("at"))
+        for names, raws in blocks(batch, 1, False, most):
+            terms = Terms(raws)
+            for (lang,), part in groups_of(names, terms.text):
+                some = np.arange(part.start, part.stop)
+                if known is not None:
+                    some = some[terms.size[some] >= before]
+                    some = some[stands(known, slots(lang, terms.prefix(some, before), bits))]
+                words = terms.prefix(some, width)
+                order, new = in_order(words)
+                # The order is stable: equal prefixes of one text stand together.
+                text = terms.text[some[order]]
+                first = new.copy()
+                first[1:] |= text[1:] != text[:-1]
+                if len(order):
+                    counts.add((lang, width), words[order][new], np.add.reduceat(first.astype(np.int64), np.flatnonzero(new)))
+            if counts.rows > ENTRIES:
+                yield from counts.batches(["lang", "prefix", "n"])
+    yield from counts.batches(["lang", "prefix", "n"])
+
+
+def _slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        words = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64)
+        words = words.reshape(len(langs), -1)
+        found = np.zeros(len(langs), np.int64)
+        of = np.array([crc32(x) for x in langs], np.int64)
+        for lang in set(langs):
+            own = of == crc32(lang)
+            found[own] = slots(lang, words[own], bits)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["at"])
+
+
+def bitmap(rows: DataFrame, bits: int = MAP_BITS) -> bytes:
+    """The map of rows (lang, prefix); what reaches the driver is bits / 8 bytes at most."""
+    at = rows.select("lang", "prefix").mapInArrow(lambda it: _slots(it, bits), "at bigint")
     # Words of 32 bits, so that none is negative.
     words = at.groupBy((F.col("at") / 32).cast("long").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("set")
@@ -128,11 +249,13 @@ def bitmap(rows: DataFrame, lang: Column, prefix: Column, bits: int = MAP_BITS)
 
 
 def kept_terms(
-    docs: DataFrame, least: int = LEAST, first: int = FIRST_WIDTH, bits: int = MAP_BITS
+    docs: DataFrame, least: int = LEAST, first: int = FIRST_WIDTH, bits: int = MAP_BITS, block: int = BLOCK
 ) -> DataFrame:
-    """lang, term (both bytes), n_docs: the terms of at least `least` documents of a language.
+    """lang, prefix, width, n_docs: the terms of at least `least` documents of a language.
 
-    docs: lang, source and text without nulls. Every row is a document of its own.
+    A term is the prefix without the zeros behind it, in the level of `width` bytes
+    that it ended in. docs: lang, source and text without nulls. Every row is a
+    document of its own. first: 1 to 8 bytes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("lang").cast("binary"), F.col("text").cast("binary"))
@@ -140,62 +263,61 @@ def kept_terms(
     while True:
         sent = spark.sparkContext.broadcast(standing) if standing is not None else None
         part = rows.mapInArrow(
-            lambda it, b=before, w=width, s=sent: _level(it, b, w, s, bits), "lang binary, prefix binary, n bigint"
+            lambda it, b=before, w=width, s=sent: _level(it, b, w, s, bits, block), "lang binary, prefix binary, n bigint"
         )
         level = part.groupBy("lang", "prefix").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= least)
         level = written(level)
-        ended = F.endswith("prefix", F.lit(END))
-        whole = level.where(ended).select("lang", F.expr("substring(prefix, 1, length(prefix) - 1)").alias("term"), "n_docs")
+        # Complete is what has a zero byte within the level's width.
+        ended = F.expr(f"substring(prefix, {width}, 1) = X'00'")
+        whole = level.where(ended).select("lang", "prefix", F.lit(width).alias("width"), "n_docs")
         kept = whole if kept is None else kept.unionByName(whole)
         open_ = level.where(~ended)
         if sent is not None:
             sent.unpersist()
         if open_.isEmpty():
             return kept
-        standing = bitmap(open_, F.col("lang"), F.col("prefix"), bits)
-        before, width = width, 2 * width
-
+        standing = bitmap(open_, bits)
+        before, width = width, 8 if width < 8 else 2 * width
 
-def _cells(batches: Iterator[pa.RecordBatch], standing, bits: int) -> Iterator[pa.RecordBatch]:
-    known = standing.value
-    seen: dict[tuple[bytes, bytes], Counter] = {}
-    size = 0
-
-    def stands(lang: bytes, term: bytes) -> int:
-        s = crc32(lang + END + term) % bits
-        return known[s >> 3] >> (s & 7) & 1
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for (lang, source), found in seen.items():
-            terms = [t for t in found if stands(lang, t)]
-            n = len(terms)
-            cols = [pa.array([lang] * n, pa.binary()), pa.array([source] * n, pa.binary()), pa.array(terms, pa.binary())]
-            counts = pa.array([found[t] for t in terms], pa.int64())
-            yield pa.RecordBatch.from_arrays([*cols, counts], ["lang", "source", "term", "n"])
 
+def _cells(batches: Iterator[pa.RecordBatch], standing: dict, bits: int, most: int) -> Iterator[pa.RecordBatch]:
+    known = {w: np.frombuffer(sent.value, np.uint8) for w, sent in standing.items()}
+    names_of = ["lang", "source", "prefix", "n"]
+    counts = Counts()
     for batch in batches:
-        langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang, source, raw in zip(langs, sources, batch.column(2)):
-            own = seen.setdefault((lang, source), Counter())
-            size -= len(own)
-            for terms in spans(raw.as_py()):
-                own.update(terms)
-            size += len(own)
-            if size > ENTRIES:
-                yield from out()
-                seen, size = {}, 0
-    yield from out()
-
-
-def occurrences(docs: DataFrame, kept: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+        for names, raws in blocks(batch, 2, True, most):
+            terms = Terms(raws)
+            for (lang, source), part in groups_of(names, terms.text):
+                size = terms.size[part]
+                below = 0
+                for width in sorted(known):
+                    some = np.flatnonzero((size >= below) & (size < width)) + part.start
+                    below = width
+                    words = terms.prefix(some, width)
+                    words = words[stands(known[width], slots(lang, words, bits))]
+                    if len(words):
+                        order, new = in_order(words)
+                        n = np.diff(np.append(np.flatnonzero(new), len(order)))
+                        counts.add((lang, source, width), words[order][new], n)
+            if counts.rows > ENTRIES:
+                yield from counts.batches(names_of)
+    yield from counts.batches(names_of)
+
+
+def occurrences(docs: DataFrame, kept: DataFrame, bits: int = MAP_BITS, block: int = BLOCK) -> DataFrame:
     """lang, source, term, n: how often the documents of a source hold each kept term."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(kept, F.col("lang"), F.col("term"), bits))
+    spark = docs.sparkSession
+    widths = sorted(r.width for r in kept.select("width").distinct().collect())
+    sent = {w: spark.sparkContext.broadcast(bitmap(kept.where(F.col("width") == w), bits)) for w in widths}
     rows = docs.select(*[F.col(c).cast("binary") for c in ("lang", "source", "text")])
     part = rows.mapInArrow(
-        lambda it: _cells(it, sent, bits), "lang binary, source binary, term binary, n bigint"
+        lambda it: _cells(it, sent, bits, block), "lang binary, source binary, prefix binary, n bigint"
     )
-    sums = part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return sums.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    sums = part.groupBy("lang", "source", "prefix").agg(F.sum("n").alias("n"))
+    exact = sums.join(kept.select("lang", "prefix"), ["lang", "prefix"], "left_semi")
+    # No term holds a zero byte; what is left without them is the term.
+    term = F.unhex(F.regexp_replace(F.hex("prefix"), "(00)+$", "")).alias("term")
+    return exact.select("lang", "source", term, "n")
 
 
 def share(n: str, total: str, terms: str) -> Column:
@@ -274,6 +396,7 @@ def divergence(
     top: int = TOP,
     first: int = FIRST_WIDTH,
     bits: int = MAP_BITS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """lang, source, part, item, value, rank: how each source departs within its language.
 
@@ -287,8 +410,8 @@ def divergence(
     Other columns are not looked at; texts are read whole, long ones in parts.
     """
     rows = docs.select(*[text_or_empty(c).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    kept = written(kept_terms(rows, least, first, bits))
-    cells = written(occurrences(rows, kept, bits))
+    kept = written(kept_terms(rows, least, first, bits, block))
+    cells = written(occurrences(rows, kept, bits, block))
     bytes_ = [F.col(c).cast("binary").alias(c) for c in ("lang", "source")]
     groups = rows.select("lang", "source").distinct().select(*bytes_)
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"))
@@ -311,6 +434,10 @@ def divergence(
     term = with_p.join(of_lang, ["lang", "term"]).withColumn("q", share("lang_n", "lang_total", "n_terms"))
     term = term.where("n > 0 AND p > q").select("lang", "source", F.col("term").alias("item"), F.expr("p - q").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    # First among the terms of a part of the source, so that no source is one task.
+    term = term.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS)))
+    within = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
+    term = term.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= top).drop("part", "rank")
     ranked = [
         pair.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair")),
         term.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("part", F.lit("term")),

@@ -113,7 +113,7 @@ def test_terms_of_parts_equal_the_whole():
     text = ("Été x1-yy ZZ\n" * 50 + "a" * 40 + " é").encode()
     for span in (1, 3, 16, 1000, 1 << 20):
         assert ranked.term_counts(text, span) == Counter(x.encode() for x in terms_of(text.decode()))
-        got = [t for part in div.spans(text, span) for t in part]
+        got = [t for part in div.spans(text, span) for t in part.translate(div.FOLDED).split()]
         assert got == [x.encode() for x in terms_of(text.decode(), digits=False)]
 
 
@@ -262,9 +262,29 @@ def test_prefixes_below_the_threshold_are_discarded(frame, monkeypatch):
     own = div.written
     monkeypatch.setattr(div, "written", lambda df: levels.append(own(df)) or levels[-1])
     kept = div.kept_terms(docs.select("lang", "source", "text"), least=30, first=4)
-    assert {bytes(r.term).decode(): r.n_docs for r in kept.collect()} == {f"common{c}long": 30 for c in "xyz"}
-    assert [sorted(bytes(r.prefix) for r in x.collect()) for x in levels] == [
+    assert {bytes(r.prefix).rstrip(b"\0").decode(): r.n_docs for r in kept.collect()} == {f"common{c}long": 30 for c in "xyz"}
+    assert [sorted(bytes(r.prefix).rstrip(b"\0") for r in x.collect()) for x in levels] == [
         [b"comm", b"rare"],
         [b"commonxl", b"commonyl", b"commonzl"],
-        [b"commonxlong\0", b"commonylong\0", b"commonzlong\0"],
+        [b"commonxlong", b"commonylong", b"commonzlong"],
     ]
+
+
+def test_terms_and_prefixes_of_a_block():
+    texts = ["", "Abc dé", "x", "1a2", "", "word " + "q" * 40, "ÄÖ", "tail"]
+    got = div.Terms([t.encode() for t in texts])
+    want = [(k, t.encode()) for k, x in enumerate(texts) for t in terms_of(x, digits=False)]
+    assert [(k, bytes(got.bytes[a : a + n])) for k, a, n in zip(got.text, got.start, got.size)] == want
+    for width in (1, 4, 8, 16, 64):
+        words = got.prefix(np.arange(len(want)), width).astype(">u8")
+        assert [bytes(w.tobytes()).rstrip(b"\0") for w in words] == [t[:width] for _, t in want]
+    assert len(div.Terms([]).start) == len(div.Terms([b"", b" 1"]).start) == 0
+
+
+def test_long_texts_count_once_for_a_prefix(frame):
+    """Texts beyond a block: distinct terms for the levels, parts for the occurrences."""
+    rows = [row(k, f"alpha beta {'gamma ' * 30} w{'xyz'[k % 3]}", source="ab"[k % 2]) for k in range(6)] + [row(9, "alpha", source="a")]
+    got = audited(div.divergence(frame(rows), least=3, block=40))
+    assert got == plain_divergence([(r[2], r[3], r[1]) for r in rows], 3)
+    raw = rows[0][1].encode()
+    assert div.distinct_terms(raw) == b"alpha beta gamma wx" and len(list(div.spans(raw, 40))) > 3
