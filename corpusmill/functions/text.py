@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,42 @@ def unfold(df: DataFrame, keep: list, items: Column, *names: str) -> DataFrame:
     return df.select(*keep, explode(items).alias(*names)).where(F.col(names[-1]).isNotNull())
 
 
+def shielded(*prefixes: str):
+    """Lets an operator use helper columns that begin with the prefixes.
+
+    Columns of the caller that begin alike are given other names while it runs, in
+    the frames and where arguments name them, and get their own names back after.
+    """
+
+    def clashing(df: DataFrame) -> dict[str, str]:
+        taken = {c.lower() for c in df.columns}
+        found = {}
+        for c in df.columns:
+            if c.lower().startswith(prefixes):
+                new = f"own{c}"
+                while new.lower() in taken:
+                    new += "_"
+                taken.add(new.lower())
+                found[c] = new
+        return found
+
+    def wrap(operator):
+        @wraps(operator)
+        def run(df: DataFrame, *args, **how):
+            names = clashing(df)
+            if not names:
+                return operator(df, *args, **how)
+            there = lambda a: (
+                names.get(a, a) if isinstance(a, str) else [names.get(x, x) for x in a] if isinstance(a, list) else a
+            )
+            out = operator(df.withColumnsRenamed(names), *map(there, args), **{k: there(a) for k, a in how.items()})
+            return out.withColumnsRenamed({new: c for c, new in names.items()})
+
+        return run
+
+    return wrap
+
+
 def with_totals(per_group: DataFrame, group: str, keys: list[str], *sums: Column) -> DataFrame:
     """Sums per group and keys, and over all groups: is_total, with a NULL group."""
     every = F.array(
@@ -250,13 +287,25 @@ def replace_matches(
             seg["gaps"], F.transform(seg["hits"], lambda h, i: decide(h, i, seg))
         )
 
-    def replace(t: Column) -> Column:
-        return let(
-            segments(t, pattern),
-            lambda seg: F.when(F.size(seg["hits"]) == 0, t).otherwise(rebuild(seg)),
-        )
+    return let(
+        col, lambda t: F.when(t.rlike(pattern), let(segments(t, pattern), rebuild)).otherwise(t)
+    )
+
+
+def swap_where(col: Column, needs: Iterable[str], pattern: str, put: str) -> Column:
+    """regexp_replace for texts that hold one of the literals that every match needs.
+
+    Looking for a literal costs a tenth of running the pattern.
+    """
+    needs = list(needs)
 
-    return let(col, replace)
+    def some(t: Column) -> Column:
+        hit = t.contains(needs[0])
+        for literal in needs[1:]:
+            hit = hit | t.contains(literal)
+        return hit
+
+    return let(col, lambda t: F.when(some(t), F.regexp_replace(t, pattern, put)).otherwise(t))
 
 
 def fill_marks(col: Column, before: str, after: str, values: Column) -> Column:
@@ -284,38 +333,47 @@ MANY_RULES = 10  # from here on a pass over the words pays
 class Rule:
     """One rewrite with two cheap necessary conditions, both in lower case.
 
-    `phrase` is a literal that every match contains, `word` an ASCII word
-    fragment (a maximal run of a-z, 0-9, _) of it; '' stands for no condition.
+    `phrase` is a literal that every match contains, `words` ASCII word fragments
+    (maximal runs of a-z, 0-9, _) one of which it contains; '' or none stands for no
+    condition.
     """
 
     pattern: str
     replacement: str
     phrase: str = ""
-    word: str = ""
+    words: tuple[str, ...] = ()
 
 
 def fold_case(col: Column) -> Column:
     """Lower case in which every case-insensitive match shows its literals."""
-    return let(
-        col,
-        lambda c: F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(
-            F.lower(F.translate(c, "\u0130\u017f\u212a", "isk"))
-        ),
-    )
+    odd = lambda c: c.contains("\u0130") | c.contains("\u017f") | c.contains("\u212a")
+    plain = lambda c: F.when(odd(c), F.translate(c, "\u0130\u017f\u212a", "isk")).otherwise(c)
+    return let(col, lambda c: F.lower(plain(c)))
 
 
 def phrase_rules(items: Iterable[tuple[str, str, str]]) -> list[Rule]:
     """Rules from (pattern, replacement, phrase) with the longest usable word.
 
     A word that some replacement could bring into the text is not usable, since
-    the words are looked up once, before the first rewrite.
+    the words are looked up once, before the first rewrite. Where the phrase has
+    none, a choice between words in the pattern is taken, the one of longest words.
     """
     items = list(items)
     made = {w for _, put, _ in items for w in re.findall("[a-z0-9_]+", put.lower())}
+
+    def longest(text: str) -> str:
+        return max((w for w in re.findall("[a-z0-9_]+", text.lower()) if w not in made), key=len, default="")
+
+    def choice(pattern: str) -> tuple[str, ...]:
+        """Only groups that stand between blanks or line starts, so of whole words."""
+        groups = re.findall(r"(?:^| |\?\)?)\(\?:([\w |]+)\)(?= )", pattern)
+        options = [tuple(longest(x) for x in g.split("|")) for g in groups if not g.endswith(" ")]
+        return max((o for o in options if all(o)), key=lambda o: min(map(len, o)), default=())
+
     rules = []
     for pattern, put, phrase in items:
-        usable = [w for w in re.findall("[a-z0-9_]+", phrase) if w not in made]
-        rules.append(Rule(pattern, put, phrase, max(usable, key=len, default="")))
+        word = longest(phrase)
+        rules.append(Rule(pattern, put, phrase, (word,) if word else choice(pattern)))
     return rules
 
 
@@ -329,12 +387,12 @@ def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
     rules = list(rules)
     table = constant(
         [
-            {"phrase": r.phrase, "word": r.word, "pattern": r.pattern, "put": replacement(r.replacement)}
+            {"phrase": r.phrase, "words": list(r.words), "pattern": r.pattern, "put": replacement(r.replacement)}
             for r in rules
         ],
-        "array<struct<phrase:string,word:string,pattern:string,put:string>>",
+        "array<struct<phrase:string,words:array<string>,pattern:string,put:string>>",
     )
-    keywords = constant(sorted({r.word for r in rules} - {""}), "array<string>")
+    keywords = constant(sorted({w for r in rules for w in r.words}), "array<string>")
 
     def state(text: Column, n: Column, found: Column) -> Column:
         return let(
@@ -364,15 +422,15 @@ def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
         ).otherwise(acc)
 
     def selected(start: Column) -> Column:
-        if not any(r.word for r in rules) or len(rules) < MANY_RULES:
+        if not any(r.words for r in rules) or len(rules) < MANY_RULES:
             return table
+        always = constant([k for k, r in enumerate(rules) if not r.words], "array<int>")
         present = F.array_intersect(F.split(start["low"], r"\W+"), keywords)
-        return let(
-            present,
-            lambda have: F.filter(
-                table, lambda r: (r["word"] == "") | F.array_contains(have, r["word"])
-            ),
+        wanted = lambda have: F.filter(
+            table, lambda r: (F.size(r["words"]) == 0) | F.arrays_overlap(have, r["words"])
         )
+        fixed = F.transform(always, lambda k: F.get(table, k))
+        return let(present, lambda have: F.when(F.size(have) == 0, fixed).otherwise(wanted(have)))
 
     return let(
         state(col, F.lit(0), F.array().cast("array<string>")),
@@ -411,14 +469,24 @@ def swap_words(col: Column, table: dict[str, str]) -> Column:
     return let(col, count)
 
 
-def without_words(items: Column, stop: list[str], punctuation: str, min_length: int = 1) -> Column:
-    """Words whose lower form without punctuation is no stop word.
+def without_words(
+    items: Column, line: Column, stop: list[str], punctuation: str, min_length: int = 1
+) -> Column:
+    """Of the words (items) of a line those whose lower form without punctuation is no stop word.
 
-    Words shorter than `min_length` always stay.
+    Words shorter than `min_length` always stay. Where punctuation only ends words,
+    as in most lines, it is cut off the end, which is quicker than looking at all signs.
     """
-    bare = f"lower(translate(w, {sql_text(punctuation)}, ''))"
-    rule = f"w -> {bare} NOT IN ({sql_list(stop)}) OR length(w) < {min_length}"
-    return F.call_function("filter", items, F.expr(rule))
+
+    def kept(bare: str) -> Column:
+        rule = f"w -> lower({bare}) NOT IN ({sql_list(stop)}) OR length(w) < {min_length}"
+        return F.call_function("filter", items, F.expr(rule))
+
+    marks = regex_literal(punctuation)
+    inside = line.rlike(rf"[{marks}][^\s{marks}]")
+    signs = sql_text(punctuation)
+    anywhere, at_end = f"translate(w, {signs}, '')", f"trim(TRAILING {signs} FROM w)"
+    return F.when(inside, kept(anywhere)).otherwise(kept(at_end))
 
 
 def fold_lines(
@@ -457,3 +525,31 @@ def fold_lines(
         F.struct(F.array().cast("array<string>").alias("kept"), zero.alias("carry")),
         in_block,
     )
+
+
+def fold_blocks(
+    items: Column, zero: Column, step: Callable[[Column, Column], Column], none: Column, block: int = 256
+) -> Column:
+    """Ordered fold with outputs; `step` returns struct(out, carry), out an array.
+
+    All outputs in order; `none` is an empty array of their type. Like `fold_lines`
+    it appends to the whole once per block.
+    """
+
+    def in_block(acc: Column, part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(none.alias("out"), acc["carry"].alias("carry")),
+            lambda a, item: let(
+                step(a["carry"], item),
+                lambda r: F.struct(F.concat(a["out"], r["out"]).alias("out"), r["carry"].alias("carry")),
+            ),
+            lambda a: F.struct(F.concat(acc["out"], a["out"]).alias("out"), a["carry"].alias("carry")),
+        )
+
+    def blocks(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(block))
+        return F.transform(starts, lambda s: F.slice(xs, s, F.lit(block)))
+
+    start = F.struct(none.alias("out"), zero.alias("carry"))
+    return F.aggregate(let(items, blocks), start, in_block)["out"]

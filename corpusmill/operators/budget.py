@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import (
-    is_blank, let, percent, split_lines, strip, text_of, unlines, word_count,
+    is_blank, let, percent, shielded, split_lines, strip, text_of, unlines, word_count,
 )
 from corpusmill.operators.detect import route_type
 from corpusmill.operators.redact import redact
@@ -16,7 +16,8 @@ from corpusmill.session import prepare_checkpoints
 from corpusmill.operators.tokens import TOKENS_PER_WORD, count_tokens, cut_to_budget
 
 MIN_SHARE = 200
-DEFAULT_FILES = 20
+#: A common bound for the files of one block.
+FIRST_FILES = 20
 
 
 def recent_lines(text: Column, budget: int) -> Column:
@@ -66,6 +67,7 @@ def structure_lines(text: Column) -> Column:
     )
 
 
+@shielded("_")
 def budget_load(
     df: DataFrame,
     budget: int = 4000,
@@ -132,6 +134,7 @@ def whole_share(budget: int, part: Column, total: Column) -> Column:
     return ((big - F.pmod(big, total)) / total).cast("bigint")
 
 
+@shielded("_")
 def allocate_budget(
     df: DataFrame,
     budget: int,
@@ -183,23 +186,25 @@ def allocate_budget(
     )
 
 
+@shielded("_")
 def pack_block(
     df: DataFrame,
     group: str,
     order: str,
     name: str = "name",
     text: str = "text",
-    max_files: int = DEFAULT_FILES,
+    max_files: int | None = None,
 ) -> DataFrame:
     """One block per group: '--- name ---' and text of its first files, in order.
 
-    The file limit is the feature: it is what bounds a block; files_skipped says
-    how many files with text it leaves out. The limit is applied per task before
-    the shuffle, on narrow rows. NULL is a group of its own.
+    All files of a group by default, so its block is as large as the group; max_files
+    bounds it, and files_skipped says how many files with text it leaves out. The limit
+    is applied per task before the shuffle, on narrow rows. NULL is a group of its own.
     """
     listed = df.where(~is_blank(text_of(text))).select(F.col(group).alias("_g"), F.col(order).alias("_o"))
     first = Window.partitionBy("_g").orderBy("_o")
-    chosen = listed.withColumn("_ord", F.row_number().over(first)).where(F.col("_ord") <= max_files)
+    chosen = listed.withColumn("_ord", F.row_number().over(first))
+    chosen = chosen if max_files is None else chosen.where(F.col("_ord") <= max_files)
     all_files = listed.groupBy("_g").agg(F.count("*").alias("_all"))
     part = F.concat(F.lit("--- "), F.col(name), F.lit(" ---\n"), text_of(text))
     return (
@@ -220,6 +225,7 @@ def pack_block(
     )
 
 
+@shielded("_")
 def pack_details(
     df: DataFrame,
     question: str,

@@ -19,8 +19,8 @@ from corpusmill.functions.text import (
     ANY_CASE, MULTI, MULTI_ANY_CASE, constant, count_matches, fill_marks, fold_case, fold_lines,
     fold_rules,
     is_blank, join_segments, let, line_segments, lines, percent, phase, phrase_rules, regex_literal,
-    replace_matches, rstrip, segments,
-    split_lines, strip, swap_words, text_of, unfold, unlines, with_totals,
+    replace_matches, rstrip, segments, shielded,
+    split_lines, strip, swap_where, swap_words, text_of, unfold, unlines, with_totals,
     without_words, words,
 )
 from corpusmill.operators.detect import detect_type, is_real_code_block
@@ -155,14 +155,17 @@ def restore_blocks(text: Column, blocks: Column) -> Column:
 
 
 def normalize_prose(text: Column) -> Column:
-    t = text
-    for fancy, plain in L.SMART_PUNCTUATION:
-        t = F.replace(t, F.lit(fancy), F.lit(plain))
-    t = F.regexp_replace(t, MULTI + f"^[ \\t]*[{L.FANCY_BULLETS}]", "- ")
+    def fancy(t: Column) -> Column:
+        for sign, plain in L.SMART_PUNCTUATION:
+            t = F.replace(t, F.lit(sign), F.lit(plain))
+        return F.regexp_replace(t, MULTI + f"^[ \\t]*[{L.FANCY_BULLETS}]", "- ")
+
+    # Signs beyond ASCII are looked for only in texts that hold any.
+    t = let(text, lambda c: F.when(F.octet_length(c) == F.length(c), c).otherwise(fancy(c)))
     t = F.replace(t, F.lit("\t"), F.lit("  "))
-    t = F.regexp_replace(t, MULTI + r"[ \t]+$", "")
-    t = F.regexp_replace(t, r"(?<=[^\n])[ \t]{2,}", " ")
-    return F.regexp_replace(t, r"([!?.])\1{2,}", "$1")
+    t = let(t, lambda c: F.when(c.contains(" \n") | c.endswith(" "), F.regexp_replace(c, MULTI + r"[ \t]+$", "")).otherwise(c))
+    t = swap_where(t, ["  "], r"(?<=[^\n])[ \t]{2,}", " ")
+    return swap_where(t, ["!!!", "???", "..."], r"([!?.])\1{2,}", "$1")
 
 
 def normalize_code(text: Column) -> Column:
@@ -210,7 +213,7 @@ def drop_stop_words(text: Column) -> Column:
     """Prose lines without stop words; markup and critical lines stay."""
 
     def shorten(line: Column, watch: Column) -> Column:
-        kept = without_words(words(line), L.STOP_WORDS, PUNCTUATION)
+        kept = let(words(line), lambda ws: without_words(ws, line, L.STOP_WORDS, PUNCTUATION))
         return let(
             strip(line),
             lambda s: F.when(
@@ -322,7 +325,7 @@ def telegraphic(text: Column) -> Column:
     """struct(text, n): compact wording, fewer words on long lines."""
 
     def shorten(line: Column, watch: Column) -> Column:
-        plain = lambda ws: without_words(ws, L.EXTRA_STOP_WORDS, PUNCTUATION, min_length=2)
+        plain = lambda ws: without_words(ws, line, L.EXTRA_STOP_WORDS, PUNCTUATION, min_length=2)
         cut = let(
             words(line),
             lambda ws: F.when(
@@ -341,7 +344,9 @@ def telegraphic(text: Column) -> Column:
             may_be_critical(r["text"]),
             lambda watch: unlines(F.transform(lines(r["text"]), lambda l: shorten(l, watch))),
         )
-        t = F.regexp_replace(F.regexp_replace(t, " {2,}", " "), MULTI + "^ +| +$", "")
+        t = swap_where(t, ["  "], " {2,}", " ")
+        edge = lambda c: c.startswith(" ") | c.contains("\n ") | c.contains(" \n") | c.endswith(" ")
+        t = let(t, lambda c: F.when(edge(c), F.regexp_replace(c, MULTI + "^ +| +$", "")).otherwise(c))
         return F.struct(t.alias("text"), r["n"].alias("n"))
 
     return let(fold_rules(text, VERBOSE_RULES), finish)
@@ -428,27 +433,31 @@ def structural(text: Column) -> Column:
 
     def rules_off(t: Column) -> Column:
         return let(
-            F.struct(F.regexp_replace(t, RULE_OFF, "").alias("t"), count_matches(t, RULE_OFF).alias("rules")),
+            F.struct(
+                swap_where(t, ["-", "*", "_"], RULE_OFF, "").alias("t"),
+                F.when(t.contains("-") | t.contains("*") | t.contains("_"), count_matches(t, RULE_OFF))
+                .otherwise(F.lit(0))
+                .alias("rules"),
+            ),
             lambda s: inline(s),
         )
 
     def inline(s: Column) -> Column:
-        t = F.regexp_replace(s["t"], INLINE, "$1")
-        t = F.regexp_replace(t, r"\[([^\]]+)\]\([^\)]+\)", "$1")
-        t = F.regexp_replace(t, r"(?d)\*\*(.+?)\*\*", "$1")
-        t = F.regexp_replace(t, r"(?<!\*)\*([^*]+?)\*(?!\*)", "$1")
-        return let(
-            F.struct(t.alias("t"), s["rules"].alias("rules"), count_matches(s["t"], INLINE).alias("refs")),
-            headers,
-        )
+        t = swap_where(s["t"], ["`"], INLINE, "$1")
+        t = swap_where(t, ["]("], r"\[([^\]]+)\]\([^\)]+\)", "$1")
+        t = swap_where(t, ["**"], r"(?d)\*\*(.+?)\*\*", "$1")
+        t = swap_where(t, ["*"], r"(?<!\*)\*([^*]+?)\*(?!\*)", "$1")
+        refs = F.when(s["t"].contains("`"), count_matches(s["t"], INLINE)).otherwise(F.lit(0))
+        return let(F.struct(t.alias("t"), s["rules"].alias("rules"), refs.alias("refs")), headers)
 
     def headers(s: Column) -> Column:
-        t = F.regexp_replace(s["t"], HEADER, "$1:")
-        t = F.regexp_replace(t, MULTI + r"^[ \t]*[-*+][ \t]+", "")
+        t = swap_where(s["t"], ["#"], HEADER, "$1:")
+        t = swap_where(t, ["-", "*", "+"], MULTI + r"^[ \t]*[-*+][ \t]+", "")
+        titles = F.when(s["t"].contains("#"), count_matches(s["t"], HEADER)).otherwise(F.lit(0))
         done = lambda tables: strings(
             counted("hr_removal", s["rules"]),
             counted("inline_code_strip", s["refs"]),
-            counted("header_compact", count_matches(s["t"], HEADER)),
+            counted("header_compact", titles),
             F.lit("list_compact"),
             counted("table_compact", tables),
         )
@@ -523,9 +532,9 @@ def dedup_lines(text: Column) -> Column:
 def finalize(text: Column, is_code: Column) -> Column:
     def tidy(t: Column) -> Column:
         spaced = F.when(is_code, F.regexp_replace(t, r"(?U)(?<=\S) {2,}", " ")).otherwise(
-            F.regexp_replace(t, r"[ \t]{2,}", " ")
+            swap_where(t, ["  ", "\t"], r"[ \t]{2,}", " ")
         )
-        return strip(F.regexp_replace(spaced, r"\n[ \t]*\n+", "\n"))
+        return strip(swap_where(spaced, ["\n\n", "\n ", "\n\t"], r"\n[ \t]*\n+", "\n"))
 
     return let(text, tidy)
 
@@ -599,6 +608,7 @@ def _phases(application: str) -> tuple[dict[str, Column], Column]:
     return columns, result
 
 
+@shielded("_mf_")
 def minify(
     df: DataFrame,
     text: str = "text",

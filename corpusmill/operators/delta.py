@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from corpusmill.functions.text import percent, split_lines, text_of, unfold
+from corpusmill.functions.text import let, percent, split_lines, text_of, unfold
 from corpusmill.operators.tokens import count_tokens
+from corpusmill.session import prepare_checkpoints, written
 
 MAX_VERSIONS = 100
+CONTEXT = 3
+#: Where a line ends, its end being part of it.
+LINE_END = r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
+OLD, NEW = 0, 1
 
 
 def version_id(text: Column) -> Column:
@@ -69,13 +70,16 @@ def snapshot_ids(old: DataFrame, new: DataFrame, key: str, text: str = "text") -
     return both.groupBy(key).agg(*[F.max(c).alias(c) for c in ("old_id", "new_id", "full_tokens")])
 
 
-def changed_pairs(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:
+def changed_pairs(
+    old: DataFrame, new: DataFrame, key: str, text: str = "text", ids: DataFrame | None = None
+) -> DataFrame:
     """snapshot_pairs of the documents that both snapshots hold with other texts.
 
-    They are told by their ids first; only their texts are paired.
+    They are told by their ids first, which are written once; only the texts of
+    those are paired. ids: the snapshot_ids, where they are there already.
     """
-    ids = snapshot_ids(old, new, key, text).where(F.col("old_id") != F.col("new_id"))
-    changed = ids.select(F.col(key).alias("_changed"))
+    ids = written(snapshot_ids(old, new, key, text)) if ids is None else ids
+    changed = ids.where(F.col("old_id") != F.col("new_id")).select(F.col(key).alias("_changed"))
     of = lambda df: df.join(changed, F.col(key).eqNullSafe(F.col("_changed")), "left_semi")
     return snapshot_pairs(of(old), of(new), key, text)
 
@@ -123,12 +127,13 @@ def delta_mode(old: DataFrame, new: DataFrame, key: str, text: str = "text") ->
 
     The delta is worth it only if it costs fewer tokens than the full text.
     """
-    ids = snapshot_ids(old, new, key, text).where(F.col("new_id").isNotNull())
-    delta = line_delta(changed_pairs(old, new, key, text), key).withColumnRenamed(key, "_key")
+    ids = written(snapshot_ids(old, new, key, text))
+    delta = line_delta(changed_pairs(old, new, key, text, ids), key).withColumnRenamed(key, "_key")
     f = F.col
     zero = F.lit(0).cast("bigint")
     d = (
-        ids.join(delta, f(key).eqNullSafe(f("_key")), "left")
+        ids.where(f("new_id").isNotNull())
+        .join(delta, f(key).eqNullSafe(f("_key")), "left")
         .drop("_key")
         .withColumn("added", F.coalesce("lines_added", zero))
         .withColumn("removed", F.coalesce("lines_removed", zero))
@@ -161,23 +166,192 @@ def delta_mode(old: DataFrame, new: DataFrame, key: str, text: str = "text") ->
     )
 
 
-@F.pandas_udf(StringType())
-def unified_delta(old: pd.Series, new: pd.Series) -> pd.Series:
-    """The change as unified diff text with three lines of context, per document."""
-    def one(a, b):
-        if a is None or b is None:
-            return None
-        return "".join(difflib.unified_diff(a.splitlines(True), b.splitlines(True), n=3))
+def full_lines(text: Column) -> Column:
+    """The lines of a text with their ends."""
+    return F.filter(F.split(text_of(text), LINE_END, -1), lambda l: l != "")
+
+
+def heaviest_chain(blocks: Column) -> Column:
+    """Of blocks (i, j, n) in order of i, those of the heaviest chain that rises in j."""
+    state = "array<struct<i:int,j:int,n:int,best:int,prev:int>>"
+
+    def step(acc: Column, b: Column) -> Column:
+        below = F.filter(
+            F.transform(acc, lambda a, k: F.struct(a["best"].alias("best"), (-k).alias("k"), a["j"].alias("j"))),
+            lambda a: a["j"] < b["j"],
+        )
+
+        def entry(top: Column) -> Column:
+            best = (F.coalesce(top["best"], F.lit(0)) + b["n"]).alias("best")
+            prev = F.coalesce(-top["k"], F.lit(-1)).alias("prev")
+            own = F.struct(b["i"].alias("i"), b["j"].alias("j"), b["n"].alias("n"), best, prev)
+            return F.concat(acc, F.array(own))
+
+        return let(F.array_max(below), entry)
+
+    def back(table: Column) -> Column:
+        best = F.array_max(F.transform(table, lambda a, k: F.struct(a["best"].alias("best"), (-k).alias("k"))))
+        start = F.struct((-best["k"]).alias("at"), F.array().cast("array<int>").alias("kept"))
+
+        def follow(acc: Column, k: Column) -> Column:
+            on = F.struct(F.get(table, k)["prev"].alias("at"), F.concat(acc["kept"], F.array(k)).alias("kept"))
+            return F.when(acc["at"] == k, on).otherwise(acc)
+
+        down = F.sequence(F.size(table) - 1, F.lit(0), F.lit(-1))
+        kept = F.aggregate(down, start, follow, lambda acc: acc["kept"])
+        return F.transform(kept, lambda k: F.get(blocks, k))
+
+    return let(F.aggregate(blocks, F.array().cast(state), step), back)
+
+
+def _chosen(cand: DataFrame, key: str) -> DataFrame:
+    """key, i, j of the candidates (key, gap, i, j) that keep the order of lines.
+
+    Neighbours in both texts are one block. A block that crosses no other is kept;
+    only the others, between two such, are weighed against each other.
+    """
+    at = Window.partitionBy(key, "gap").orderBy("i")
+    runs_on = (F.col("i") == F.lag("i").over(at) + 1) & (F.col("j") == F.lag("j").over(at) + 1)
+    starts = (~F.coalesce(runs_on, F.lit(False))).cast("int")
+    runs = cand.withColumn("run", F.sum(starts).over(at))
+    blocks = runs.groupBy(key, "gap", "run").agg(
+        F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").cast("int").alias("n")
+    )
+    before = F.max("j").over(at.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("j").over(at.rowsBetween(1, Window.unboundedFollowing))
+    free = F.coalesce(before < F.col("j"), F.lit(True)) & F.coalesce(after > F.col("j"), F.lit(True))
+    blocks = blocks.withColumn("free", free)
+    blocks = blocks.withColumn("part", F.sum(F.col("free").cast("int")).over(at))
+    one = F.struct("i", "j", "n")
+    crossing = blocks.where(~F.col("free")).groupBy(key, "gap", "part").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    kept = (
+        blocks.where("free")
+        .select(key, one.alias("b"))
+        .unionByName(crossing.select(key, F.explode(heaviest_chain(F.col("all"))).alias("b")))
+    )
+    step = F.explode(F.expr("sequence(0, b.n - 1)")).alias("k")
+    return kept.select(key, "b", step).select(key, F.expr("b.i + k").alias("i"), F.expr("b.j + k").alias("j"))
+
+
+def matched_lines(pairs: DataFrame, key: str) -> DataFrame:
+    """Every line of both texts: key, side, pos, line, mate, gap.
 
-    return pd.Series([one(a, b) for a, b in zip(old, new)])
+    A patience diff. Lines that both texts hold exactly once are matched first, as far
+    as they keep their order; then, pass by pass, lines within the gaps between matches,
+    the k-th occurrence with the k-th, until no gap has a line in common. mate is the
+    place in the other text, gap the number of matches up to the line. A pass shuffles
+    lines by document; the rows of a pass outlive it in the checkpoint folder.
+    """
+    prepare_checkpoints(pairs.sparkSession)
+    side = lambda text, which: unfold(
+        pairs.select(key, text), [key, F.lit(which).alias("side")], full_lines(F.col(text)), "pos", "line"
+    )
+    none = F.lit(None).cast("int")
+    state = side("old_text", OLD).unionByName(side("new_text", NEW))
+    state = state.withColumns({"mate": none, "gap": F.lit(0).cast("bigint")}).checkpoint()
+    nth = F.row_number().over(Window.partitionBy(key, "gap", "side", "line").orderBy("pos"))
+    place = lambda which: F.max(F.when(F.col("side") == which, F.col("pos")))
+    times = lambda which: F.count_if(F.col("side") == which)
+    order = Window.partitionBy(key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = True
+    while True:
+        open_ = state.where("mate IS NULL").withColumn("label", F.lit(0) if first else nth)
+        cand = open_.groupBy(key, "gap", "line", "label").agg(
+            place(OLD).alias("i"), place(NEW).alias("j"), times(OLD).alias("olds"), times(NEW).alias("news")
+        )
+        cand = cand.where("olds = 1 AND news = 1").select(key, "gap", "i", "j")
+        found = _chosen(cand, key).checkpoint()
+        if found.isEmpty() and not first:
+            return state
+        ends = [(OLD, "i", "j"), (NEW, "j", "i")]
+        marks = [
+            found.select(
+                F.col(key).alias("at_key"), F.lit(x).alias("at_side"), F.col(own).alias("at_pos"), F.col(other).alias("at_mate")
+            )
+            for x, own, other in ends
+        ]
+        same = F.col(key).eqNullSafe(F.col("at_key")) & F.expr("side = at_side AND pos = at_pos")
+        state = state.join(marks[0].unionByName(marks[1]), same, "left").select(
+            key, "side", "pos", "line", F.coalesce("mate", "at_mate").alias("mate")
+        )
+        state = state.withColumn("gap", F.sum(F.col("mate").isNotNull().cast("bigint")).over(order)).checkpoint()
+        first = False
+
+
+def ordered_delta(pairs: DataFrame, key: str) -> DataFrame:
+    """The lines of every changed document in order: key, seq, op, old_pos, new_pos, moved, line.
+
+    op is ' ', '-' or '+', positions count from 1. A line that goes in one place and
+    comes in another of the same document is moved: so are as many removals of a line
+    as there are additions of it. Only documents in both snapshots are compared; a
+    text that lost or gained all its lines is all removals or additions.
+    """
+    changed = pairs.where(F.expr("old_id IS NOT NULL AND new_id IS NOT NULL AND old_id <> new_id"))
+    state = matched_lines(changed.select(key, "old_text", "new_text"), key)
+    lone = F.col("mate").isNull()
+    per_line = Window.partitionBy(key, "line")
+    nth = F.row_number().over(Window.partitionBy(key, "line", "side").orderBy("pos"))
+    both = F.least(*[F.sum((F.col("side") == x).cast("int")).over(per_line) for x in (OLD, NEW)])
+    alone = state.where(lone).withColumn("moved", nth <= both)
+    kept = state.where(~lone & (F.col("side") == NEW)).withColumn("moved", F.lit(False))
+    op = F.when(~lone, F.lit(" ")).when(F.col("side") == OLD, F.lit("-")).otherwise(F.lit("+"))
+    rows = kept.unionByName(alone).withColumn("op", op)
+    turn = F.when(F.col("op") == " ", 0).when(F.col("op") == "-", 1).otherwise(2)
+    seq = F.row_number().over(Window.partitionBy(key).orderBy("gap", turn, "pos"))
+    old = F.when(F.col("op") == " ", F.col("mate")).when(F.col("op") == "-", F.col("pos"))
+    new = F.when(F.col("op") != "-", F.col("pos"))
+    return rows.select(
+        key, seq.alias("seq"), "op", (old + 1).alias("old_pos"), (new + 1).alias("new_pos"), "moved", "line"
+    )
 
 
-def delta_text(pairs: DataFrame, key: str) -> DataFrame:
-    """Unified diff of every changed document; sends only those to Python."""
-    both = F.col("old_id").isNotNull() & F.col("new_id").isNotNull()
-    return pairs.where(both & (F.col("old_id") != F.col("new_id"))).select(
-        key, unified_delta("old_text", "new_text").alias("changes")
+def delta_hunks(delta: DataFrame, key: str, context: int = CONTEXT) -> DataFrame:
+    """Changes of an ordered delta with their context: key, hunk, the four numbers, moved, text.
+
+    Changes at most 2 x context lines apart are one hunk. The text is that of a
+    unified diff. moved counts the lines that only changed their place.
+    """
+    at = Window.partitionBy(key).orderBy("seq")
+    upto, since = at.rowsBetween(Window.unboundedPreceding, 0), at.rowsBetween(0, Window.unboundedFollowing)
+    change = F.when(F.col("op") != " ", F.col("seq"))
+    near = delta.withColumns(
+        {
+            "last": F.max(change).over(upto),
+            "next": F.min(change).over(since),
+            "olds": F.sum((F.col("op") != "+").cast("int")).over(upto),
+            "news": F.sum((F.col("op") != "-").cast("int")).over(upto),
+        }
     )
+    near = near.where((F.col("seq") - F.col("last") <= context) | (F.col("next") - F.col("seq") <= context))
+    apart = F.coalesce(F.col("seq") - F.lag("seq").over(at) > 1, F.lit(True)).cast("int")
+    near = near.withColumn("apart", apart).withColumn("hunk", F.sum("apart").over(upto).cast("int"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "op", "line"))), lambda x: F.concat(x["op"], x["line"])), "")
+    count = lambda other: F.count_if(F.col("op") != other)
+    hunks = near.groupBy(key, "hunk").agg(
+        # Lines before the hunk: those up to its first line, less that one.
+        F.min(F.col("olds") - (F.col("op") != "+").cast("int")).alias("old_before"),
+        F.min(F.col("news") - (F.col("op") != "-").cast("int")).alias("new_before"),
+        count("+").cast("int").alias("old_lines"),
+        count("-").cast("int").alias("new_lines"),
+        F.count_if("moved").alias("moved"),
+        text.alias("body"),
+    )
+
+    def span(before: str, lines: str) -> Column:
+        start = F.when(F.col(lines) > 0, F.col(before) + 1).otherwise(F.col(before)).cast("string")
+        return F.when(F.col(lines) == 1, start).otherwise(F.concat_ws(",", start, F.col(lines).cast("string")))
+
+    head = F.concat(F.lit("@@ -"), span("old_before", "old_lines"), F.lit(" +"), span("new_before", "new_lines"), F.lit(" @@\n"))
+    numbers = ["old_before", "old_lines", "new_before", "new_lines", "moved"]
+    return hunks.select(key, "hunk", *numbers, F.concat(head, "body").alias("text"))
+
+
+def delta_text(pairs: DataFrame, key: str, context: int = CONTEXT) -> DataFrame:
+    """The unified diff of every changed document, made from its hunks: key, changes."""
+    hunks = delta_hunks(ordered_delta(pairs, key), key, context)
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("hunk", "text"))), lambda x: x["text"])
+    whole = F.concat(F.lit("--- \n+++ \n"), F.array_join(in_order, ""))
+    return hunks.groupBy(key).agg(whole.alias("changes"))
 
 
 def changed_docs(old: DataFrame, new: DataFrame, key: str, text: str = "text") -> DataFrame:

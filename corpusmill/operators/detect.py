@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
 from corpusmill.functions.text import (
-    ANY_CASE, MULTI, constant, count_matches, is_blank, let, split_lines, strip, text_of,
+    ANY_CASE, MULTI, MULTI_ANY_CASE, constant, count_matches, is_blank, let, split_lines, strip, text_of,
     with_totals,
 )
 from corpusmill.operators.tokens import count_tokens
 
-# The rules look at the head of a text; these windows are part of the rules. None
-# in their place looks at the whole text.
+# By default the rules look at the whole text. A head of so many lines and characters,
+# given as a parameter, is what tools for single files commonly look at.
 HEAD_LINES = 30
 HEAD_CHARS = 5000
 AGENT_CONFIG_HITS = 5
@@ -50,13 +50,14 @@ def detect_raw_code(text: Column) -> Column:
     return let(text, decide)
 
 
-def detect_type(text: Column, head_lines: int | None = HEAD_LINES) -> Column:
-    """log, email, web_scrape, markdown, code_* or prose, by the head lines."""
+def detect_type(text: Column, head_lines: int | None = None) -> Column:
+    """log, email, web_scrape, markdown, code_* or prose, by all lines or the first head_lines."""
     first = lambda ls: ls if head_lines is None else F.slice(ls, 1, head_lines)
 
     def by_head(s: Column) -> Column:
         head = s["head"]
-        sample = F.lower(F.array_join(head, "\n"))
+        whole = F.array_join(head, "\n")
+        sample = F.lower(whole)
         matching = lambda pattern: F.size(F.filter(head, lambda l: l.rlike(pattern)))
         present = lambda low, marks: F.size(
             F.filter(constant(marks, "array<string>"), lambda m: low.contains(m))
@@ -67,10 +68,10 @@ def detect_type(text: Column, head_lines: int | None = HEAD_LINES) -> Column:
         )
         typed = let(
             sample,
-            lambda low: F.when(matching(ANY_CASE + T.LOG_LINE) >= 3, F.lit("log"))
+            lambda low: F.when(whole.rlike(MULTI_ANY_CASE + T.LOG_LINE) & (matching(ANY_CASE + T.LOG_LINE) >= 3), F.lit("log"))
             .when(present(low, T.EMAIL_MARKERS) >= 2, F.lit("email"))
             .when(present(low, T.WEB_MARKERS) >= 3, F.lit("web_scrape"))
-            .when(matching(r"^#{1,6}\s") >= 2, F.lit("markdown"))
+            .when(low.contains("#") & (matching(r"^#{1,6}\s") >= 2), F.lit("markdown"))
             .otherwise(code),
         )
         return F.when(F.size(head) == 0, F.lit("prose")).otherwise(typed)
@@ -117,8 +118,8 @@ def route_type(
     text: Column,
     name: Column | None = None,
     extensions: dict[str, str] | None = None,
-    head_lines: int | None = HEAD_LINES,
-    head_chars: int | None = HEAD_CHARS,
+    head_lines: int | None = None,
+    head_chars: int | None = None,
 ) -> Column:
     """File name, then rule keywords, then text heuristics, then brackets."""
     by_name = type_by_name(name, extensions) if name is not None else F.lit(None).cast("string")

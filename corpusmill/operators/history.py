@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import is_blank, strip, text_of
+from corpusmill.functions.text import is_blank, shielded, strip, text_of
 
 HISTORY_SIZE = 50
 PINNED_SIZE = 10
@@ -103,11 +103,13 @@ def pin_entries(
     """Pinned entries plus new ones, at most `cap` per key; the oldest fall out.
 
     A candidate whose original is pinned already is ignored, and of equal
-    candidates the first counts. The cap is the feature; it is applied per task
+    candidates the first counts; NULL is a key, and an original, like any other. The cap is the feature; it is applied per task
     before the shuffle.
     """
     fresh = candidates.groupBy(key, original).agg(F.min(at).alias(at))
-    new = fresh.join(pinned.select(key, original), [key, original], "left_anti")
+    there = pinned.select(F.col(key).alias("at_key"), F.col(original).alias("at_original"))
+    same = F.col(key).eqNullSafe(F.col("at_key")) & F.col(original).eqNullSafe(F.col("at_original"))
+    new = fresh.join(there, same, "left_anti")
     both = pinned.select(key, original, at).unionByName(new.select(key, original, at))
     newest = Window.partitionBy(key).orderBy(F.col(at).desc(), F.col(original))
     return both.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= cap).drop("_r")
@@ -144,6 +146,7 @@ def bucket_of(ts: str, seconds: int) -> Column:
     return F.floor(micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+@shielded("_")
 def with_adjacent(
     df: DataFrame,
     key: str,
@@ -183,6 +186,7 @@ def with_adjacent(
     )
 
 
+@shielded("_")
 def adjacent_dedup(
     df: DataFrame, key: str, order: list[str], text: str, bucket_seconds: int = BUCKET_SECONDS
 ) -> DataFrame:
@@ -196,6 +200,7 @@ def gap_seconds(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(1_000_000.0)
 
 
+@shielded("_")
 def debounce(
     df: DataFrame,
     key: str,
@@ -216,6 +221,7 @@ def debounce(
     return last.unionByName(df.where(F.col(order[0]).isNull()))
 
 
+@shielded("_")
 def burst_stats(
     df: DataFrame,
     key: str,

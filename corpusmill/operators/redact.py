@@ -16,7 +16,7 @@ from corpusmill.functions.text import (
 
 # A delimiter-free token of the minimum length, tried only at its start.
 TOKEN_CLASS = f"[^{WHITE}{T.TOKEN_DELIMITERS}]"
-LONG_WORD = rf"\S{{{T.ENTROPY_MIN_LENGTH},}}"
+LONG_WORD = rf"(?<!\S)\S{{{T.ENTROPY_MIN_LENGTH},}}"
 
 
 # A hint that is part of many words, and what stands there in every match.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
-from corpusmill.functions.text import constant, is_blank, let, percent, phase, round_to, strip, text_of
+from corpusmill.functions.text import constant, is_blank, let, percent, phase, round_to, shielded, strip, text_of
 from corpusmill.operators.compress import minify, strings
 from corpusmill.operators.detect import category, route_type
 from corpusmill.operators.redact import redact
@@ -74,6 +74,7 @@ def _skeleton_notes() -> tuple[Column, Column]:
     return done, gone
 
 
+@shielded("_rt_", "_mf_")
 def smart_route(
     df: DataFrame,
     text: str = "text",
@@ -135,6 +136,7 @@ def smart_route(
     )
 
 
+@shielded("_rt_", "_mf_")
 def explain_compression(
     df: DataFrame, text: str = "text", name: str | None = "name", out: str = "explained"
 ) -> DataFrame:

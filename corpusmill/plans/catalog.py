@@ -141,7 +141,7 @@ def pack_first_files(spark, sf):
     docs = documents(spark, sf).withColumn(
         "name", F.concat(F.lit("doc_"), c("doc_id").cast("string"))
     )
-    return B.pack_block(docs, "source", "doc_id").select(
+    return B.pack_block(docs, "source", "doc_id", max_files=B.FIRST_FILES).select(
         "source", "files", "files_skipped", F.md5("block").alias("block_md5")
     )
 
@@ -1126,6 +1126,16 @@ def delta_mode(spark, sf):
     return V.delta_mode(old, new_version(old), "doc_id")
 
 
+@query("ordered_delta")
+def ordered_delta(spark, sf):
+    old = seeded_corpus(spark, sf)
+    lines = V.ordered_delta(V.changed_pairs(old, new_version(old), "doc_id"), "doc_id")
+    count = lambda op: F.count_if(c("op") == op)
+    return lines.groupBy("doc_id").agg(
+        count("+").alias("added"), count("-").alias("removed"), count(" ").alias("same"), F.count_if("moved").alias("moved")
+    )
+
+
 @query("delta_text")
 def delta_text(spark, sf):
     old = seeded_corpus(spark, sf)
@@ -1493,18 +1503,19 @@ def neighbour_entry(spark, sf):
 EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string"
 
 
-def event_folder(spark, sf) -> str:
+def event_folder(spark, sf, text=None, name: str = "event_type") -> str:
     """The events as files of a stream, closed by one event far in the future."""
     folder = scratch(spark) + "/events"
+    text = c("event_type") if text is None else text
     rows = load(spark, sf, "events").select(
-        "event_id", c("ts").cast("timestamp").alias("ts"), "user_id", "event_type"
+        "event_id", c("ts").cast("timestamp").alias("ts"), "user_id", text.alias(name)
     )
     rows.write.parquet(folder)
     last = rows.agg(
         F.lit(-1).cast("bigint").alias("event_id"),
         (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
         F.lit(-1).cast("bigint").alias("user_id"),
-        F.lit("end").alias("event_type"),
+        F.lit("the end").alias(name),
     )
     last.write.mode("append").parquet(folder)
     return folder
@@ -1512,10 +1523,9 @@ def event_folder(spark, sf) -> str:
 
 def run_to_parquet(spark, stream: DataFrame, mode: str) -> DataFrame:
     base = scratch(spark)
-    sink = lambda batch, _: batch.write.mode("append").parquet(base + "/out")
-    writer = stream.writeStream.outputMode(mode).foreachBatch(sink)
-    writer.option("checkpointLocation", base + "/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(base + "/out")
+    out = base + "/out"
+    E.write_batches(stream, E.batch_folder(out), base + "/state", True, mode).awaitTermination()
+    return E.written_batches(spark, out, stream.schema).drop("batch")
 
 
 @query("debounce_stream", _DEBOUNCED)
@@ -1549,3 +1559,14 @@ def crunch_stream(spark, sf):
         "conv_id", "turn", "active.label", "active.saved_percent", F.md5("write_back").alias("write_back_md5")
     )
     return run_to_parquet(spark, out, "append")
+
+
+@query("crunch_history_stream")
+def crunch_history_stream(spark, sf):
+    """The history of each user after bursts, guard and variants, all in one stream."""
+    schema = EVENT_SCHEMA.replace("event_type string", "text string")
+    source = E.read_event_stream(spark, schema, event_folder(spark, sf, F.concat_ws(" ", "event_type", "props"), "text"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", E.STATE_STORE)
+    out = E.crunch_history_stream(source, "user_id", "ts", "event_id", delay_seconds=GAP)
+    done = run_to_parquet(spark, out, "append").where("user_id >= 0")
+    return E.latest_entries(done, "user_id")

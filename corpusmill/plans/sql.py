@@ -152,7 +152,7 @@ def redaction_ctes(src: str, out: str = "redacted") -> list[str]:
 
 
 def head(x: str) -> str:
-    return f"{lines(strip(x))}[1:30]"
+    return lines(strip(x))
 
 
 def detect(x: str) -> str:
@@ -198,7 +198,7 @@ def named_type(name: str) -> str:
 
 
 def routed_type(x: str, name: str | None = None) -> str:
-    keywords = f"len({hits(f'left({x}, 5000)', '(?i)' + T.AGENT_CONFIG_KEYWORDS)})"
+    keywords = f"len({hits(x, '(?i)' + T.AGENT_CONFIG_KEYWORDS)})"
     s = strip(x)
     shape = (
         f"CASE WHEN left({s}, 1) IN ('{{', '[') AND right({s}, 1) IN ('}}', ']') THEN 'data_json' "

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", name: str = "corpusmill") -> SparkSession:
@@ -41,3 +42,14 @@ def prepare_checkpoints(spark: SparkSession) -> None:
     """Point checkpoint() at that folder unless the session already has one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder, which lost executors don't take along.
+
+    Unlike a checkpoint it has a known size, so later joins can be planned by it.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -160,6 +160,77 @@ def test_stream_crunch_writes_back_only_changes(spark, tmp_path):
     assert {r.id: r.write_back for r in out.collect()} == {1: "cat best", 3: None}
 
 
+def crunch_rows(seed, n=260):
+    rng = random.Random(seed)
+    texts = ["the cat is the best of all", "plain words here", "ab", "4111 1111 1111 1111", "in order to see the house", " "]
+    at, rows = START, []
+    for i in range(n):
+        at += dt.timedelta(seconds=rng.choice([1, 5, 600, 5000]))
+        rows.append((i, at, 0 if rng.random() < 0.4 else rng.randrange(1, 6), rng.choice(texts) + rng.choice(["", " x", " y"])))
+    return rows
+
+
+def batch_history(df, delay, keep):
+    """The batch operators, one after the other."""
+    quiet = H.debounce(df, "k", ["ts", "id"], delay)
+    made = E.with_variant(quiet)
+    variants = {r.text: (r.label, r.saved_percent, r.write_back) for r in made.collect()}
+    got = H.history_dedup(made, "k", "ts", "id", "text", 10, keep).collect()
+    return {(r.k, r.text, r.created_at, r.touched_at, r.touches, *variants[r.text]) for r in got}
+
+
+def entries(df):
+    return {(r.k, r.text, r.created_at, r.touched_at, r.touches, r.label, r.saved_percent, r.write_back) for r in df.collect()}
+
+
+def test_chained_stream_equals_the_batch_operators(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", E.STATE_STORE)
+    rows = crunch_rows(9)
+    folder, df = stream_folder(spark, tmp_path, rows)
+    source = E.read_event_stream(spark, "id bigint, ts timestamp, k bigint, text string", folder, files_per_batch=1)
+    stream = E.crunch_history_stream(source, "k", "ts", "id", delay_seconds=600, keep=12)
+    out = str(tmp_path / "hist")
+    E.write_batches(stream, E.batch_folder(out), str(tmp_path / "hs"), True).awaitTermination()
+    done = E.written_batches(spark, out, stream.schema).where("k >= 0")
+    want = batch_history(df.where("trim(text) <> ''"), 600, 12)
+    assert len(want) > 10 and any(x[-1] for x in want)
+    assert entries(E.latest_entries(done, "k", keep=12)) == want
+
+
+def test_replay_after_a_death_between_sink_and_commit(spark, tmp_path):
+    """The sink has written, the batch is not committed: the next start writes it again, once."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", E.STATE_STORE)
+    rows, _ = events(spark, 21, n=200, texts=9, spread=4)
+    shape = "id bigint, ts timestamp, k bigint, text string"
+    folder = str(tmp_path / "in")
+    for part in range(4):
+        spark.createDataFrame(rows[part * 50 : part * 50 + 50], shape).coalesce(1).write.mode("append").parquet(folder)
+
+    def stream():
+        source = E.read_event_stream(spark, shape, folder, files_per_batch=1)
+        return E.history_stream(source, "k", "ts", seq="id")
+
+    out, state = str(tmp_path / "hist"), str(tmp_path / "state")
+    write = E.batch_folder(out)
+
+    def dies(batch, number):
+        write(batch, number)
+        if number == 1:
+            raise RuntimeError("lost after the writing")
+
+    try:
+        E.write_batches(stream(), dies, state, True, "update").awaitTermination()
+        raise AssertionError("the query should have died")
+    except Exception as e:
+        assert "lost after the writing" in str(e)
+    E.write_batches(stream(), write, state, True, "update").awaitTermination()
+    got = E.written_batches(spark, out, stream().schema)
+    assert got.count() == 200 and got.select("batch").distinct().count() == 4
+    last = {(r.k, r.text, r.touches) for r in E.latest_entries(got, "k").collect()}
+    whole = H.history_dedup(spark.createDataFrame(rows, "id bigint, ts timestamp_ntz, k bigint, text string"), "k", "ts", "id", "text")
+    assert last == {(r.k, r.text, r.touches) for r in whole.collect()}
+
+
 def test_folder_scan_and_typed_output(spark, tmp_path):
     root = tmp_path / "proj"
     for path, text in {

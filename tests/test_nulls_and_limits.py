@@ -8,6 +8,7 @@ from corpusmill.operators import compress as C
 from corpusmill.operators import delta as V
 from corpusmill.operators import detect as D
 from corpusmill.operators import history as H
+from corpusmill.operators import route as R
 from corpusmill.operators import shape as K
 from corpusmill.sources.files import read_corpus
 
@@ -100,3 +101,53 @@ def test_detection_windows_can_be_lifted(mapped):
     log = "\n".join(["plain words"] * 40 + ["2025-01-02 10:00:01 INFO started"] * 5)
     assert mapped(D.detect_type, log) == ["prose"]
     assert mapped(lambda t: D.detect_type(t, None), log) == ["log"]
+
+
+def test_helper_columns_leave_the_callers_alone(spark):
+    """Columns of the caller that are named like an operator's own come out as they went in."""
+    names = ["_n", "_red", "_type", "_how", "_cut", "_text", "_new", "_mf_red", "_MF_out", "_rt_raw", "_rt_skel", "_b", "_near"]
+    base = spark.createDataFrame(
+        [(1, "n.py", "def f():\n    return 1\n", "s", 5), (2, "t.md", "# A\n\nthe words of it\n", "s", 6)],
+        "doc_id int, name string, text string, source string, at int",
+    )
+    clash = base.select("*", *[F.lit(777 + k).alias(n) for k, n in enumerate(names)])
+    for op in (
+        lambda d: B.budget_load(d, 3),
+        lambda d: C.minify(d),
+        lambda d: R.smart_route(d),
+        lambda d: R.explain_compression(d),
+    ):
+        plain, got = op(base), op(clash)
+        assert got.columns == [*clash.columns, plain.columns[-1]]
+        extra = {r.doc_id: tuple(r[n] for n in names) for r in got.collect()}
+        assert set(extra.values()) == {tuple(777 + k for k in range(len(names)))}
+        assert {str((r.doc_id, r[-1])) for r in plain.collect()} == {str((r.doc_id, r[-1])) for r in got.collect()}
+    times = clash.withColumn("ts", F.timestamp_seconds(F.col("at")))
+    got = H.debounce(times, "source", ["ts", "doc_id"], 0.5).collect()
+    assert {r["_b"] for r in got} == {777 + names.index("_b")} and len(got) == 2
+    renamed = clash.withColumnRenamed("_near", "_prev").withColumnRenamed("_red", "_body").withColumn("_body", F.col("text"))
+    assert C.minify(renamed.withColumn("_mf_n", F.col("text")), "_mf_n").select("compressed.text").collect() == C.minify(base).select("compressed.text").collect()
+
+
+def test_pins_with_null_keys(spark):
+    shape = "k int, o string, at int"
+    pinned = spark.createDataFrame([(None, "a", 1), (1, None, 2)], shape)
+    new = spark.createDataFrame([(None, "a", 5), (1, None, 6), (None, None, 7)], shape)
+    got = sorted(map(tuple, H.pin_entries(pinned, new, "k", "o", "at").collect()), key=str)
+    assert got == sorted([(None, "a", 1), (1, None, 2), (None, None, 7)], key=str)
+
+
+def test_detection_reads_whole_texts_by_default(spark):
+    log = "plain\n" * 40 + "2025-01-01 INFO a\n" * 3
+    rules = "word " * 1200 + "You must always follow. Never skip. " * 1
+    df = spark.createDataFrame([(log, rules)], "log string, rules string")
+    got = df.select(
+        D.detect_type(F.col("log")).alias("whole"), D.detect_type(F.col("log"), D.HEAD_LINES).alias("head"),
+    ).first()
+    assert (got.whole, got.head) == ("log", "prose")
+
+
+def test_pack_block_takes_all_files_by_default(spark):
+    many = spark.createDataFrame([("s", k, f"f{k}", "text") for k in range(50)], "source string, doc_id int, name string, text string")
+    (block,) = B.pack_block(many, "source", "doc_id").collect()
+    assert (block.files, block.files_skipped) == (50, 0)
