@@ -377,12 +377,25 @@ def phrase_rules(items: Iterable[tuple[str, str, str]]) -> list[Rule]:
     return rules
 
 
-def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
+def words_of(rules: Iterable[Rule]) -> set[str]:
+    return {w for r in rules for w in r.words}
+
+
+def words_present(col: Column, keywords: Iterable[str]) -> Column:
+    """Which of some ASCII words a text holds, in one hash pass over its words."""
+    table = constant(sorted(set(keywords)), "array<string>")
+    return F.array_intersect(F.split(fold_case(col), r"\W+"), table)
+
+
+def fold_rules(
+    col: Column, rules: Iterable[Rule], samples: int = 0, have: Column | None = None
+) -> Column:
     """Apply ordered rewrites; struct(text, n, found).
 
     One hash pass over the words of the text selects the rules that can match
     at all; of those, a rule runs its regex only if its phrase occurs. `found`
-    holds the first match of the first `samples` rules that matched.
+    holds the first match of the first `samples` rules that matched. have: the words
+    of the rules that the text may hold, where they are known already.
     """
     rules = list(rules)
     table = constant(
@@ -392,7 +405,7 @@ def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
         ],
         "array<struct<phrase:string,words:array<string>,pattern:string,put:string>>",
     )
-    keywords = constant(sorted({w for r in rules for w in r.words}), "array<string>")
+    keywords = constant(sorted(words_of(rules)), "array<string>")
 
     def state(text: Column, n: Column, found: Column) -> Column:
         return let(
@@ -425,12 +438,12 @@ def fold_rules(col: Column, rules: Iterable[Rule], samples: int = 0) -> Column:
         if not any(r.words for r in rules) or len(rules) < MANY_RULES:
             return table
         always = constant([k for k, r in enumerate(rules) if not r.words], "array<int>")
-        present = F.array_intersect(F.split(start["low"], r"\W+"), keywords)
-        wanted = lambda have: F.filter(
-            table, lambda r: (F.size(r["words"]) == 0) | F.arrays_overlap(have, r["words"])
+        present = F.array_intersect(F.split(start["low"], r"\W+") if have is None else have, keywords)
+        wanted = lambda found: F.filter(
+            table, lambda r: (F.size(r["words"]) == 0) | F.arrays_overlap(found, r["words"])
         )
         fixed = F.transform(always, lambda k: F.get(table, k))
-        return let(present, lambda have: F.when(F.size(have) == 0, fixed).otherwise(wanted(have)))
+        return let(present, lambda found: F.when(F.size(found) == 0, fixed).otherwise(wanted(found)))
 
     return let(
         state(col, F.lit(0), F.array().cast("array<string>")),

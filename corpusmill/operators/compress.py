@@ -21,7 +21,7 @@ from corpusmill.functions.text import (
     is_blank, join_segments, let, line_segments, lines, percent, phase, phrase_rules, regex_literal,
     replace_matches, rstrip, segments, shielded,
     split_lines, strip, swap_where, swap_words, text_of, unfold, unlines, with_totals,
-    without_words, words,
+    without_words, words, words_of, words_present,
 )
 from corpusmill.operators.detect import detect_type, is_real_code_block
 from corpusmill.operators.redact import redact
@@ -192,9 +192,9 @@ FILLER_RULES = phrase_rules(
 )
 
 
-def drop_fillers(text: Column) -> Column:
-    """struct(text, n, found) without filler phrases."""
-    return fold_rules(text, FILLER_RULES, samples=MAX_SAMPLES)
+def drop_fillers(text: Column, have: Column | None = None) -> Column:
+    """struct(text, n, found) without filler phrases. have: see `rule_words`."""
+    return fold_rules(text, FILLER_RULES, samples=MAX_SAMPLES, have=have)
 
 
 def may_be_critical(text: Column) -> Column:
@@ -238,9 +238,11 @@ PHRASE_SYNONYMS = phrase_rules(
 )
 
 
-def synonyms(text: Column) -> Column:
+def synonyms(text: Column, have: Column | None = None) -> Column:
     """struct(text, n): the shorter form of every known word or phrase.
 
+    A text without any known word is not taken apart. have: see `rule_words`.
+
     Single words are one lookup pass over the words. No short form is a key, and
     only a phrase can be completed by a short form, so phrases run after it.
     """
@@ -251,7 +253,16 @@ def synonyms(text: Column) -> Column:
             lambda p: F.struct(p["text"].alias("text"), (w["n"] + p["n"]).alias("n")),
         )
 
-    return let(swap_words(text, SINGLE_SYNONYMS), phrases)
+    known = sorted(SINGLE_SYNONYMS)
+    some = F.arrays_overlap(
+        words_present(text, known) if have is None else have, constant(known, "array<string>")
+    )
+
+    def swapped(t: Column) -> Column:
+        same = F.struct(t.alias("text"), F.lit(0).alias("n"))
+        return F.when(some, swap_words(t, SINGLE_SYNONYMS)).otherwise(same)
+
+    return let(let(text, swapped), phrases)
 
 
 URL = r"(?U)https?://\S+"
@@ -321,8 +332,26 @@ VERBOSE_RULES = phrase_rules(
 )
 
 
-def telegraphic(text: Column) -> Column:
-    """struct(text, n): compact wording, fewer words on long lines."""
+#: Words that the rules of all phases look for, and those of them that the phases
+#: before `telegraphic` can bring into a text.
+RULE_WORDS = words_of(FILLER_RULES) | set(SINGLE_SYNONYMS) | words_of(VERBOSE_RULES)
+MADE_WORDS = RULE_WORDS & {
+    w for put in [*L.SYNONYMS.values(), "[URL]", "[EMAIL]"] for w in re.findall("[a-z0-9_]+", put.lower())
+}
+
+
+def rule_words(text: Column) -> Column:
+    """The words of the rules that a text holds or that its rewrites can bring in.
+
+    One pass over the words of a text serves all phases: fillers and stop words only
+    go, and what synonyms and tags put in is added here.
+    """
+    made = constant(sorted(MADE_WORDS), "array<string>")
+    return F.array_union(words_present(text, RULE_WORDS), made)
+
+
+def telegraphic(text: Column, have: Column | None = None) -> Column:
+    """struct(text, n): compact wording, fewer words on long lines. have: see `rule_words`."""
 
     def shorten(line: Column, watch: Column) -> Column:
         plain = lambda ws: without_words(ws, line, L.EXTRA_STOP_WORDS, PUNCTUATION, min_length=2)
@@ -349,7 +378,7 @@ def telegraphic(text: Column) -> Column:
         t = let(t, lambda c: F.when(edge(c), F.regexp_replace(c, MULTI + "^ +| +$", "")).otherwise(c))
         return F.struct(t.alias("text"), r["n"].alias("n"))
 
-    return let(fold_rules(text, VERBOSE_RULES), finish)
+    return let(fold_rules(text, VERBOSE_RULES, have=have), finish)
 
 
 # --------------------------------------------------------------- structure
@@ -557,11 +586,12 @@ def _phases(application: str) -> tuple[dict[str, Column], Column]:
         "_mf_safe": phase(protect_blocks, f("_mf_red")),
         "_mf_kind": phase(detect_type, f("_mf_safe.text")),
         "_mf_prose": F.when(~is_code, phase(normalize_prose, f("_mf_safe.text"))),
-        "_mf_fill": phase(drop_fillers, f("_mf_prose")),
+        "_mf_have": phase(rule_words, f("_mf_prose")),
+        "_mf_fill": phase(lambda t: drop_fillers(t, f("_mf_have")), f("_mf_prose")),
         "_mf_stop": phase(drop_stop_words, f("_mf_fill.text")),
-        "_mf_syn": phase(synonyms, f("_mf_stop")),
+        "_mf_syn": phase(lambda t: synonyms(t, f("_mf_have")), f("_mf_stop")),
         "_mf_refs": phase(shorten_refs, f("_mf_syn.text")),
-        "_mf_tele": phase(telegraphic, f("_mf_refs.text")),
+        "_mf_tele": phase(lambda t: telegraphic(t, f("_mf_have")), f("_mf_refs.text")),
         "_mf_form": phase(structural, f("_mf_tele.text")),
         "_mf_body": F.when(is_code, normalize_code(f("_mf_safe.text"))).otherwise(f("_mf_form.text")),
         "_mf_uniq": phase(dedup_lines, f("_mf_body")),

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import tables as T
-from corpusmill.functions.text import constant, is_blank, let, percent, phase, round_to, shielded, strip, text_of
+from corpusmill.functions.text import constant, is_blank, let, percent, phase, round_to, shielded, strip, text_of, unfold
 from corpusmill.operators.compress import minify, strings
 from corpusmill.operators.detect import category, route_type
 from corpusmill.operators.redact import redact
 from corpusmill.operators.shape import outline_kind, with_skeleton
 from corpusmill.operators.tokens import count_tokens, fixed
+from corpusmill.session import written
 
 SAFE_CONFIDENCE = 0.85
+#: Postings of a question's rarest terms that are counted first.
+SEED_POSTINGS = 5000
 DEFAULT_INTENT = T.INTENTS[0]
 
 
@@ -284,3 +287,64 @@ def relevance(text: Column, question: Column | str, head_chars: int | None = Non
 
 def shown_score(score: Column) -> Column:
     return round_to(score, 2)
+
+
+def _top(rows: DataFrame, group: str, order: list, k: int, parts: int = 32) -> DataFrame:
+    """The k first rows of each group with their rank; first within parts of a group."""
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(parts))
+    some = rows.withColumn("_part", part)
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)))
+    some = some.where(F.col("rank") <= k).drop("_part", "rank")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def relevant_documents(
+    docs: DataFrame,
+    questions: DataFrame,
+    k: int = 50,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    question: str = "text",
+    seeds: int = SEED_POSTINGS,
+) -> DataFrame:
+    """item, key, hits, terms, rank: for each question the k documents with most of its terms.
+
+    Only documents with at least one term; equal numbers go by key. The terms of the
+    questions are an inverted list that meets the terms of the documents by value. Of
+    a question, the rarest terms alone give k documents and so a number of terms that
+    the k best reach for sure; a document that reaches it holds one of the rarest
+    terms - number + 1 terms, so frequent terms make no candidates. Candidates are
+    then counted against all terms. Rows of one key are one document, rows of one
+    item one question; questions without terms have no rows.
+    """
+    per = questions.select(F.col(item).alias("q"), split_terms(F.col(question)).alias("t"))
+    per = per.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("asked"))
+    per = written(per.where("size(asked) > 0").withColumn("terms", F.size("asked").cast("bigint")))
+    asked = per.select("q", "terms", F.explode("asked").alias("term"))
+    rows = unfold(docs, [F.col(key).alias("d")], split_terms(F.col(text)), "term")
+    found = written(rows.join(asked.select("term").distinct(), "term").distinct())
+    by_rarity = Window.partitionBy("q").orderBy("n", "term")
+    upto = by_rarity.rowsBetween(Window.unboundedPreceding, -1)
+    lists = asked.join(found.groupBy("term").agg(F.count("*").alias("n")), "term")
+    lists = lists.withColumns(
+        {"nth": F.row_number().over(by_rarity), "before": F.coalesce(F.sum("n").over(upto), F.lit(0))}
+    )
+    lists = written(lists)
+    # How many terms the k best reach, by the lists of the rarest terms.
+    first = found.join(lists.where((F.col("nth") == 1) | (F.col("before") < seeds)), "term")
+    reached = first.groupBy("q", "d").agg(F.count("*").alias("hits")).groupBy("q", "hits").agg(F.count("*").alias("docs"))
+    down = Window.partitionBy("q").orderBy(F.desc("hits"))
+    reached = reached.withColumn("docs", F.sum("docs").over(down)).where(F.col("docs") >= k)
+    reached = reached.groupBy("q").agg(F.max("hits").alias("sure"))
+    lists = lists.join(reached, "q", "left").withColumn("sure", F.coalesce("sure", F.lit(1)))
+    # Terms that no document holds have no list, and count as met by none.
+    held = Window.partitionBy("q")
+    lists = lists.withColumn("known", F.count("*").over(held))
+    wanted = lists.where(F.col("nth") <= F.col("known") - F.col("sure") + 1).select("q", "term")
+    candidates = found.join(wanted, "term").select("q", "d").distinct()
+    whole = found.groupBy("d").agg(F.collect_list("term").alias("held"))
+    counted = candidates.join(whole, "d").join(per, "q")
+    counted = counted.select("q", "d", F.size(F.array_intersect("asked", "held")).cast("bigint").alias("hits"), "terms")
+    best = _top(counted, "q", [F.desc("hits"), F.asc_nulls_first("d")], k)
+    return best.select(F.col("q").alias(item), F.col("d").alias(key), "hits", "terms", "rank")

@@ -921,6 +921,18 @@ def relevance_per_question(spark, sf):
     ).select("doc_id", "item_id", "h.hits", "h.terms")
 
 
+@query(
+    "relevant_documents",
+    f"""SELECT item_id, doc_id, hits, terms, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id)::INT AS rank FROM (
+            SELECT b.item_id, d.doc_id, len(list_intersect(b.q, d.t))::BIGINT AS hits, len(b.q) AS terms
+            FROM (SELECT doc_id, {S.terms('text')} AS t FROM documents) d, (SELECT item_id, {S.terms('text')} AS q FROM benchmark) b)
+          WHERE hits > 0) WHERE rank <= 50""",
+)
+def relevant_documents(spark, sf):
+    return Q.relevant_documents(documents(spark, sf), load(spark, sf, "benchmark"))
+
+
 def _alloc_sql(src: str, budget: int) -> str:
     return f"""
     st AS (SELECT source, CASE WHEN sum(weight) = 0 THEN 1 ELSE sum(weight) END::BIGINT AS total, count(*) AS docs FROM {src} GROUP BY source),

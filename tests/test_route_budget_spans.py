@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,29 @@ def test_outlines(mapped):
     assert mapped(K.python_outline, py) == ["@cached\nclass A(B):\n    async def f(self):\ndef g(): pass"]
     js = "import a from 'b'\nlet q = 1\nfunction f(a) {\n  if (a) {\n  static x = 1\nconst g = (a) => {\n}"
     assert mapped(K.script_outline, js)[0].split("\n")[:2] == ["import a from 'b'", "function f(a) { /* stripped */ }"]
+
+
+def test_relevant_documents_equal_a_full_comparison(spark):
+    rng = random.Random(6)
+    words = [f"w{k:02d}" for k in range(40)] + ["theTerm", "of", "and"]
+    text = lambda n, weights: " ".join(rng.choices(words, weights, k=n))
+    skew = [1] * 40 + [5, 60, 60]
+    docs = [(k, text(rng.randint(0, 30), skew)) for k in range(400)] + [(400, None), (401, ""), (1, "w01 w02")]
+    asked = [(k, text(rng.randint(1, 9), [2] * 40 + [1, 6, 6])) for k in range(15)] + [(50, None), (51, "unknown term"), (3, "w39 w38")]
+    terms = lambda t: {x for x in re.split(r"[\W_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", t or "").lower()) if len(x) >= 2}
+    held, wanted = {}, {}
+    for k, t in docs:
+        held.setdefault(k, set()).update(terms(t))
+    for k, t in asked:
+        wanted.setdefault(k, set()).update(terms(t))
+    want = set()
+    for q, ts in wanted.items():
+        hits = sorted((-len(ts & h), d) for d, h in held.items() if ts & h)
+        want |= {(q, d, -n, len(ts), r + 1) for r, (n, d) in enumerate(hits[:7])}
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    b = spark.createDataFrame(asked, "item_id int, text string")
+    for seeds in (1, 40, 5000):
+        got = Q.relevant_documents(d, b, 7, seeds=seeds)
+        assert {tuple(r) for r in got.collect()} == want
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString()
+    assert Q.relevant_documents(d.limit(0), b).collect() == [] and Q.relevant_documents(d, b.limit(0)).collect() == []
