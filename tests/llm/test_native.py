@@ -129,7 +129,7 @@ def test_mix_inclusion_by_size_over_many_seeds(spark):
         F.repeat(F.lit("w "), F.when(F.col("id") % 2 == 0, sizes[0]).otherwise(sizes[1])).alias("text"),
         F.when(F.col("id") < 800, "a").otherwise("b").alias("source"),
     )
-    seen, runs = {0: 0, 1: 0}, 12
+    seen, runs = {0: 0, 1: 0}, 6
     for seed in range(runs):
         got = mixture.mix_sources(docs, weights=(1, 3), seed=f"s{seed}").where("source = 'a'")
         first = got.first()

@@ -11,8 +11,10 @@ import pytest
 from llm_rows import prose, row
 from pyspark.sql import functions as F
 
+from corpusmill.llm import catalog, ranked, toxicity
 from corpusmill.llm import divergence as div
-from corpusmill.llm import ranked, toxicity
+
+SF1 = "/root/testdata/sf0.1"
 
 UPPER = {c: chr(c + 32) for c in range(65, 91)}
 
@@ -176,6 +178,20 @@ def test_toxicity_scores_equal_a_plain_model(spark, frame):
         assert got[d[0]] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
 
 
+def test_toxicity_query_on_held_out_documents(spark):
+    """The registered query over the whole table against the labels it has not seen."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF1}/labels.parquet").collect()}
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF1}/documents.parquet").select("doc_id", "lang").collect()}
+    got = catalog.op12_toxicity(spark, SF1).collect()
+    assert len(got) == len(langs)
+    out = [r for r in got if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in out) >= 0.95 * len(out)
+    clean = [r for r in out if not labels[r.doc_id]]
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    english = [r for r in out if labels[r.doc_id] and langs[r.doc_id] == "en"]
+    assert sum(r.predicted for r in english) >= 0.85 * len(english)
+
+
 def test_ratios_count_every_learning_row(spark, frame):
     docs, labels = toxic_corpus(200)
     given = spark.createDataFrame(labels, "doc_id bigint, toxic int")
