@@ -441,7 +441,9 @@ def near_classes(
     met = nodes.join(buckets.select("rep").distinct(), "rep").select("rep", "text_of.*")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(text_or_empty(text), 256)).alias("raw"), text_or_empty(text))
     texts = texts.mapInArrow(packed, f"doc_id {kind}, raw binary, packed binary")
-    texts = written(texts.join(met, ["doc_id", "raw"]).groupBy("rep").agg(F.max("packed").alias("packed")))
+    # Grouped by what they are joined by, the texts move once; a node has one such pair.
+    texts = texts.join(met, ["doc_id", "raw"]).groupBy("doc_id", "raw", "rep").agg(F.max("packed").alias("packed"))
+    texts = written(texts.select("rep", "packed"))
     labels, tested, turn = None, None, 0
     while True:
         pairs = written(candidates(buckets, turn, least, labels, tested))
