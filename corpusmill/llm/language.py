@@ -218,7 +218,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     Learns from the documents that are not held out and have a language. A null
     identifier counts as the empty text in the split. Repeated rows are judged
-    each on its own; an empty table gives an empty result.
+    each on its own; an empty table gives an empty result. Of languages with equal loss
+    the first by name is predicted, and the decision is ambiguous.
     """
     model = train(docs.where(~held_out(doc_id)), lang, text)
     columns = [F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out")]

@@ -269,7 +269,8 @@ def mix_sources(docs: DataFrame, most: int = MOST, **how) -> DataFrame:
     is a source of its own. Sources without words have target 0. Rows that share an
     identifier, or have none, are decided each on its own; of equal rows as many as
     the mix needs are taken. An empty table gives an empty result; other columns of
-    docs are not looked at. The same documents always give the same mix.
+    docs are not looked at. The same documents always give the same mix. Long texts are
+    counted whole.
     """
     rows, cuts = mixing_plan(docs, most=most, **how)
     return decided(rows, cuts, most).select(

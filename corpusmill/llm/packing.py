@@ -74,7 +74,8 @@ def pack(
     cluster conflicts with nothing. A document without words (null, empty, blank)
     has one piece of 0 words and no bin. Repeated rows are packed as often as they
     come, in different bins. An empty table gives an empty result; other columns
-    are not looked at.
+    are not looked at. A text longer than a bin fills bins of its own; the rest of it
+    is packed as a piece like others. Pieces of equal size go in the order of rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be 1 or more")

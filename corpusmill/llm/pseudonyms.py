@@ -282,6 +282,7 @@ def pseudonymised(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str
     text is the whole text with pseudonyms; null stays null with counts of 0, and
     a text without such values comes out as it was. Repeated rows are treated
     alike; an empty table gives an empty result; other columns are not looked at.
+    Long texts are searched whole, in one pass.
     """
 
     if len(key) < 16:

@@ -145,7 +145,8 @@ def quality_rules(
     llr is the mean weight of a document's n-grams in millionths of a nat, rounded
     down; null without words. Null and empty texts have no words and fail the base
     rules. Repeated rows are judged alike, each on its own. Other columns of docs
-    are not looked at; an empty table gives an empty result.
+    are not looked at; an empty table gives an empty result. Long texts are judged
+    whole, and a document at the threshold is kept.
     """
     weights = fitted_weights(docs, trusted, doc_id, text, buckets).scalar()
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))

@@ -138,7 +138,9 @@ def url_verdicts(
 
     A null url, or one without `://`, has an empty host and path: no rule fits and
     the verdict is the model's. Repeated rows are judged alike; an empty table
-    gives an empty result; other columns are not looked at.
+    gives an empty result; other columns are not looked at. Of rules of equal length
+    the first listed wins, and a score at the threshold blocks. Long addresses are
+    judged whole.
     """
     weights = fit(table)
     rows = pages.select(
