@@ -18,27 +18,49 @@ from corpusmill.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told.
+
+    Null, empty and letterless texts go, as do ambiguous ones. Repeated rows are judged
+    alike, long texts whole. An empty table stays one. Further columns stay as they are,
+    whatever their names; so they do in all stages.
+    """
     return accepted(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: that of the largest identifier.
+
+    A null text is an empty one. Identifiers that are null lose; of rows equal in
+    identifier and text one stays. An empty table stays one.
+    """
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: that of the smallest identifier.
+
+    Texts without words are one class. Rows of one identifier are one class, too, and
+    rows without one belong to that of their words. An empty table stays one.
+    """
     return drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is one of its own; documents without words come as often as others
+    of their rank. Rows that share an identifier are decided each on its own. An empty
+    table stays one.
+    """
     return mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence."""
+    """Pieces of documents with their sequence; the columns are those of `pack`.
+
+    Texts without words have a piece without a bin; copies lie in different bins.
+    An empty table gives an empty result.
+    """
     return pack(docs)
 
 
