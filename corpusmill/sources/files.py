@@ -55,7 +55,11 @@ def decode_text(content: Column) -> Column:
 
 
 def write_compressed(df: DataFrame, path: str, out: str = "compressed", mode: str = "errorifexists") -> None:
-    """Rows with their compressed struct as parquet, one folder per content type."""
-    df.withColumn("content_type", F.col(f"{out}.content_type")).write.mode(mode).partitionBy(
-        "content_type"
-    ).parquet(path)
+    """Rows with their compressed struct as parquet, one folder per content type.
+
+    Rows of a type are brought together before the writing, so that a type has no
+    small file of every task; a frequent type is dealt over several tasks. The size
+    they aim at is `spark.sql.adaptive.advisoryPartitionSizeInBytes`.
+    """
+    typed = df.withColumn("content_type", F.col(f"{out}.content_type"))
+    typed.hint("rebalance", "content_type").write.mode(mode).partitionBy("content_type").parquet(path)

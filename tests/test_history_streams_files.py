@@ -250,3 +250,28 @@ def test_folder_scan_and_typed_output(spark, tmp_path):
     write_compressed(minify(found), out)
     back = {r.name: r.content_type for r in spark.read.parquet(out).collect()}
     assert back["b.md"] == "markdown" and len(back) == 4
+
+
+def test_typed_output_has_files_of_a_size(spark, tmp_path):
+    """A frequent type has several files, a rare one a single file, whatever the tasks."""
+    body = F.repeat(F.sha2(F.col("id").cast("string"), 512), 4)
+    kind = F.when(F.col("id") % 500 == 0, "log").when(F.col("id") % 50 == 0, "email").otherwise("prose")
+    rows = spark.range(0, 20_000, 1, 16).select(F.struct(kind.alias("content_type"), body.alias("text")).alias("compressed"))
+    size, key = 1 << 18, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, least = spark.conf.get(key), "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    first = spark.conf.get(least)
+    spark.conf.set(key, size)
+    spark.conf.set(least, "false")
+    try:
+        write_compressed(rows, str(tmp_path / "typed"))
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set(least, first)
+    files = {}
+    for f in (tmp_path / "typed").rglob("*.parquet"):
+        files.setdefault(f.parent.name, []).append(f.stat().st_size)
+    assert set(files) == {"content_type=log", "content_type=email", "content_type=prose"}
+    assert len(files["content_type=log"]) == 1 and len(files["content_type=email"]) == 1
+    want = -(-sum(files["content_type=prose"]) // size)
+    assert want > 3 and want / 2 <= len(files["content_type=prose"]) <= 2 * want
+    assert spark.read.parquet(str(tmp_path / "typed")).count() == 20_000
