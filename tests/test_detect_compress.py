@@ -18,9 +18,11 @@ def test_types_by_text(mapped):
         "const a = 1;\nlet b = 2;": "code_js",
         "  if (a) {\n  x();\n  }\n  y();": "code_generic",
         "\n" * 40 + "# A\n## B": "markdown",
-        "x\n" * 31 + "# A\n## B": "prose",
+        "x\n" * 31 + "# A\n## B": "markdown",
     }
     assert mapped(D.detect_type, *cases) == list(cases.values())
+    head = lambda t: D.detect_type(t, D.HEAD_LINES)
+    assert mapped(head, *cases) == [*list(cases.values())[:-1], "prose"]
 
 
 def test_types_by_name_and_rules(spark):
@@ -33,13 +35,15 @@ def test_types_by_name_and_rules(spark):
         ('{"a": 1}', "", "data_json"),
         ("<a></a>", None, "data_xml"),
         (rules, "", "agent_config"),
-        ("y" * 5000 + rules, "", "prose"),
+        ("y" * 5000 + " " + rules, "", "agent_config"),
         ("def f():\n  pass", "", "prose"),
         ('{"l": 1} INFO', "", "prose"),
     ]
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(cases)], "i int, t string, n string, w string")
     rows = df.select("i", "w", D.route_type(F.col("t"), F.col("n")).alias("k")).collect()
     assert [(r.i, r.k) for r in rows] == [(r.i, r.w) for r in rows]
+    head = df.where("i = 7").select(D.route_type(F.col("t"), F.col("n"), None, D.HEAD_LINES, D.HEAD_CHARS).alias("k"))
+    assert head.first().k == "prose"
 
 
 def test_fenced_blocks_kept_or_shortened(mapped):

@@ -97,12 +97,6 @@ def test_file_scan_without_a_cap(spark, tmp_path):
     assert capped["small.txt"] == ("one", None) and capped["big.txt"][0] is None and "100 bytes" in capped["big.txt"][1]
 
 
-def test_detection_windows_can_be_lifted(mapped):
-    log = "\n".join(["plain words"] * 40 + ["2025-01-02 10:00:01 INFO started"] * 5)
-    assert mapped(D.detect_type, log) == ["prose"]
-    assert mapped(lambda t: D.detect_type(t, None), log) == ["log"]
-
-
 def test_helper_columns_leave_the_callers_alone(spark):
     """Columns of the caller that are named like an operator's own come out as they went in."""
     names = ["_n", "_red", "_type", "_how", "_cut", "_text", "_new", "_mf_red", "_MF_out", "_rt_raw", "_rt_skel", "_b", "_near"]
@@ -139,8 +133,7 @@ def test_pins_with_null_keys(spark):
 
 def test_detection_reads_whole_texts_by_default(spark):
     log = "plain\n" * 40 + "2025-01-01 INFO a\n" * 3
-    rules = "word " * 1200 + "You must always follow. Never skip. " * 1
-    df = spark.createDataFrame([(log, rules)], "log string, rules string")
+    df = spark.createDataFrame([(log,)], "log string")
     got = df.select(
         D.detect_type(F.col("log")).alias("whole"), D.detect_type(F.col("log"), D.HEAD_LINES).alias("head"),
     ).first()
