@@ -170,3 +170,27 @@ def test_whole_table(spark):
         assert (listed[k].added, listed[k].removed, listed[k].moved) == (
             sum(r.op == "+" for r in rows), sum(r.op == "-" for r in rows), moved.get(k, 0),
         )
+
+
+def versions(spark):
+    """Old and new texts with long lines, repeats and a NULL key."""
+    lines = [f"{n} " + "word " * 60 + "\n" for n in range(12)]
+    rows = []
+    for n, key in enumerate([None, *range(30)]):
+        old = [lines[(n + k * k) % 12] for k in range(15)]
+        rows.append((key, "".join(old), "".join(l for k, l in enumerate(old[2:] + old[:2]) if k % 5 != n % 5)))
+    frame = spark.createDataFrame(rows, "id bigint, old string, new string")
+    return frame.selectExpr("id", "old AS text"), frame.selectExpr("id", "new AS text")
+
+
+def test_lines_of_a_document_travel_once(spark, capsys):
+    old, new = versions(spark)
+    delta = V.ordered_delta(V.changed_pairs(old, new, "id"), "id")
+    delta.explain("formatted")
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", capsys.readouterr().out)
+    assert not [columns for columns in moved if re.search(r"\bline#", columns)]
+    texts = {r.id: r.text for r in old.collect()}, {r.id: r.text for r in new.collect()}
+    for id_, rows in by_doc(delta.collect()).items():
+        of = lambda ops: "".join(r.line for r in sorted(rows, key=lambda r: r.seq) if r.op in ops)
+        assert (of(" -"), of(" +")) == (texts[0][id_], texts[1][id_])
+    assert None in texts[0] and delta.where("id IS NULL").count() > 0
