@@ -194,3 +194,15 @@ def test_lines_of_a_document_travel_once(spark, capsys):
         of = lambda ops: "".join(r.line for r in sorted(rows, key=lambda r: r.seq) if r.op in ops)
         assert (of(" -"), of(" +")) == (texts[0][id_], texts[1][id_])
     assert None in texts[0] and delta.where("id IS NULL").count() > 0
+
+
+def test_lines_of_a_diff_travel_once(spark, capsys):
+    old, new = versions(spark)
+    diff = V.delta_text(V.changed_pairs(old, new, "id"), "id")
+    diff.explain("formatted")
+    moved = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", capsys.readouterr().out)
+    assert len([columns for columns in moved if re.search(r"\bline#", columns)]) == 1
+    before, after = ({r.id: r.text for r in side.collect()} for side in (old, new))
+    changes = {r.id: r.changes for r in diff.collect()}
+    assert None in changes
+    assert all(patched(before[id_], c) == after[id_] for id_, c in changes.items())
