@@ -2,6 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions import lexicons as L
+from corpusmill.functions.text import ANY_CASE, split_lines, strip
 from corpusmill.operators import compress as C
 from corpusmill.operators import detect as D
 
@@ -172,3 +174,38 @@ def test_minify_wraps(texts):
 def test_ocr_repair(mapped):
     out = mapped(C.repair_ocr_text, "• 2e26 \n\n Ø1 e5", "- a\n- b")
     assert out == ["2026\n01 e5", "a\n- b"]
+
+
+def test_critical_lines_agree_with_the_whole_pattern(mapped):
+    texts = [
+        "plain\nat 12:30\nv1.2\n1.2.3-rc\n1:2\n12-04-2026\na1.2\n3/4/99x",
+        "residue\ndues\nDUE now\nUnTil\nbis zum\nbis  zum\nFÄLLIG\nfällig",
+        "monday\ntoday\nSamſtag\nTagung\nſunday\nhacK\nsonntags\n Freitag \n",
+        "٣.٤\n٣:٤٥\nxv2.0\nV2.0\nv 2.0\n1.2́",
+        "no sign at all\n\nnone",
+        "",
+    ]
+    whole = lambda t: F.transform(F.split(t, "\n"), lambda l: strip(l).rlike(ANY_CASE + L.CRITICAL_LINE))
+    got, wanted = mapped(C.critical_lines, *texts), mapped(whole, *texts)
+    assert [g if g is not None else [False] * len(w) for g, w in zip(got, wanted)] == wanted
+    assert got[-2:] == [None, None]
+
+
+def test_lines_end_at_every_line_end(mapped):
+    texts = ["a\nb\n", "a\r\nb\rc", "a\x0bb\x0cc\x1cd", "a\x85b c ", "", "\n", "a b"]
+    assert mapped(split_lines, *texts) == [t.splitlines() for t in texts]
+
+
+def test_types_are_told_without_taking_the_lines_apart(mapped):
+    cases = {
+        "From: a\rSubject: b": "email",
+        "x from:\nDATE: y": "email",
+        "from: only": "prose",
+        "# a\r\n## b\r\n": "markdown",
+        "# a\n#b": "prose",
+        "\x0b# a\x0c# b\x0c": "markdown",
+        " \r\n ": "prose",
+        "[1] INFO\r2 WARN 3 error": "log",
+    }
+    assert mapped(D.detect_type, *cases) == list(cases.values())
+    assert mapped(lambda t: D.detect_type(t, 1), "# a\n# b", "# a") == ["prose", "prose"]

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusmill.functions import tables as T
 from corpusmill.operators import redact as R
 from corpusmill.operators import tokens as N
 
@@ -129,3 +130,31 @@ def test_tokenizer_argument(mapped):
 def test_user_overrides_merge(spark):
     got = {r.key: r.value for r in N.dimension_table(spark, {"a": 1.0, "b": 2.0}, {"b": 3.0, "c": 4.0}).collect()}
     assert got == {"a": 1.0, "b": 3.0, "c": 4.0}
+
+
+def test_signs_spare_no_secret(mapped):
+    """With every sign gone each pattern runs on every text; the results are the same."""
+    h = "0123456789abcdef" * 3
+    texts = [
+        "AK" + "IA" + "A1" * 8, "xAK" + "IA" + "A1" * 8, "Aws_Secret" + "_Access_Key = " + h[:40],
+        "sk" + "_live-" + h[:20], "task" + "-live_" + h[:20], "sk" + "-proj-" + h[:20], "desk-" + h[:30], "gh" + "p_" + h[:36],
+        "ey" + "J" + "a.ey" + "Jb.c", "-----BEGIN PRIV" + "ATE KEY-----x-----END PRIV" + "ATE KEY-----",
+        "at 1.2.3.4, 1.2.3, version 1.2.3.4", "1.2.3.4.5", "secret " + "12345678-1234-1234-1234-123456789abc", "no secret",
+    ]
+    plain = {tag: pattern for tag, _, pattern in T.SECRET_PATTERNS}
+    assert mapped(R.redact_known, *texts) == mapped(lambda t: R.redact_known(t, plain), *texts)
+    for sign, pattern in ((R.IPV4_SIGN, T.IPV4), (R.UUID_SIGN, T.UUID)):
+        both = mapped(lambda t: F.struct(t.rlike(sign).alias("a"), t.rlike(pattern).alias("b")), *texts)
+        assert all(r.a or not r.b for r in both) and any(r.b for r in both)
+
+
+def test_long_words_at_any_place(mapped):
+    token = "aB3dE6gH9jK2mN5pQ8sT1vW4"
+    gaps = ["", " ", "\n", "\t\t", "\x0b", " ", "\xa0"]
+    texts = [a + token + b + token + c for a in gaps for b in gaps[1:] for c in gaps] + ["x" * 19 + " " + "y" * 30]
+    whole = lambda t: R.replace_matches(
+        t, R.LONG_WORD, lambda w, i, s: R.replace_matches(
+            w, R.long_token(), lambda h, j, z: F.when(R.is_secret_token(h), F.lit(T.ENTROPY_TAG)).otherwise(h)
+        )
+    )
+    assert mapped(R.redact_high_entropy, *texts) == mapped(whole, *texts)
