@@ -206,3 +206,24 @@ def test_lines_of_a_diff_travel_once(spark, capsys):
     changes = {r.id: r.changes for r in diff.collect()}
     assert None in changes
     assert all(patched(before[id_], c) == after[id_] for id_, c in changes.items())
+
+
+def test_matching_moves_marks_and_writes_no_texts(spark, monkeypatch):
+    old, new = versions(spark)
+    tables, real = [], V.written
+
+    def noted(df):
+        out = real(df)
+        tables.append((df._jdf.queryExecution().executedPlan().toString(), out))
+        return out
+
+    monkeypatch.setattr(V, "written", noted)
+    diff = V.delta_text(V.changed_pairs(old, new, "id"), "id")
+    assert len(tables) > 2
+    for plan, table in tables:
+        assert not [name for name in table.columns if "text" in name]
+        assert not re.search(r"\b(old|new)_text#", plan)
+    before, after = ({r.id: r.text for r in side.collect()} for side in (old, new))
+    changes = {r.id: r.changes for r in diff.collect()}
+    assert changes.keys() == before.keys() and None in changes
+    assert all(patched(before[id_], c) == after[id_] for id_, c in changes.items())
